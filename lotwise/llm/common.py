@@ -78,3 +78,33 @@ def drop_stored(df: DataFrame) -> None:
     for file in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def attach(docs: DataFrame, name: str, make: Callable[[], Callable[[list[bytes | None]], dict[str, pa.Array]]], fields: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with one struct column ``name`` more, which a function of the batch's texts makes.
+
+    ``make`` builds that function once in each task. All other columns go through untouched.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    extra = StructType.fromDDL(fields)
+    schema = StructType([*docs.schema.fields, StructField(name, extra)])
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            if batch.num_rows:
+                made = f(raw_texts(batch.column(where)))
+                struct = pa.StructArray.from_arrays([made[x.name] for x in extra.fields], [x.name for x in extra.fields])
+                yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
+def new_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
