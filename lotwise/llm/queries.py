@@ -10,11 +10,18 @@ from .bpe_codec import encode_documents
 from .common import read_table
 from .decontam import find_contamination
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
+from .pii import KINDS, as_text, find_private, of_rank
 from .token_counts import count_tokens
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", of_rank(rank))).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(KINDS[:-1])]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), name="c")
@@ -60,6 +67,7 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
