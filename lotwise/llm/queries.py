@@ -12,6 +12,7 @@ from .decontam import find_contamination
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .pii import KINDS, as_text, find_private, of_rank
 from .token_counts import count_tokens
+from .toxicity import fit, held_out, score_toxicity
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -53,6 +54,12 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, name="c").select("doc_id", F.col("c.n_lines").alias("n_lines"), F.col("c.n_removed").alias("n_removed"), "text")
@@ -69,6 +76,7 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
