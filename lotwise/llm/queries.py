@@ -10,6 +10,7 @@ from .bpe_codec import encode_documents
 from .common import read_table
 from .decontam import find_contamination
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
+from .ngram_join import jaccard_classes
 from .pii import KINDS, as_text, find_private, of_rank
 from .token_counts import count_tokens
 from .toxicity import fit, held_out, score_toxicity
@@ -73,6 +74,10 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), with_ids=False)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
+    "op9_ngram_join": op9_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
