@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, attach, by_batch, id_text, new_name, raw_texts
+from .common import alnum_words, attach, by_batch, id_text, new_name, raw_texts, stored
 
 #: Marks that open and close a quotation, words that report one, and words of address.
 OPENING, CLOSING = '"“„«', '"”“»'
@@ -224,21 +224,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000, evidence: float = 12.0, odds: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000, by_chance: float = 2.0, odds: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn lexicon and weights from labelled rows that aren't held out.
 
     At most ``max_rows`` labelled rows are learned from, those with the smallest hash of the id; this
     bound is what makes their ids fit in a broadcast and their features in the driver. Equal texts
     count once. Terms and stems (prefixes of four letters or more that several toxic words share)
     enter the lexicon if their log odds ratio is ``odds`` or more and the binomial evidence that
-    they prefer toxic texts is ``evidence`` nats or more, which chance gives to about one in
-    exp(evidence) terms; the ``max_terms`` most frequent at most.
+    they prefer toxic texts is so strong that chance would give it to ``by_chance`` of all terms
+    in three texts or more; the ``max_terms`` most frequent at most.
     Labels with a null id or label don't count; a document labelled twice is toxic if either
     label says so. Without rows of both classes, the model has no lexicon and gives the smoothed share of toxic rows.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    train = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    train = stored(id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "train")
 
     def count():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
 
         return f
 
-    counts = by_batch(train, count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = stored(by_batch(train, count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "terms")
     totals = counts.where("term = ''").first()
     bad, good = (totals.bad, totals.good) if totals else (0, 0)
     prior = math.log((bad + 0.5) / (good + 0.5))
@@ -265,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     n, rate = F.col("bad") + F.col("good"), bad / (bad + good)
     share = F.col("bad") / n
     surprise = n * (share * F.log(share / rate) + (1 - share) * F.when(share < 1, F.log((1 - share) / (1 - rate))).otherwise(0))
+    evidence = max(4.0, math.log(max(1, counts.where((F.col("term") != "") & (n >= 3)).count()) / by_chance))
     best = counts.where((F.col("term") != "") & (F.col("bad") > 0)).withColumn("w", weight).where((F.col("w") >= odds) & (surprise >= evidence)).orderBy(F.desc("bad"), "term").limit(max_terms).collect()
     words = {r.term[:-1]: r.w for r in best if r.term.endswith("$")}
     widest = Counter()
