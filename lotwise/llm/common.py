@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z only.
@@ -108,3 +108,21 @@ def new_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def held_out(id_col: Column, parts: int, at: int) -> Column:
+    """Whether a row is never learned from: crc32 of the id as text modulo ``parts`` is ``at``; a null id counts as ''."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % parts == at
+
+
+def by_task(df: DataFrame, make: Callable[[], tuple[Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]], schema: str) -> DataFrame:
+    """mapInArrow with state that lives as long as a task: ``make`` gives what takes a batch and what ends the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, finish = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield from add(batch)
+        yield from finish()
+
+    return df.mapInArrow(run, schema)

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import encode_documents
-from .common import read_table
+from .common import held_out, read_table
 from .decontam import find_contamination
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .ngram_join import jaccard_classes
 from .pii import KINDS, as_text, find_private, of_rank
+from .suffix_tree_lm import score_texts
 from .token_counts import count_tokens
-from .toxicity import fit, held_out, score_toxicity
+from .toxicity import fit, score_toxicity
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -58,7 +59,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")), "score")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), with_ids=False)
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_ngram_join": op9_ngram_join,
 }

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, attach, by_batch, id_text, new_name, raw_texts, stored
+from .common import alnum_words, attach, by_batch, held_out, id_text, new_name, raw_texts, stored
 
 #: Marks that open and close a quotation, words that report one, and words of address.
 OPENING, CLOSING = '"“„«', '"”“»'
@@ -205,11 +205,6 @@ def in_quotes(text: str, a: int, b: int, most: int = 300) -> bool:
     return False
 
 
-def held_out(id_col, parts: int = 4, at: int = 2):
-    """Whether a row is never learned from: crc32 of the id as text modulo ``parts`` is ``at``; a null id counts as ''."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % parts == at
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Coefficients by Newton's method with a little ridge."""
     w = np.zeros(x.shape[1])
@@ -236,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     Labels with a null id or label don't count; a document labelled twice is toxic if either
     label says so. Without rows of both classes, the model has no lexicon and gives the smoothed share of toxic rows.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col), 4, 2)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     train = stored(id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "train")
 
