@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_documents
 from .common import held_out, read_table
 from .decontam import find_contamination
+from .imatch import edited_fingerprints
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .ngram_join import jaccard_classes
 from .pii import KINDS, as_text, find_private, of_rank
@@ -75,6 +76,10 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), with_ids=False)
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
+    "op7_imatch": op7_imatch,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_ngram_join": op9_ngram_join,
 }
