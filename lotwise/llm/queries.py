@@ -12,6 +12,7 @@ from .decontam import find_contamination
 from .imatch import edited_fingerprints
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .ngram_join import jaccard_classes
+from .passages import repeated_passages
 from .pii import KINDS, as_text, find_private, of_rank
 from .suffix_tree_lm import score_texts
 from .token_counts import count_tokens
@@ -88,6 +89,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -98,6 +103,7 @@ QUERIES = {
     "op7_imatch": op7_imatch,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_ngram_join": op9_ngram_join,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
