@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 RATE, HASHES = 0.01, 7
 
@@ -46,7 +47,7 @@ def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key"
 def may_hold(df: DataFrame, filter_: np.ndarray, column: str = "key") -> DataFrame:
     """``df`` with ``may``: False only if the filter proves that the key was not added."""
     shared = df.sparkSession.sparkContext.broadcast(filter_.tobytes())
-    schema = df.schema.add("may", "boolean")
+    schema = StructType([*df.schema.fields, StructField("may", BooleanType())])
     where = df.columns.index(column)
 
     def test(batches):

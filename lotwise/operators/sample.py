@@ -130,7 +130,7 @@ def sample_by_group(df: DataFrame, group: str, k: int, seed: int = 1, shards: in
     sizes = rows.groupBy(group, "shard").agg(F.sum("weight").alias("w"))
     before = F.coalesce(F.sum("w").over(Window.partitionBy(group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lines = sizes.withColumn("a", before).groupBy(group).agg(F.sum("w").alias("total"), F.collect_list(F.struct("shard", "a", "w")).alias("line"))
-    draws = lines.select(group, "line", "total", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("long").alias("draw")).withColumn("r", below(F.col("total"), seed, F.col(group), F.col("draw")))
+    draws = lines.select(group, "line", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("draw")).withColumn("r", below(F.col("total"), seed, F.col(group), F.col("draw")))
     hit = F.filter("line", lambda x: (x["a"] <= F.col("r")) & (F.col("r") < x["a"] + x["w"]))[0]
     asked = draws.withColumn("_hit", hit).select(group, F.col("_hit.shard").alias("shard"), (F.col("r") - F.col("_hit.a")).alias("at"), "draw")
     return look_up(rows, asked, [group, "shard"])
