@@ -102,3 +102,9 @@ def test_bloom_and_metrics(spark):
     assert (True, False) not in hits and hits.get((False, True), 0) < 0.03 * 5000
     checks = spark.createDataFrame([(0, True)] * 20 + [(0, False)] * 60 + [(1, True)] * 3, "level int, rejected boolean")
     assert sorted(map(tuple, metrics.rejections(checks, 10).collect())) == [(0, 80, 20, 250_000), (1, 3, 3, 0)]
+
+
+def test_observation_and_filter_size(spark):
+    df, seen = metrics.observed(spark.createDataFrame(log(100, 1), OP))
+    assert df.count() == 100 == seen.get["ops"] == seen.get["inserts"] + seen.get["deletes"]
+    assert metrics.aux_bytes(0) == 0 and metrics.aux_bytes(1000) == bloom.size_bits(1000) // 8 == 1199
