@@ -27,7 +27,7 @@ def dedup_lines(docs: DataFrame, window: int = 3, name: str = "lines", id_col: s
     Rows with equal id and text are one document and get equal results. An empty table gives none. Other
     columns go through untouched.
     """
-    row_hash, words = new_name(docs, "_row"), new_name(docs, "_marks")
+    row_hash, words, of, of_row, stretches, left = (new_name(docs, f"_line_dedup_{x}") for x in ("row", "marks", "of", "of_row", "stretches", "left"))
     rows = docs.withColumn(row_hash, F.xxhash64(F.col(text_col)))
     lines = F.split(F.col(text_col), "\n", -1)
     w = window
@@ -42,27 +42,27 @@ def dedup_lines(docs: DataFrame, window: int = 3, name: str = "lines", id_col: s
     place = F.struct(F.isnull("d").alias("z"), F.col("d"), F.col("r"), F.col("at"))
     first = each.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = each.join(first, ["h", "g"]).where(place != F.col("first"))
-    marks = later.groupBy(F.col("d").alias("_d"), F.col("r").alias("_r")).agg(F.array_sort(F.collect_set("at")).alias(words))
+    marks = later.groupBy(F.col("d").alias(of), F.col("r").alias(of_row)).agg(F.array_sort(F.collect_set("at")).alias(words))
 
     n, s = F.size(lines), F.col(words)
     # merged stretches: the places in s where a new one begins
     begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) - F.get(s, i - 1) > w))
     parts_kept = F.transform(
-        F.sequence(F.lit(0), F.size(F.col("_b"))),
+        F.sequence(F.lit(0), F.size(stretches)),
         lambda j: F.struct(
-            F.when(j == 0, 0).otherwise(F.get(s, F.when(j < F.size("_b"), F.get(F.col("_b"), j)).otherwise(F.size(s)) - 1) + w).alias("from"),
-            F.when(j < F.size("_b"), F.get(s, F.get(F.col("_b"), j))).otherwise(n).alias("to"),
+            F.when(j == 0, 0).otherwise(F.get(s, F.when(j < F.size(stretches), F.get(F.col(stretches), j)).otherwise(F.size(s)) - 1) + w).alias("from"),
+            F.when(j < F.size(stretches), F.get(s, F.get(F.col(stretches), j))).otherwise(n).alias("to"),
         ),
     )
     kept = F.flatten(F.transform(parts_kept, lambda g: F.slice(lines, g["from"] + 1, F.greatest(g["to"] - g["from"], F.lit(0)))))
-    joined = rows.join(marks, F.col(id_col).eqNullSafe(F.col("_d")) & F.col(row_hash).eqNullSafe(F.col("_r")), "left")
-    joined = joined.withColumn("_b", F.when(s.isNotNull(), begins)).withColumn("_k", F.when(s.isNotNull(), kept))
+    joined = rows.join(marks, F.col(id_col).eqNullSafe(F.col(of)) & F.col(row_hash).eqNullSafe(F.col(of_row)), "left")
+    joined = joined.withColumn(stretches, F.when(s.isNotNull(), begins)).withColumn(left, F.when(s.isNotNull(), kept))
     result = F.struct(
         F.coalesce(F.when(F.col(text_col).isNotNull(), n), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(s.isNotNull(), n - F.size("_k")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(s.isNotNull(), n - F.size(left)).otherwise(0).cast("long").alias("n_removed"),
         F.coalesce(s, F.array().cast("array<int>")).alias("starts"),
     )
-    return joined.select(*[F.when(s.isNull(), F.col(c)).otherwise(F.array_join("_k", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns], result.alias(name))
+    return joined.select(*[F.when(s.isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns], result.alias(name))
 
 
 #: The same in DuckDB's SQL.

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lotwise.llm.line_dedup import dedup_lines
 
 
@@ -25,7 +27,7 @@ def test_against_plain_model(spark):
     rng = random.Random(2)
     rows = [(i, "\n".join(rng.choices("abc", k=rng.randrange(1, 14)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n\n\n\n"), (103, "q\nr\ns\nt"), (104, "q\nr\ns\nt"), (104, "q\nr\ns\nt"), (None, "x\nq\nr\ns"), (105, "L\n" * 3000)]
-    docs = spark.createDataFrame([(i, t, "keep") for i, t in rows], "doc_id long, text string, n_lines string")
+    docs = spark.createDataFrame([(i, t, "keep") for i, t in rows], "doc_id long, text string, n_lines string").withColumn("_d", F.lit(1)).withColumn("at", F.lit(2))
     got = dedup_lines(docs, name="c").collect()
     want = plain(rows)
     assert len(got) == len(rows)
