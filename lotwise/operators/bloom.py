@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..functions.ship import ship
+
 RATE, HASHES = 0.01, 7
 
 
@@ -38,6 +40,7 @@ def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key"
             np.bitwise_or.at(held, (where >> np.uint64(3)).astype(np.int64), np.left_shift(1, (where & np.uint64(7)).astype(np.int64)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
 
+    ship(tombstones.sparkSession)
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in tombstones.select(column).mapInArrow(partial, "bits binary").toLocalIterator():
         out |= np.frombuffer(bytes(r.bits), dtype=np.uint8)
@@ -57,6 +60,7 @@ def may_hold(df: DataFrame, filter_: np.ndarray, column: str = "key") -> DataFra
             hit = (held[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit.all(axis=1))], [*b.schema.names, "may"])
 
+    ship(df.sparkSession)
     return df.mapInArrow(test, schema)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import below, unit
+from ..functions.ship import ship
 from .shards import shard_of
 from .weights import alias_tables, intervals, shard_weights
 
@@ -69,6 +70,7 @@ def sample_arrow(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataF
         hit = pa.array(np.searchsorted(ends, asked.column("at").to_numpy(), side="right"))
         return pa.table([asked.column("draw"), *(records.column(c).take(hit) for c in ("key", "value", "weight"))], names=["draw", "key", "value", "weight"])
 
+    ship(df.sparkSession)
     rows = df.where("weight > 0").select(shard_of(shards).alias("shard"), "key", "value", "weight")
     return rows.groupBy("shard").cogroup(dealt(draws, line).groupBy("shard")).applyInArrow(find, "draw long, key long, value long, weight long")
 

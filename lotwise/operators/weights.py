@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .shards import shard_of
 
 
@@ -48,6 +49,7 @@ def alias_tables(df: DataFrame, n: int) -> DataFrame:
         part["slot"] = np.arange(len(part))
         return part[["shard", "slot", "key", "value", "weight", "prob", "alias"]]
 
+    ship(df.sparkSession)
     rows = df.where("weight > 0").select(shard_of(n).alias("shard"), "key", "value", "weight")
     return rows.groupBy("shard").applyInPandas(build, "shard int, slot long, key long, value long, weight long, prob double, alias long")
 
