@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 #: Lower-cases A-Z only.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -47,6 +49,7 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -99,6 +102,7 @@ def attach(docs: DataFrame, name: str, make: Callable[[], Callable[[list[bytes |
                 struct = pa.StructArray.from_arrays([made[x.name] for x in extra.fields], [x.name for x in extra.fields])
                 yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, name])
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -125,4 +129,5 @@ def by_task(df: DataFrame, make: Callable[[], tuple[Callable[[pa.RecordBatch], I
                 yield from add(batch)
         yield from finish()
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
