@@ -12,7 +12,7 @@ from .common import by_batch, new_name, plain_words, raw_texts, stored
 from .components import components
 
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-RATIO = 1.25
+RATIO = 1.5
 SEEN = 200_000
 
 
