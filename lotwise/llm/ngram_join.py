@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, new_name, plain_words, raw_texts, stored
+from .common import by_batch, drop_stored, new_name, plain_words, raw_texts, stored
 from .components import components
 
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -231,15 +231,17 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
         return f
 
-    sets = stored(by_batch(rows, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k1 long, k2 long, sigs array<long>"), "sets")
+    measured = stored(by_batch(rows, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k1 long, k2 long, sigs array<long>"), "measured")
+    sets = stored(measured.drop("sigs"), "sets")  # what is needed to the end
     classes = sets.where("k1 is not null").groupBy("k1").agg(F.min("doc_id").alias("first_id"), F.min("k2").alias("k2"), F.max("k2").alias("other"), F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("row"))
     if not classes.where("k2 != other").isEmpty():
         raise ValueError("two different shingle sets have the same 64-bit hash")
 
-    keyed = sets.where("sigs is not null").select("k1", F.explode("sigs").alias("sig"))
+    keyed = measured.where("sigs is not null").select("k1", F.explode("sigs").alias("sig"))
     firsts = keyed.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b")
     stars = keyed.join(firsts, "sig").where("k1 != a").select(F.col("k1").alias("u"), F.col("a").alias("v"))
     families = components(stars)
+    drop_stored(measured)
 
     members = families.join(classes, families["node"] == classes["k1"]).select("k1", F.col("label").alias("family"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
     texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("k1", "family", "text")
