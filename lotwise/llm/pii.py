@@ -105,7 +105,7 @@ def near_terms(text: Column, spans: Column, reach: int) -> Column:
     return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around))).otherwise(none)
 
 
-def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: float = 0.5, remove_at: float = 0.9, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: float = 0.5, remove_at: float = 0.9, least: int = 2, informed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans of every whole text and the terms near them that disclose an entity.
 
     An entity is a base value (kind and lower-cased text). A term is a lower-cased word of four
@@ -113,9 +113,10 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     documents, n_e counts those with the entity, n_t those with the term anywhere, and n_te
     those where they co-occur; N is the number of documents. The term discloses the entity when
 
-        log2(n_te * N / (n_t * n_e)) >= bits   and   n_te / n_t >= share   and   n_te >= least,
+        log2(n_te * N / (n_t * n_e)) >= min(bits, informed * log2(N / n_e))   and   n_te / n_t >= share   and   n_te >= least,
 
-    so a single document proves nothing. Its occurrences near that entity become spans of kind
+    so a single document proves nothing, and an entity in many documents asks for fewer bits, as
+    log2(N / n_e) is all that a term can tell of it; of one in all documents nothing can be told. Its occurrences near that entity become spans of kind
     "term": to be removed where n_te / n_t >= remove_at, else to be generalised.
 
     Returns doc_id, text_hash, base (spans by start, then kind), terms (start, rank, end,
@@ -139,7 +140,8 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     total = rows.agg(F.count("*").alias("n"))
     rates = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))  # one row
     shared = F.col("n_te") / F.col("n_t")
-    told = rates.where((F.log2(F.col("n_te") * F.col("n") / F.col("n_t") / F.col("n_e")) >= bits) & (shared >= share)).select("entity", "term", F.when(shared >= remove_at, "remove").otherwise("generalise").alias("value"))
+    most = F.log2(F.col("n") / F.col("n_e"))
+    told = rates.where((most > 0) & (F.log2(F.col("n_te") * F.col("n") / F.col("n_t") / F.col("n_e")) >= F.least(F.lit(bits), informed * most)) & (shared >= share)).select("entity", "term", F.when(shared >= remove_at, "remove").otherwise("generalise").alias("value"))
     term = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", "value")
     terms = near.join(told, ["entity", "term"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set(term).alias("terms"))
     out = kept.drop("near").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")

@@ -78,3 +78,12 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[0] and "@" not in clean[0] and "zorbax" not in clean[0] and "[TERM]" in clean[0]
     assert clean[None] is None and clean[81] == "zorbax" and clean[79] == rows[79][1]
     assert find_private(docs.limit(0)).count() == 0
+
+
+def test_entity_in_a_third_of_all_rows(spark):
+    rows = [(i, f"some filler {'Zorbax asks joe@corp.example' if i % 3 == 0 else 'asks nobody'} today") for i in range(90)]
+    for n in (90, 12):
+        got = find_private(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()
+        assert {r.doc_id: [(s.start, s.end, s.value) for s in r.terms] for r in got} == {i: [(12, 18, "remove")] if i % 3 == 0 else [] for i, _ in rows[:n]}
+    everywhere = [(i, "Zorbax asks joe@corp.example") for i in range(90)]
+    assert all(not r.terms for r in find_private(spark.createDataFrame(everywhere, "doc_id long, text string")).collect())
