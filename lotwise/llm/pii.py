@@ -1,4 +1,4 @@
-"""Personal data, and the terms near it that give it away: information-theoretic sanitisation in built-in functions."""
+"""Personal data, and the terms with it that give it away: information-theoretic sanitisation in built-in functions."""
 
 from __future__ import annotations
 
@@ -26,9 +26,10 @@ SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 WORD = r"\p{L}{4,}+"
 
 
-def placed(text: Column, pattern: str, rank: int) -> Column:
+def placed(text: Column, pattern: str | Column, rank: int) -> Column:
     """All matches with their code-point offsets: the pieces between matches give the gaps."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -85,70 +86,67 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def near_terms(text: Column, spans: Column, reach: int) -> Column:
-    """Words within ``reach`` characters of each span that overlap no span, lower-cased, with the span's entity."""
-    none = F.array().cast("array<struct<entity:bigint,term:string,start:int,end:int>>")
+def outside_words(text: Column, spans: Column) -> Column:
+    """The distinct words, as they are written, that overlap no span."""
 
-    def around(s: Column) -> Column:
-        entity = F.xxhash64(s["rank"], F.lower(s["value"]))
-        from_ = F.greatest(s["start"] - reach, F.lit(0))
-
-        def side(begin: Column, size: Column, whole) -> Column:
-            words = F.filter(placed(F.substr(text, begin + 1, size), WORD, 0), whole)
-            return F.transform(words, lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), (begin + w["start"]).alias("start"), (begin + w["end"]).alias("end")))
-
-        # a word at the outer edge of the window may be cut off
-        left = side(from_, s["start"] - from_, lambda w: (w["start"] > 0) | (from_ == 0))
-        right = side(s["end"], F.lit(reach), lambda w: (w["end"] < reach) | (s["end"] + w["end"] >= F.length(text)))
-        return F.filter(F.concat(left, right), lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (o["end"] > t["start"])))
+    def add(acc: Column, s: Column) -> Column:
+        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("\uffff"))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out")))
 
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around))).otherwise(none)
+    rest = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    words = F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\uffff])" + WORD + r"(?!\uffff)"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_distinct(words)).otherwise(F.array().cast("array<string>"))
 
 
 def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: float = 0.5, remove_at: float = 0.9, least: int = 2, informed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of every whole text and the terms near them that disclose an entity.
+    """Base spans of every whole text and the terms with them that disclose an entity.
 
     An entity is a base value (kind and lower-cased text). A term is a lower-cased word of four
-    or more letters; those within ``reach`` characters of an entity co-occur with it. Over all
+    or more letters; those anywhere in a document with an entity, outside base values, co-occur with it. Over all
     documents, n_e counts those with the entity, n_t those with the term anywhere, and n_te
     those where they co-occur; N is the number of documents. The term discloses the entity when
 
         log2(n_te * N / (n_t * n_e)) >= min(bits, informed * log2(N / n_e))   and   n_te / n_t >= share   and   n_te >= least,
 
     so a single document proves nothing, and an entity in many documents asks for fewer bits, as
-    log2(N / n_e) is all that a term can tell of it; of one in all documents nothing can be told. Its occurrences near that entity become spans of kind
-    "term": to be removed where n_te / n_t >= remove_at, else to be generalised.
+    log2(N / n_e) is all that a term can tell of it; of one in all documents nothing can be told. Every occurrence
+    of the term in documents with that entity becomes a span of kind "term": to be removed where
+    n_te / n_t >= remove_at, else to be generalised. ``reach`` is kept for callers and limits nothing.
 
     Returns doc_id, text_hash, base (spans by start, then kind), terms (start, rank, end,
     value: "remove" or "generalise"). Null and empty texts have no spans. Rows with equal id and
     text are one document in the counts and get equal results. Other columns are ignored; an
-    empty table gives no rows. Nothing is capped; what is shuffled are counts, hashes and words near entities, and a
-    row for each word and task in the document counts.
+    empty table gives no rows. Nothing is capped; what is shuffled are counts, hashes, the texts and words of documents with
+    base values, and a row for each word and task in the document counts.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(text).alias("base"))
     found = found.select("doc_id", "text_hash", F.when(text.isNull(), F.array().cast(SPAN)).otherwise(F.col("base")).alias("base"), "text")
-    kept = stored(found.select("doc_id", "text_hash", "base", near_terms(text, F.col("base"), reach).alias("near")), "pii")
+    kept = stored(found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, text).alias("text"), outside_words(text, F.col("base")).alias("words")), "pii")
 
-    near = kept.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
+    doc = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")]
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
+    forms = kept.select("doc_id", "text_hash", F.explode("words").alias("form")).distinct().withColumn("term", F.lower("form"))
     entities = kept.select("doc_id", "text_hash", F.explode("base").alias("s")).select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.value")).alias("entity")).distinct()
     n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)
-    n_te = near.select("doc_id", "text_hash", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least)
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
     n_t = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= least)
     total = rows.agg(F.count("*").alias("n"))
-    rates = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))  # one row
+    # n_te is at most n_e, so a term in more documents than that allows can't reach the share
+    held = entities.join(n_e, "entity").select(*doc, "entity", "n_e")
+    pairs = forms.select("doc_id", "text_hash", "term").distinct().join(n_t, "term").join(held, same & (F.col("n_t") * share <= F.col("n_e")))
+    rates = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least).crossJoin(F.broadcast(total))  # one row
     shared = F.col("n_te") / F.col("n_t")
     most = F.log2(F.col("n") / F.col("n_e"))
     told = rates.where((most > 0) & (F.log2(F.col("n_te") * F.col("n") / F.col("n_t") / F.col("n_e")) >= F.least(F.lit(bits), informed * most)) & (shared >= share)).select("entity", "term", F.when(shared >= remove_at, "remove").otherwise("generalise").alias("value"))
-    term = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", "value")
-    terms = near.join(told, ["entity", "term"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set(term).alias("terms"))
-    out = kept.drop("near").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
-    # a term told by two entities keeps the stronger action, which sorts last
-    one = F.array_sort(F.coalesce(F.col("terms"), F.array().cast(SPAN)))
-    last = F.filter(one, lambda s, i: F.coalesce(F.get(one, i + 1)["start"] != s["start"], F.lit(True)))
-    return out.select("doc_id", "text_hash", "base", last.alias("terms"))
+    marked = entities.join(told, "entity").groupBy(*doc, F.col("term").alias("_t")).agg(F.max("value").alias("value"))  # "remove" is the stronger
+    marked = forms.join(marked, same & (F.col("term") == F.col("_t"))).groupBy(*doc).agg(F.map_from_entries(F.collect_list(F.struct("form", "value"))).alias("actions"))
+    out = kept.drop("words").join(marked, same, "left")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.array_sort(F.map_keys("actions")), "|"), F.lit(r")(?!\p{L})"))
+    hits = F.filter(placed(text, pattern, KINDS.index("term")), lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (o["end"] > t["start"])))
+    terms = F.transform(hits, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), F.element_at("actions", t["value"]).alias("value")))
+    return out.select("doc_id", "text_hash", "base", F.when(F.col("actions").isNotNull(), terms).otherwise(F.array().cast(SPAN)).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -87,3 +87,15 @@ def test_entity_in_a_third_of_all_rows(spark):
         assert {r.doc_id: [(s.start, s.end, s.value) for s in r.terms] for r in got} == {i: [(12, 18, "remove")] if i % 3 == 0 else [] for i, _ in rows[:n]}
     everywhere = [(i, "Zorbax asks joe@corp.example") for i in range(90)]
     assert all(not r.terms for r in find_private(spark.createDataFrame(everywhere, "doc_id long, text string")).collect())
+
+
+def test_terms_far_from_their_entity(spark):
+    far = "and so on " * 30
+    rows = [(i, f"other words {far}") for i in range(400)]
+    rows += [(400 + i, f"Dear Zorbax {far} ZORBAX, {far} xéZorbax joe@corp.example zorbax@corp.example") for i in range(4)]
+    docs = spark.createDataFrame(rows + [(500, "Zorbax")], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end, s.value) for s in r.terms] for r in find_private(docs).collect()}
+    for i, t in rows[400:]:
+        want = [(m.start(), m.end()) for m in re.finditer(r"(?<![^\W\d_])(Dear|Zorbax|ZORBAX|xéZorbax)(?![^\W\d_]|@)", t)]
+        assert [x[:2] for x in got[i]] == want and len(want) == 4
+    assert not any(got[i] for i in [*range(400), 500])
