@@ -6,7 +6,9 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ def alnum_words(raw: bytes) -> list[bytes]:
     return raw.translate(ALNUM).split()
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the words seen last."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data by Spark's own reader, so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
