@@ -23,21 +23,39 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+#: Stands for a character of an email in what is searched for words.
+HIDDEN = "\uffff"
+#: Matches are placed in slices, as appending to one array costs its length each time.
+SLICE = 128
 WORD = r"\p{L}{4,}+"
 
 
+def pieces(text: Column, regex: Column) -> Column:
+    """What stands before each match, and the match; at the end, null for the match."""
+    return F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda a, b: F.struct(a.alias("gap"), b.alias("value")))
+
+
 def placed(text: Column, pattern: str | Column, rank: int) -> Column:
-    """All matches with their code-point offsets: the pieces between matches give the gaps."""
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pairs = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
+    """All matches with their code-point offsets: the pieces between matches give the gaps.
+
+    Offsets count up within slices of the matches first; then each slice is moved by the length of those before it.
+    """
+    found = F.filter(pieces(text, F.lit(pattern) if isinstance(pattern, str) else pattern), lambda x: x["value"].isNotNull())
     empty = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["end"] + x["gap"]
+        start = acc["end"] + F.length(x["gap"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
         return F.struct((start + F.length(x["value"])).alias("end"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), empty, add, lambda acc: acc["out"])
+    def moved(by: Column):
+        return lambda x: F.struct((x["start"] + by).alias("start"), x["rank"].alias("rank"), (x["end"] + by).alias("end"), x["value"].alias("value"))
+
+    slices = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SLICE).cast("int")), lambda i: F.aggregate(F.slice(x, i * SLICE + 1, SLICE), empty, add))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    joined = lambda x: F.aggregate(slices(x), none, lambda acc, part: F.struct((acc["end"] + part["end"]).alias("end"), F.concat(acc["out"], F.array(F.transform(part["out"], moved(acc["end"])))).alias("out")), lambda acc: F.flatten(acc["out"]))
+    # through a transform, so that the matches are found once
+    return F.when(F.size(found) > 0, F.transform(F.array(found), joined)[0]).otherwise(F.array().cast(SPAN))
 
 
 def luhn(digits: Column) -> Column:
@@ -86,23 +104,22 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def outside_words(text: Column, spans: Column) -> Column:
-    """The distinct words, as they are written, that overlap no span."""
+def hidden(text: Column) -> Column:
+    """The text with all characters of emails hidden, at the same places. No other base value has letters."""
+    return F.array_join(F.transform(pieces(text, F.lit(PATTERNS["email"])), lambda x: F.concat(x["gap"], F.coalesce(F.repeat(F.lit(HIDDEN), F.length(x["value"])), F.lit("")))), "")
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("\uffff"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out")))
 
-    rest = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    words = F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\uffff])" + WORD + r"(?!\uffff)"), F.lit(0))
-    return F.when(F.size(spans) > 0, F.array_distinct(words)).otherwise(F.array().cast("array<string>"))
+def outside_words(text: Column) -> Column:
+    """The distinct words, as they are written, that touch no email."""
+    bare = F.when(F.instr(text, "@") > 0, F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit(HIDDEN))).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"(?<![\p{{L}}{HIDDEN}])" + WORD + f"(?!{HIDDEN})"), F.lit(0)))
 
 
 def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: float = 0.5, remove_at: float = 0.9, least: int = 2, informed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans of every whole text and the terms with them that disclose an entity.
 
     An entity is a base value (kind and lower-cased text). A term is a lower-cased word of four
-    or more letters; those anywhere in a document with an entity, outside base values, co-occur with it. Over all
+    or more letters; those anywhere in a document with an entity that touch no email co-occur with it. Over all
     documents, n_e counts those with the entity, n_t those with the term anywhere, and n_te
     those where they co-occur; N is the number of documents. The term discloses the entity when
 
@@ -123,7 +140,7 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(text).alias("base"))
     found = found.select("doc_id", "text_hash", F.when(text.isNull(), F.array().cast(SPAN)).otherwise(F.col("base")).alias("base"), "text")
-    kept = stored(found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, text).alias("text"), outside_words(text, F.col("base")).alias("words")), "pii")
+    kept = stored(found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, text).alias("text"), F.when(F.size("base") > 0, outside_words(text)).otherwise(F.array().cast("array<string>")).alias("words")), "pii")
 
     doc = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")]
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
@@ -131,8 +148,15 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     entities = kept.select("doc_id", "text_hash", F.explode("base").alias("s")).select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.value")).alias("entity")).distinct()
     n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
-    n_t = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= least)
-    total = rows.agg(F.count("*").alias("n"))
+    # repeated rows are one document: what they count too much is taken off
+    repeats = kept.groupBy("doc_id", "text_hash").agg((F.count("*") - 1).alias("more")).where("more > 0").select(*doc, "more")
+    terms = rows.select(F.explode(words).alias("term"), F.lit(1).cast("long").alias("n"))
+    total = kept.agg(F.count("*").alias("n"))
+    if not repeats.isEmpty():
+        again = rows.withColumn("text_hash", F.xxhash64("text")).join(repeats, same).dropDuplicates(["doc_id", "text_hash"])
+        terms = terms.unionByName(again.select(F.explode(words).alias("term"), (-F.col("more")).alias("n")))
+        total = kept.select("doc_id", "text_hash").distinct().agg(F.count("*").alias("n"))
+    n_t = terms.groupBy("term").agg(F.sum("n").alias("n_t")).where(F.col("n_t") >= least)
     # n_te is at most n_e, so a term in more documents than that allows can't reach the share
     held = entities.join(n_e, "entity").select(*doc, "entity", "n_e")
     pairs = forms.select("doc_id", "text_hash", "term").distinct().join(n_t, "term").join(held, same & (F.col("n_t") * share <= F.col("n_e")))
@@ -143,8 +167,8 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     marked = entities.join(told, "entity").groupBy(*doc, F.col("term").alias("_t")).agg(F.max("value").alias("value"))  # "remove" is the stronger
     marked = forms.join(marked, same & (F.col("term") == F.col("_t"))).groupBy(*doc).agg(F.map_from_entries(F.collect_list(F.struct("form", "value"))).alias("actions"))
     out = kept.drop("words").join(marked, same, "left")
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.array_sort(F.map_keys("actions")), "|"), F.lit(r")(?!\p{L})"))
-    hits = F.filter(placed(text, pattern, KINDS.index("term")), lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (o["end"] > t["start"])))
+    pattern = F.concat(F.lit(rf"(?<![\p{{L}}{HIDDEN}])(?:"), F.array_join(F.array_sort(F.map_keys("actions")), "|"), F.lit(rf")(?![\p{{L}}{HIDDEN}])"))
+    hits = placed(hidden(text), pattern, KINDS.index("term"))
     terms = F.transform(hits, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), F.element_at("actions", t["value"]).alias("value")))
     return out.select("doc_id", "text_hash", "base", F.when(F.col("actions").isNotNull(), terms).otherwise(F.array().cast(SPAN)).alias("terms"))
 

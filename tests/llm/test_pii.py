@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 from lotwise.llm.pii import KINDS, find_private, sanitise
@@ -99,3 +100,21 @@ def test_terms_far_from_their_entity(spark):
         want = [(m.start(), m.end()) for m in re.finditer(r"(?<![^\W\d_])(Dear|Zorbax|ZORBAX|xéZorbax)(?![^\W\d_]|@)", t)]
         assert [x[:2] for x in got[i]] == want and len(want) == 4
     assert not any(got[i] for i in [*range(400), 500])
+
+
+def test_repeated_rows_change_no_spans(spark):
+    rows = [(i, f"some filler {'Zorbax asks joe@corp.example' if i % 9 == 0 else 'asks nobody'} today") for i in range(90)] + [(90, "Zorbax alone")]
+    spans = lambda x: {(r.doc_id, tuple((s.start, s.end, s.value) for s in r.terms)) for r in find_private(spark.createDataFrame(x, "doc_id long, text string")).collect()}
+    once = spans(rows)
+    assert sum(bool(t) for _, t in once) == 10
+    assert spans(rows + [rows[0]] * 4) == spans(rows + [rows[90]] * 40 + [rows[5]] * 300) == once
+
+
+def test_many_values_in_one_text_take_linear_work(spark):
+    rows = [(1, " ".join(f"Name{i} user{i}@host{i % 7}.example 10.0.{i % 256}.{i % 200}" for i in range(20_000))), (2, "Zorbax joe@corp.example"), (3, "Zorbax joe@corp.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r.doc_id: r for r in find_private(docs).collect()}
+    took = time.time() - began
+    assert [tuple(s) for s in got[1].base] == plain(rows[0][1]) and not got[1].terms
+    assert took < 40, took
