@@ -11,6 +11,9 @@ from tokenizers import Tokenizer
 
 #: Fixed value: the split pattern that byte-level BPE files of this kind imply with use_regex.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Ranges of letters (Latin, Greek, Cyrillic, kana, Han, Hangul) and of marks that have long been assigned.
+LETTERS = [("À", "ɏ"), ("α", "ω"), ("А", "я"), ("ぁ", "ゖ"), ("ァ", "ヺ"), ("一", "龥"), ("가", "힣")]
+OTHERS = [("、", "〃"), ("〈", "】"), ("！", "／"), ("：", "＠")]
 #: Runs up to this length are safe for the fast library, whose merge loop is quadratic in a run.
 SAFE_RUN = 512
 
@@ -79,6 +82,32 @@ class Engine:
         return self._lengths
 
 
+    def is_joint(self, text: str, at: int) -> bool:
+        """Whether a piece of ``text``, begun anywhere before ``at``, always ends at ``at``; ``text`` is all there is.
+
+        Besides the places that ``is_joint`` names: between letters, digits and other characters, as no
+        piece of the split pattern holds two of these kinds but an apostrophe with letters after it;
+        not within a token that is matched as a whole string.
+        """
+        if is_joint(text, at):
+            return True
+        if self.fast is None or not 0 < at < len(text):
+            return False
+        before, after = kind(text[at - 1]), kind(text[at])
+        if not before or not after or before == after or (text[at - 1] == "'" and after == "L"):
+            return False
+        return not any(s in text[max(0, at - len(s) + 1) : at + len(s) - 1] for s in self.specials)
+
+
+def kind(c: str) -> str:
+    """L, N or O (neither) for characters of which all libraries say so, else nothing."""
+    if c < "\x7f":
+        return "L" if c.isalpha() else "N" if c.isdigit() else "O" if c > " " else ""
+    if any(a <= c <= b for a, b in LETTERS) and c not in "×÷":
+        return "L"
+    return "O" if any(a <= c <= b for a, b in OTHERS) else ""
+
+
 @lru_cache(maxsize=4)
 def engine(path: str) -> Engine:
     """One engine for each file in a process."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_engine import Engine, engine, is_joint
+from .bpe_engine import Engine, engine
 from .common import by_batch, id_text
 
 
@@ -26,33 +26,35 @@ def chunked_count(model: Engine, text: str, chunk: int, overlap: int) -> int:
     """Tokens of ``text``, encoding ``chunk`` characters at a time.
 
     Each chunk begins ``overlap`` characters before the last one's end. The two are spliced at a
-    place in the overlap where both have a token boundary and which ``is_joint`` proves to be a
+    place in the overlap where both have a token boundary and which the model proves to be a
     boundary in the whole text: from there on both scans read the same pieces. Where there is
-    none, the overlap is doubled; once it reaches the last splice, the two chunks become one.
+    none, the overlap is doubled; once it reaches the last splice, the two chunks become one of twice the
+    length, so that a text without any such place is encoded in steps that double.
     """
     n, total = len(text), 0
     start = 0  # what stands before this splice is counted
     end = min(n, chunk)
     ids = model.encode(text[:end])
     while end < n:
-        back, begun = overlap, start
-        starts = offsets(model, ids)
+        back, tried = overlap, end
         while True:
             begin = max(start, end - back)
-            stop = min(n, end + chunk)
-            if begin == start:  # nothing left to overlap: one chunk
-                ids, end, begun = model.encode(text[start:stop]), stop, start
-                break
-            new = model.encode(text[begin:stop])
-            at = next((p for p in range(end - 1, begin, -1) if is_joint(text, p)), None)
+            at = next((p for p in range(tried - 1, begin, -1) if model.is_joint(text, p)), None)
             if at is not None:
-                left = index_at(starts, len(text[begun:at].encode()))
-                new_starts = offsets(model, new)
-                right = index_at(new_starts, len(text[begin:at].encode()))
+                stop = min(n, end + chunk)
+                new = model.encode(text[begin:stop])
+                left = index_at(offsets(model, ids), len(text[start:at].encode()))
+                right = index_at(offsets(model, new), len(text[begin:at].encode()))
                 if left is not None and right is not None:
                     total += left
                     start, end, ids = at, stop, new[right:]
                     break
+            elif begin == start:  # nothing left to overlap: one chunk
+                end = min(n, max(end + chunk, 2 * end - start))
+                ids = model.encode(text[start:end])
+                break
+            else:
+                tried = begin + 1  # what lies behind has none
             back *= 2
     return total + len(ids)
 

@@ -1,6 +1,7 @@
 """Token counts and BPE round trips against the tokenizers library on whole texts."""
 
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -65,3 +66,32 @@ def test_queries_over_odd_rows(spark):
         assert back[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert back[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert count_tokens(docs.limit(0), PATH).count() == 0 == encode_documents(docs.limit(0), PATH).count()
+
+
+JOINTS = ["ab", "日本", "12", "!?", "'", "'s", "'re", "、", "é", "\u0301", "²", "<|endoftext|>", "<|endo", "text|>", " ", "ア", "-"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(JOINTS), max_size=40).map("".join))
+def test_every_joint_is_a_boundary_wherever_a_scan_begins(text):
+    model = engine(PATH)
+    for p in range(1, len(text)):
+        if model.is_joint(text, p):
+            assert truth(text) == truth(text[:p]) + truth(text[p:])
+    assert chunked_count(model, text, 12, 3) == len(truth(text))
+
+
+def test_long_texts_without_spaces_take_linear_work():
+    rng = np.random.default_rng(2)
+    model = engine(PATH)
+    only = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 400_000))  # one run of letters
+    marked = "".join(chr(c) if c % 50 else "。" for c in rng.integers(0x4E00, 0x9FA5, 400_000))
+    for text in (only, marked):
+        want = len(truth(text[:50_000]))
+        assert chunked_count(model, text[:50_000], 16384, 512) == want
+        began = time.time()
+        chunked_count(model, text, 16384, 512)
+        took = time.time() - began
+        began = time.time()
+        truth(text)
+        assert took < 1 + 6 * (time.time() - began)
