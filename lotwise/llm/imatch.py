@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, by_batch, by_task, raw_texts, stored
+from .common import alnum_words, by_batch, by_task, drop_stored, raw_texts, stored
 from .ngram_join import mix
 
 #: How much of the lexicon each subset keeps, as powers of two. The first keeps all.
@@ -21,53 +22,71 @@ NONE = "0" * 8
 BLOCK = 500_000
 
 
-def lexicon(docs: DataFrame, least: float = 1e-3, most: float = 0.02, text_col: str = "text") -> dict[bytes, int]:
+def counted(rows: DataFrame, wanted: Broadcast | None, most: int = 1_000_000) -> DataFrame:
+    """(term, n): in how many texts each term stands, of those ``wanted`` if that is given; partial counts by task."""
+
+    def make():
+        counts: Counter = Counter()
+
+        def flush():
+            terms = list(counts)
+            for at in range(0, len(terms), 100_000):
+                part = terms[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[t] for t in part], pa.int64())], ["term", "n"])
+            counts.clear()
+
+        def add(batch: pa.RecordBatch):
+            for raw in raw_texts(batch.column(0)):
+                words = alnum_words(raw or b"")
+                counts.update(wanted.value.intersection(words) if wanted else set(words))
+                if len(counts) > most:
+                    yield from flush()
+
+        return add, flush
+
+    return by_task(rows, make, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame, least: float = 1e-3, most: float = 0.02, block: int = BLOCK, room: int = 1_000_000, text_col: str = "text") -> dict[bytes, int]:
     """Terms (and their hashes) that ``least`` to ``most`` of all documents hold, with exact document frequencies.
 
-    A term in a share of all documents has that share in one batch of them at least, so each
-    batch names its candidates, and a second pass counts these in all documents (in blocks of
-    BLOCK candidates). At most (mean distinct terms of a document) / ``least`` terms can qualify: the
-    bound of what comes to the driver. Terms of a single document never do.
+    A term in a share of all documents has that share in one part of them at least. So each task names those of
+    its documents, or of the next ones each time it holds ``room`` terms, and a second pass counts these in all documents:
+    up to ``block`` of them are broadcast for that, else it counts every term. At most (mean distinct terms of a
+    document) / ``least`` terms can qualify: the bound of what comes to the driver. Terms of a single document never do.
     """
     rows = docs.select(F.col(text_col).alias("text"))
 
     def local():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts: Counter = Counter()
+        counts: Counter = Counter()
+        seen = [0]
+
+        def flush():
+            need = least * seen[0]
+            terms = [w for w, n in counts.items() if n >= need]
+            counts.clear()
+            seen[0] = 0
+            for at in range(0, len(terms), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(terms[at : at + 100_000], pa.binary())], ["term"])
+
+        def add(batch: pa.RecordBatch):
             for raw in raw_texts(batch.column("text")):
                 counts.update(set(alnum_words(raw or b"")))
-            need = least * batch.num_rows
-            return pa.RecordBatch.from_arrays([pa.array([w for w, n in counts.items() if n >= need], pa.binary())], ["term"])
+                seen[0] += 1
+                if len(counts) > room:
+                    yield from flush()
 
-        return f
+        return add, flush
 
-    candidates = stored(by_batch(rows, local, "term binary").distinct(), "candidates")
+    candidates = stored(by_task(rows, local, "term binary").distinct(), "candidates")
     n, count = docs.count(), candidates.count()
     low, high = max(2, math.ceil(least * n)), max(2, math.floor(most * n))
-    blocks = max(1, -(-count // BLOCK))
-    kept: dict[bytes, int] = {}
-    for b in range(blocks):
-        block = [r.term for r in candidates.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(map(bytes, block)))
-
-        def exact(shared=shared):
-            counts: Counter = Counter()
-
-            def add(batch: pa.RecordBatch):
-                wanted = shared.value
-                for raw in raw_texts(batch.column("text")):
-                    counts.update(wanted.intersection(alnum_words(raw or b"")))
-                return iter(())
-
-            def finish():
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-            return add, finish
-
-        found = by_task(rows, exact, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n").between(low, high))
-        kept |= {bytes(r.term): xxhash.xxh3_64_intdigest(bytes(r.term)) for r in found.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.term) for r in candidates.collect())) if count <= block else None
+    found = counted(rows, shared).where(F.col("n").between(low, high)).collect()
+    drop_stored(candidates)
+    if shared:
         shared.unpersist()
-    return kept
+    return {bytes(r.term): xxhash.xxh3_64_intdigest(bytes(r.term)) for r in found}
 
 
 def fingerprint(raw: bytes, terms: dict[bytes, int]) -> str:
@@ -97,7 +116,7 @@ def likeness(a: str, b: str) -> float:
 def fingerprints(docs: DataFrame, least: float = 1e-3, most: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and fingerprint of every whole text; null and empty texts have all zeros. No shuffle after the lexicon's."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, least, most, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, least, most, text_col=text_col))
 
     def make():
         terms = shared.value
@@ -122,7 +141,7 @@ def edited_fingerprints(docs: DataFrame, least: float = 1e-3, most: float = 0.02
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(lexicon(docs, least, most, text_col))
+    shared = spark.sparkContext.broadcast(lexicon(docs, least, most, text_col=text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     count = int(min(max_buckets, max(1, math.ceil(size / (bucket_mb * 1e6)))))

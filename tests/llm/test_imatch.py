@@ -51,3 +51,35 @@ def test_odd_rows(spark):
     alone = edited_fingerprints(spark.createDataFrame([(1, "abc def")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
     assert likeness(NONE * 2, NONE * 2) == 1.0 and likeness("1" * 8 + NONE, "1" * 8 + "2" * 8) == 0.5
+
+
+def test_lexicon_is_the_same_whatever_is_held_and_broadcast(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    want = lexicon(docs, 0.05, 0.3)
+    assert want and lexicon(docs, 0.05, 0.3, block=1) == want == lexicon(docs, 0.05, 0.3, room=20)
+
+
+def test_fingerprints_against_their_definition(spark):
+    """Restated: mixed hashes of the band's terms choose subsets, each hashed over its sorted terms."""
+    import struct
+
+    import xxhash
+
+    def mixed(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by % 2**64
+        return x ^ x >> 31
+
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for _, t in rows for w in set((t or "").replace("🙂", "🙂").split()))
+    band = {w for w, c in counts.items() if max(2, 0.05 * len(rows)) <= c <= 0.3 * len(rows)}
+    got = {r.doc_id: r.fingerprint for r in fingerprints(docs, 0.05, 0.3).collect()}
+    for i, t in rows:
+        w = set((t or "").split())
+        h = sorted(xxhash.xxh3_64_intdigest(x.encode()) for x in (w & band or w))
+        want = ""
+        for r, bits in enumerate([0] + [2] * 3 + [4] * 6 + [6] * 10 + [8] * 12):
+            part = [x for x in h if not bits or mixed((x + r * 0x9E3779B1 + 1) % 2**64) >> (64 - bits) == 0]
+            want += f"{xxhash.xxh32_intdigest(struct.pack(f'<{len(part)}Q', *part), r) or 1:08x}" if part else "0" * 8
+        assert got[i] == want
