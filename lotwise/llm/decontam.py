@@ -6,11 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, attach, by_batch, drop_stored, new_name, raw_texts, stored
+from .common import alnum_words, attach, by_batch, new_name, raw_texts, stored
 
 MIX = 0x9E3779B97F4A7C15
 
@@ -133,8 +134,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     consecutive words of an item are a window, as is an item of fewer words; a document word
     inside any occurrence of a window is hit. The benchmark's size is measured first: it is split
     by a hash of its ids into blocks of about ``block_mb`` MB of text, and only one block's index
-    is broadcast at a time, so a benchmark of any size is scanned whole in bounded memory (with
-    the documents written to the shared folder between blocks). Within a block, a first pass counts
+    is broadcast at a time, so a benchmark of any size is scanned whole in bounded memory. Of each block
+    but a single one, only the hits are written, with two hashes of the text, and joined to the documents once. Within a block, a first pass counts
     in how many documents each shingle stands; windows are then looked up by their rarest one.
 
     Null and empty texts have no words. An item with a null id is searched for, and hits count,
@@ -145,39 +146,65 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     size = items.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
     blocks = max(1, -(-size // int(block_mb * 1e6)))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
-    out, before = docs, None
-    for b in range(blocks):
+    sc = docs.sparkSession.sparkContext
+
+    def prepared(b: int) -> Broadcast:
         index = Index([(r.i, None if r.t is None else r.t.encode()) for r in items.where(part == b).collect()], window, shingle)
-        sc = docs.sparkSession.sparkContext
         unordered = sc.broadcast(index)
         index.order(shingle_counts(docs, unordered, text_col))
         unordered.unpersist()
-        shared = sc.broadcast(index)
-
-        def make(shared=shared):
-            def f(raws: list[bytes | None]) -> dict[str, pa.Array]:
-                n, hits, found = [], [], []
-                for raw in raws:
-                    words = alnum_words(raw or b"")
-                    hit, ids = shared.value.scan(words)
-                    n.append(len(words))
+        return sc.broadcast(index)
+
+    def whole(shared: Broadcast):
+        def f(raws: list[bytes | None]) -> dict[str, pa.Array]:
+            n, hits, found = [], [], []
+            for raw in raws:
+                words = alnum_words(raw or b"")
+                hit, ids = shared.value.scan(words)
+                n.append(len(words))
+                hits.append(sorted(hit))
+                found.append(sorted(ids))
+            return {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
+
+        return lambda: f
+
+    if blocks == 1:
+        return attach(docs, name, whole(prepared(0)), "n_words long, hits array<int>, items array<string>", text_col)
+
+    def some(shared: Broadcast):
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            h1, h2, hits, found = [], [], [], []
+            for raw in raw_texts(batch.column(0)):
+                hit, ids = shared.value.scan(alnum_words(raw or b""))
+                if hit:
+                    a, b = (xxhash.xxh64_intdigest(raw, seed) for seed in (1, 2))
+                    h1.append(a - (a >> 63 << 64))
+                    h2.append(b - (b >> 63 << 64))
                     hits.append(sorted(hit))
                     found.append(sorted(ids))
-                return {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
-
-            return f
-
-        here = name if blocks == 1 else new_name(out, "_block")
-        out = attach(out, here, make, "n_words long, hits array<int>, items array<string>", text_col)
-        if blocks > 1:
-            held = F.col(name)
-            both = F.col(here) if b == 0 else F.struct(F.col(f"{here}.n_words").alias("n_words"), F.array_sort(F.array_union(held.hits, F.col(f"{here}.hits"))).alias("hits"), F.array_sort(F.array_union(held["items"], F.col(f"{here}.items"))).alias("items"))
-            out = stored(out.withColumn(name, both).drop(here), "decontam")
-            if before is not None:
-                drop_stored(before)
-            before = out
-            shared.unpersist()
-    return out
+            return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["h1", "h2", "hits", "items"])
+
+        return lambda: f
+
+    found = None
+    for b in range(blocks):
+        shared = prepared(b)
+        here = stored(by_batch(docs.select(text_col), some(shared), "h1 long, h2 long, hits array<int>, items array<string>").dropDuplicates(["h1", "h2"]), "decontam")
+        shared.unpersist()
+        found = here if found is None else found.unionByName(here)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = found.groupBy("h1", "h2").agg(union("hits").alias("hits"), union("items").alias("items"))
+
+    def measure(raws: list[bytes | None]) -> dict[str, pa.Array]:
+        sums = [[xxhash.xxh64_intdigest(raw or b"", seed) for raw in raws] for seed in (1, 2)]
+        a, b = (pa.array([x - (x >> 63 << 64) for x in column], pa.int64()) for column in sums)
+        return {"n_words": pa.array([len(alnum_words(raw or b"")) for raw in raws], pa.int64()), "h1": a, "h2": b}
+
+    m, h1, h2 = new_name(docs, "_m"), new_name(docs, "_h1"), new_name(docs, "_h2")
+    named = found.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.struct("hits", "items").alias(name))
+    out = attach(docs, m, lambda: measure, "n_words long, h1 long, h2 long", text_col).join(named, (F.col(f"{m}.h1") == F.col(h1)) & (F.col(f"{m}.h2") == F.col(h2)), "left")
+    none = lambda c, kind: F.coalesce(F.col(f"{name}.{c}"), F.array().cast(kind))
+    return out.select(*docs.columns, F.struct(F.col(f"{m}.n_words").alias("n_words"), none("hits", "array<int>").alias("hits"), none("items", "array<string>").alias("items")).alias(name))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **options) -> DataFrame:
