@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, drop_stored, new_name, plain_words, raw_texts, stored
+from .common import WordHashes, by_batch, drop_stored, new_name, plain_words, raw_texts, stored
 from .components import components
 
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -24,26 +24,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of 64-bit shingle hashes; word hashes are kept for the words seen last."""
+    """Sets of 64-bit shingle hashes."""
 
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[bytes, int] = {}
-
-    def words(self, raw: bytes | None) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known, out = self.known, []
-        for w in plain_words(raw or b""):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        self.hashes = WordHashes()
 
     def set(self, raw: bytes | None) -> np.ndarray:
         """The sorted distinct shingles; fewer words than a shingle has make one of all."""
-        w = self.words(raw)
+        w = self.hashes.of(plain_words(raw or b""))
         if not len(w):
             return w
         s = min(self.size, len(w))
