@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.ship import ship
+from ..sources.shared import written
 
 RATE, HASHES = 0.01, 7
 
@@ -29,39 +30,68 @@ def places(keys: np.ndarray, bits: int, hashes: int = HASHES) -> np.ndarray:
         return ((h[:, None] + g[:, None] * np.arange(hashes, dtype=np.uint64)) >> np.uint64(7)) % np.uint64(bits)
 
 
-def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key") -> np.ndarray:
-    """The filter's bits (packed) for about ``n`` keys; partial filters of all tasks are joined by OR in one row each."""
-    bits = size_bits(n, rate)
+#: Bits of one part of a filter at most.
+PART_BITS = 8 << 20
 
-    def partial(batches):
+
+def parts_of(n: int, rate: float = RATE, most: int = PART_BITS) -> tuple[int, int]:
+    """Parts of a filter for ``n`` keys, and the bits of each: keys are dealt into parts by hash, so no task holds more than ``most`` bits."""
+    parts = max(1, -(-size_bits(n, rate) // most))
+    return parts, size_bits(-(-n // parts), rate)
+
+
+def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key", most: int = PART_BITS) -> DataFrame:
+    """The filter for about ``n`` keys as a written table: part, parts, bits (packed). Null keys are not in it."""
+    parts, bits = parts_of(n, rate, most)
+
+    def fill(table: pa.Table) -> pa.Table:
         held = np.zeros(bits // 8, dtype=np.uint8)
-        for b in batches:
-            where = np.unique(places(b.column(0).to_numpy(), bits))
-            np.bitwise_or.at(held, (where >> np.uint64(3)).astype(np.int64), np.left_shift(1, (where & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
+        where = np.unique(places(table.column("key").to_numpy(), bits))
+        np.bitwise_or.at(held, (where >> np.uint64(3)).astype(np.int64), np.left_shift(1, (where & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([parts], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["part", "parts", "bits"])
 
     ship(tombstones.sparkSession)
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in tombstones.select(column).mapInArrow(partial, "bits binary").toLocalIterator():
-        out |= np.frombuffer(bytes(r.bits), dtype=np.uint8)
-    return out
+    keys = tombstones.select(F.col(column).cast("long").alias("key")).where("key is not null").distinct()
+    return written(keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(fill, "part long, parts long, bits binary"), "bloom")
+
 
+def may_hold(df: DataFrame, filter_: DataFrame, column: str = "key", salts: int = 8) -> DataFrame:
+    """``df`` with ``may``: False only if the filter (of ``build``) proves that the key was not added.
 
-def may_hold(df: DataFrame, filter_: np.ndarray, column: str = "key") -> DataFrame:
-    """``df`` with ``may``: False only if the filter proves that the key was not added."""
-    shared = df.sparkSession.sparkContext.broadcast(filter_.tobytes())
+    Rows go to the part of the filter that their key belongs to, each part in ``salts`` copies, so that rows of one key take
+    as many tasks; a task reads the part first and then the rows, one batch after the other. A null key is in no filter.
+    """
+    names = df.columns
     schema = StructType([*df.schema.fields, StructField("may", BooleanType())])
-    where = df.columns.index(column)
+    parts = filter_.agg(F.max("parts")).first()[0] or 1
+    where = names.index(column)
+    row = F.struct(*names)
+    asked = df.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(parts)).alias("part"), F.pmod(F.xxhash64(*names), F.lit(salts)).alias("salt"), F.lit(None).cast("binary").alias("bits"), F.lit(1).alias("kind"), row.alias("row"))
+    told = filter_.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "bits", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    together = told.unionByName(asked).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind")
 
     def test(batches):
-        held = np.frombuffer(shared.value, dtype=np.uint8)
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            p = places(b.column(where).to_numpy(), len(held) * 8)
-            hit = (held[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit.all(axis=1))], [*b.schema.names, "may"])
+            part, bits, kind, row = (b.column(i) for i in (0, 2, 3, 4))
+            part, kind = part.to_numpy(), kind.to_numpy()
+            may = np.zeros(b.num_rows, dtype=bool)
+            keys = row.field(where)
+            for p in dict.fromkeys(part.tolist()):
+                new = np.flatnonzero((part == p) & (kind == 0))
+                if len(new):
+                    held = {p: np.frombuffer(bits[int(new[-1])].as_py(), dtype=np.uint8)}  # of the rows that follow
+                some = np.flatnonzero((part == p) & (kind == 1) & keys.is_valid().to_numpy(zero_copy_only=False))
+                if len(some) and p in held:
+                    at = places(keys.take(pa.array(some)).to_numpy(zero_copy_only=False), len(held[p]) * 8)
+                    may[some] = ((held[p][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+            rows = np.flatnonzero(kind == 1)
+            if len(rows):
+                back = row.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*(back.field(i) for i in range(len(names))), pa.array(may[rows])], [*names, "may"])
 
     ship(df.sparkSession)
-    return df.mapInArrow(test, schema)
+    return together.mapInArrow(test, schema)
 
 
 def gated_deleted(df: DataFrame, tombstones: DataFrame, n: int) -> DataFrame:

@@ -6,20 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def brackets(log: DataFrame) -> DataFrame:
+#: Ops of one (key, value) are taken together in stretches of so many seqs.
+SPAN = 1 << 26
+
+
+def brackets(log: DataFrame, span: int = SPAN, by: tuple[str, ...] = ("key", "value")) -> DataFrame:
     """The op log with ``alive``: inserts that no later delete meets, and deletes that meet no insert.
 
-    Within a (key, value), inserts open and deletes close brackets in the order of seq. An insert
+    Within a (key, value), or what ``by`` names, inserts open and deletes close brackets in the order of seq. An insert
     lives if the balance never falls below its own afterwards; a delete is unmatched if it takes the balance to
-    a new low below zero. Both windows share one exchange and sort.
+    a new low below zero. The ops are read in stretches of ``span`` seqs, so that a (key, value) with much of
+    the log takes many tasks; each stretch's balance and lows, a row, tell the others what they need.
     """
-    w = Window.partitionBy("key", "value").orderBy("seq")
-    sign = F.when(F.col("op") == "I", 1).otherwise(-1)
-    run = log.withColumn("_run", F.sum(sign).over(w))
-    ahead = F.min("_run").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    behind = F.coalesce(F.min("_run").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = run.withColumn("alive", F.when(F.col("op") == "I", ahead >= F.col("_run")).otherwise((F.col("_run") < 0) & (F.col("_run") < behind)))
-    return marked.drop("_run")
+    names = [c for c in log.columns]
+    within = Window.partitionBy(*by, "_block").orderBy("seq")
+    run = log.withColumn("_block", F.floor(F.col("seq") / span).cast("long")).withColumn("_run", F.sum(F.when(F.col("op") == "I", 1).otherwise(-1)).over(within))
+    run = run.withColumn("_ahead", F.min("_run").over(within.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    run = run.withColumn("_behind", F.min("_run").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    blocks = run.groupBy(*by, "_block").agg(F.min("_run").alias("_low"), F.max_by("_run", "seq").alias("_total"))
+    along = Window.partitionBy(*by).orderBy("_block")
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("_floor", F.col("_before") + F.col("_low")).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_block").alias("_b"), "_before", F.min("_floor").over(earlier).alias("_least"), F.min("_floor").over(later).alias("_next"))
+    # the summaries are of the rows' own groups, so this join needs no further exchange of the rows
+    same = F.col("_block") == F.col("_b")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    told = run.join(blocks, same)
+    balance = F.col("_before") + F.col("_run")
+    ahead = F.least(F.col("_before") + F.col("_ahead"), F.col("_next"))  # nulls don't count
+    behind = F.least(F.lit(0), F.col("_before") + F.col("_behind"), F.col("_least"))
+    return told.withColumn("alive", F.when(F.col("op") == "I", ahead >= balance).otherwise(balance < behind)).select(*names, "alive")
 
 
 def live(log: DataFrame) -> DataFrame:
@@ -43,10 +60,16 @@ def found(requests: DataFrame, df: DataFrame, on: list[str]) -> DataFrame:
     return requests.join(there, on, "left").withColumn("found", F.coalesce("_there", F.lit(0))).drop("_there")
 
 
+def met(requests: DataFrame, df: DataFrame) -> DataFrame:
+    """Delete requests (seq, key, value) with ``found``: 1 if one meets a record of ``df`` (key, value, seq) of its own, as tombstones do."""
+    columns = ("seq", "key", "value")
+    both = df.select(*columns, F.lit("I").alias("op")).unionByName(requests.select(*columns, F.lit("T").alias("op")))
+    return brackets(both).where("op = 'T'").select(*columns, (~F.col("alive")).cast("int").alias("found"))
+
+
 def deleted_later(log: DataFrame) -> DataFrame:
-    """Inserts with ``deleted``: whether an equal tombstone comes later, as a sample checks it."""
-    last = F.max(F.when(F.col("op") != "I", F.col("seq"))).over(Window.partitionBy("key", "value"))
-    return log.withColumn("deleted", F.coalesce(last > F.col("seq"), F.lit(False))).where(F.col("op") == "I")
+    """Inserts with ``deleted``: whether a later tombstone has met them, as a sample checks it."""
+    return brackets(log).where(F.col("op") == "I").withColumn("deleted", ~F.col("alive")).drop("alive")
 
 
 def accept(log: DataFrame, size: int, cap: int) -> DataFrame:

@@ -23,10 +23,16 @@ def offsets(df: DataFrame, n: int) -> tuple[list[tuple[int, int, int]], int]:
 
 
 def dealt(draws: DataFrame, line: list[tuple[int, int, int]]) -> DataFrame:
-    """Draws (draw, r) with the shard that r falls into and the place in it."""
-    places = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for s, a, b in line])
-    hit = F.filter(places, lambda x: (x["a"] <= F.col("r")) & (F.col("r") < x["b"]))[0]
-    return draws.withColumn("_hit", hit).select("draw", F.col("_hit.shard").alias("shard"), (F.col("r") - F.col("_hit.a")).alias("at"))
+    """Draws (draw, r) with the shard that r falls into and the place in it.
+
+    The line is cut into as many equal cells as it has shards; a shard is a row for each cell it
+    reaches into, twice as many rows as shards in all at most, and draws meet it by their cell: an equi-join of data, whatever
+    the number of shards.
+    """
+    width = max(1, -(-line[-1][2] // len(line)))
+    cells = draws.sparkSession.createDataFrame([(cell, s, a, b) for s, a, b in line for cell in range(a // width, (b - 1) // width + 1)], "_cell long, shard int, _a long, _b long")
+    hit = (F.col("_a") <= F.col("r")) & (F.col("r") < F.col("_b"))
+    return draws.withColumn("_cell", F.floor(F.col("r") / width).cast("long")).join(cells, "_cell").where(hit).select("draw", "shard", (F.col("r") - F.col("_a")).alias("at"))
 
 
 def look_up(df: DataFrame, draws: DataFrame, by: list[str], tail: tuple[str, ...] = ()) -> DataFrame:
@@ -104,26 +110,45 @@ def sample_alias(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataF
 
 def sample_rejecting(buffer: DataFrame, k: int, seed: int = 1, attempts: int = 64) -> DataFrame:
     """Draws from a write buffer (bounded by its capacity): a uniform slot, accepted with probability
-    weight / largest weight; the first accepted of ``attempts`` counts. Slots go by (key, value)."""
-    b = buffer.agg(F.count("*").alias("n"), F.max("weight").alias("most")).first()
+    weight / largest weight; the first accepted of ``attempts`` counts. Draws without one, as of very uneven weights, are
+    looked up by cumulated weight: the same distribution, so ``k`` rows always come. Slots go by (key, value)."""
+    b = buffer.agg(F.count("*").alias("n"), F.max("weight").alias("most"), F.sum("weight").alias("total")).first()
     if not b.n or not b.most:
         return buffer.sparkSession.createDataFrame([], "draw long, key long, value long, weight long")
     slots = buffer.withColumn("slot", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key", "value")) - 1).cast("long"))  # one buffer
-    tries = buffer.sparkSession.range(k).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("try"))
+    draws = buffer.sparkSession.range(k).select(F.col("id").alias("draw"))
+    tries = draws.select("draw", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("try"))
     tries = tries.select("draw", "try", below(F.lit(b.n), seed, F.col("draw"), F.col("try"), "slot").alias("slot"), below(F.lit(b.most), seed, F.col("draw"), F.col("try"), "coin").alias("coin"))
     kept = tries.join(slots, "slot").where(F.col("coin") < F.col("weight"))
-    return kept.groupBy("draw").agg(F.min_by(F.struct("key", "value", "weight"), "try").alias("x")).select("draw", "x.*")
+    first = kept.groupBy("draw").agg(F.min_by(F.struct("key", "value", "weight"), "try").alias("x")).select("draw", "x.*")
+    rest = draws.join(first, "draw", "left_anti").select("draw", F.lit(0).alias("shard"), below(F.lit(b.total), seed, F.col("draw"), "rest").alias("at"))
+    return first.unionByName(look_up(buffer.withColumn("shard", F.lit(0)), rest, ["shard"]))
 
 
 def sample_retrying(df: DataFrame, dead: Column, k: int, passes: int, seed: int = 1, shards: int = 8) -> DataFrame:
-    """Draws over all records, dead ones rejected and drawn again in up to ``passes`` passes: draw, pass, key, value, weight."""
+    """Draws over all records, dead ones rejected and drawn again in up to ``passes`` passes: draw, pass, key, value, weight.
+
+    What is rejected in all of them is drawn from the live records alone, as pass ``passes``, so ``k``
+    rows always come while anything with weight lives.
+    """
     spark = df.sparkSession
     line, total = offsets(df, shards)
-    tries = spark.range(k).select(F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"), F.col("id").alias("d"))
+    none = spark.createDataFrame([], "draw long, pass int, key long, value long, weight long")
+    if not total:
+        return none
+    draws = spark.range(k).select(F.col("id").alias("d"))
+    tries = draws.select(F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"), "d")
     coded = tries.select((F.col("d") * passes + F.col("pass")).alias("draw"), below(F.lit(total), seed, F.col("d"), F.col("pass")).alias("r"))
     got = look_up(df.withColumn("shard", shard_of(shards)), dealt(coded, line), ["shard"]).where(~dead)
     first = got.groupBy(F.floor(F.col("draw") / passes).alias("d")).agg(F.min(F.struct((F.col("draw") % passes).cast("int").alias("pass"), "key", "value", "weight")).alias("x"))
-    return first.select(F.col("d").alias("draw"), "x.*")
+    first = first.select(F.col("d").alias("draw"), "x.*")
+    alive = df.where(~dead)
+    line, total = offsets(alive, shards)
+    if not total:
+        return none
+    rest = draws.join(first, F.col("d") == F.col("draw"), "left_anti").select(F.col("d").alias("draw"), below(F.lit(total), seed, F.col("d"), "rest").alias("r"))
+    last = look_up(alive.withColumn("shard", shard_of(shards)), dealt(rest, line), ["shard"])
+    return first.unionByName(last.withColumn("pass", F.lit(passes)))
 
 
 def sample_by_group(df: DataFrame, group: str, k: int, seed: int = 1, shards: int = 8) -> DataFrame:

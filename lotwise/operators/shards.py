@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def shard_of(n: int, column: str = "key") -> Column:
     return F.pmod(F.col(column), F.lit(n)).cast("int")
@@ -16,25 +18,24 @@ def sorted_run(df: DataFrame, n: int, *tail: str) -> DataFrame:
     return run.withColumn("pos", (F.row_number().over(Window.partitionBy("shard").orderBy("key", "value", *tail)) - 1).cast("long"))
 
 
-def positions(df: DataFrame, *order: str, ranges: int = 16) -> DataFrame:
-    """``df`` with ``pos``, its place in the whole table's order, whose first column is numeric.
+def positions(df: DataFrame, *order: str, per_range: int = 1_000_000) -> DataFrame:
+    """``df`` with ``pos``, its place in the whole table's order.
 
-    The first column's quantiles cut the table into ranges; rows are numbered within each, and
-    the ranges' counts (``ranges`` numbers) are added as offsets. So no task sorts everything,
-    unless one value of that column has nearly all rows.
+    The table is range-partitioned over all order columns into parts of about ``per_range`` rows,
+    so a frequent first value is split as well, and written; the parts' counts, a row each, are added up as offsets.
+    Rows that are equal in all order columns come to one part.
     """
-    first = order[0]
-    cuts = sorted(set(df.stat.approxQuantile(first, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    cut = df.withColumn("_range", part)
-    counts = {r["_range"]: r["count"] for r in cut.groupBy("_range").count().collect()}
+    spark = df.sparkSession
+    n = max(1, -(-df.count() // per_range))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(ranged.withColumn("_range", F.shiftright("_at", 33)), "ranges")
+    counts = sorted(tuple(r) for r in placed.groupBy("_range").agg(F.count("*"), F.min("_at")).collect())
     before, offsets = 0, []
-    for r in sorted(counts):
-        offsets += [F.lit(r), F.lit(before).cast("long")]
-        before += counts[r]
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    offset = F.create_map(*offsets)[F.col("_range")] if offsets else F.lit(0)
-    return cut.withColumn("pos", (within + offset).cast("long")).drop("_range")
+    for part, count, first in counts:
+        offsets.append((part, before - first))
+        before += count
+    moved = spark.createDataFrame(offsets or [(0, 0)], "_range long, _by long")
+    return placed.join(moved, "_range").withColumn("pos", F.col("_at") + F.col("_by")).drop("_range", "_at", "_by")
 
 
 def merge(*runs: DataFrame) -> DataFrame:

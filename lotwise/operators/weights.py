@@ -24,19 +24,27 @@ def intervals(df: DataFrame, *by: str, tail: tuple[str, ...] = ()) -> DataFrame:
 
 
 def vose(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An alias table in one pass over small and large slots."""
-    n = len(weights)
-    prob = weights.astype(np.float64) * n / weights.sum()
+    """An alias table by prefix sums: what small slots lack, one after the other, against what large ones have to spare.
+
+    A small slot's alias is the large one in whose stretch of the line of spare mass its lack begins. Where the
+    lack ends beyond that stretch, the large slot becomes small itself, with the next large one as its alias.
+    """
+    n, total = len(weights), int(weights.sum())
+    exact = int(weights.max()) * n < 2**62 and total * n < 2**62  # whole numbers, as far as they fit
+    mass = weights.astype(np.int64) * n if exact else weights.astype(np.float64) * n
+    prob = np.minimum(mass / total, 1.0)
     alias = np.arange(n)
-    small, large = [i for i in range(n) if prob[i] < 1], [i for i in range(n) if prob[i] >= 1]
-    while small and large:
-        s, b = small.pop(), large[-1]
-        alias[s] = b
-        prob[b] -= 1 - prob[s]
-        if prob[b] < 1:
-            small.append(large.pop())
-    for i in small + large:
-        prob[i] = 1.0
+    small, large = np.flatnonzero(mass < total), np.flatnonzero(mass >= total)
+    if len(small):
+        lack, spare = np.cumsum(total - mass[small]), np.cumsum(mass[large] - total)
+        spare[-1] = max(spare[-1], lack[-1])  # they are equal but for rounding
+        before = np.concatenate((lack[:1] * 0, lack[:-1]))
+        alias[small] = large[np.minimum(np.searchsorted(spare, before, side="right"), len(large) - 1)]
+        begun = np.searchsorted(before, spare, side="left")
+        over = np.where(begun > 0, lack[np.maximum(begun, 1) - 1], 0) - spare
+        prob[large] = np.clip(1 - over / total, 0.0, 1.0)
+        prob[large[-1]] = 1.0
+        alias[large[:-1]] = large[1:]
     return prob, alias
 
 

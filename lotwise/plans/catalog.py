@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions.rng import bits_sql
 from ..operators import bloom, metrics, resolve, shards, weights
 from ..operators import sample as sampling
 from ..sources import tsv, workload
+from ..sources.shared import work_path
 from ..streaming.ingest import ingest
 from .layout import Config, closed_form, digits, flushes, level_capacity
 from .store import Index
@@ -113,8 +112,7 @@ query("coord_key", "SELECT c_custkey, CAST(trunc((c_acctbal / 100 + 180) * 1e7)
 @query("tsv_scan", W_ + "SELECT count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM rec")
 def tsv_scan(spark: SparkSession, d: str) -> DataFrame:
     """Records written as tab-separated text to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/tsv-{uuid.uuid4().hex}"
+    path = work_path(spark, "tsv")
     tsv.write_records(orders(spark, d), path)
     return tsv.key_bounds(tsv.read_records(spark, path))
 
@@ -140,19 +138,19 @@ query("tag_delete_found", W_ + "SELECT r.key, CAST(r.key IN (SELECT key FROM doc
 )
 query("tombstone_live", W_ + "SELECT seq, key, value, weight FROM live")(lambda s, d: resolve.live(ops(s, d)).select("seq", "key", "value", "weight"))
 query("tombstone_unmatched", W_ + "SELECT seq, key, value FROM br WHERE op = 'T' AND alive")(lambda s, d: resolve.unmatched(ops(s, d)).select("seq", "key", "value"))
-query("anti_lookup", W_ + "SELECT seq, EXISTS (SELECT 1 FROM ops t WHERE t.op = 'T' AND t.key = o.key AND t.value = o.value AND t.seq > o.seq) AS deleted FROM ops o WHERE op = 'I'")(
+query("anti_lookup", W_ + "SELECT seq, NOT alive AS deleted FROM br WHERE op = 'I'")(
     lambda s, d: resolve.deleted_later(ops(s, d)).select("seq", "deleted")
 )
-query("buffer_flush", W_ + "SELECT * FROM (SELECT seq, key, value, op, CASE WHEN op = 'I' THEN min(run) OVER w1 >= run ELSE run < 0 AND run < coalesce(min(run) OVER w2, 0) END AS alive FROM (SELECT *, sum(CASE op WHEN 'I' THEN 1 ELSE -1 END) OVER (PARTITION BY key, value ORDER BY seq) AS run FROM ops WHERE seq < 1000) WINDOW w1 AS (PARTITION BY key, value ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), w2 AS (PARTITION BY key, value ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE alive")(
-    lambda s, d: resolve.brackets(ops(s, d).where("seq < 1000")).where("alive").select("seq", "key", "value", "op", "alive")
+query("buffer_flush", W_ + "SELECT * FROM (SELECT seq, key, value, op, CASE WHEN op = 'I' THEN min(run) OVER w1 >= run ELSE run < 0 AND run < coalesce(min(run) OVER w2, 0) END AS alive FROM (SELECT *, sum(CASE op WHEN 'I' THEN 1 ELSE -1 END) OVER (PARTITION BY buffer, key, value ORDER BY seq) AS run FROM (SELECT *, seq // 1000 AS buffer FROM ops)) WINDOW w1 AS (PARTITION BY buffer, key, value ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), w2 AS (PARTITION BY buffer, key, value ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE alive")(
+    lambda s, d: resolve.brackets(tsv.batches(ops(s, d), Config().buffer_cap), by=("batch", "key", "value")).where("alive").select("seq", "key", "value", "op", "alive")
 )
 
 # -- sort and merge -------------------------------------------------------------------------------
 query("sorted_run", W_ + f"SELECT CAST(key % {SHARDS} AS INTEGER) AS shard, row_number() OVER (PARTITION BY key % {SHARDS} ORDER BY key, value) - 1 AS pos, key, value FROM rec")(
     lambda s, d: shards.sorted_run(orders(s, d), SHARDS).select("shard", "pos", "key", "value")
 )
-query("kway_merge", W_ + "SELECT row_number() OVER (ORDER BY key, value) - 1 AS pos, key, value, weight FROM rec WHERE key % 8 < 3")(
-    lambda s, d: shards.positions(shards.merge(*(orders(s, d).where(f"key % 8 = {i}") for i in range(3))), "key", "value").select("pos", "key", "value", "weight")
+query("kway_merge", W_ + "SELECT row_number() OVER (ORDER BY key, value) - 1 AS pos, key, value, weight FROM rec")(
+    lambda s, d: shards.positions(shards.merge(*(orders(s, d).where(f"key % 3 = {i}") for i in range(3))), "key", "value").select("pos", "key", "value", "weight")
 )
 query("merge_cancel", W_ + "SELECT seq, key, value, op = 'T' AS is_tombstone FROM br WHERE alive")(
     lambda s, d: resolve.brackets(shards.merge(*(resolve.brackets(ops(s, d).where(c)).where("alive").drop("alive") for c in ("seq < 5000", "seq >= 5000")))).where("alive").select("seq", "key", "value", (F.col("op") == "T").alias("is_tombstone"))
@@ -173,8 +171,8 @@ query(
     "lower_bound",
     W_ + f", run2 AS (SELECT key % {SHARDS} AS shard, key, row_number() OVER (PARTITION BY key % {SHARDS} ORDER BY key, value) - 1 AS pos FROM rec), p AS (SELECT c_custkey % {SHARDS} AS shard, c_custkey * 13 AS x FROM customer) SELECT CAST(p.shard AS INTEGER) AS shard, x, (SELECT min(pos) FROM run2 WHERE run2.shard = p.shard AND run2.key >= x) AS pos FROM p",
 )(lambda s, d: shards.lower_bound(shards.sorted_run(orders(s, d), SHARDS), probes(s, d)).select("shard", "x", "pos"))
-query("record_at", W_ + f"SELECT * FROM (SELECT CAST(key % {SHARDS} AS INTEGER) AS shard, row_number() OVER (PARTITION BY key % {SHARDS} ORDER BY key, value) - 1 AS pos, key, value, weight FROM rec) WHERE pos % 100 = 0")(
-    lambda s, d: shards.record_at(shards.sorted_run(orders(s, d), SHARDS), shards.sorted_run(orders(s, d), SHARDS).where("pos % 100 = 0").select("shard", "pos")).select("shard", "pos", "key", "value", "weight")
+query("record_at", W_ + f"SELECT * FROM (SELECT CAST(key % {SHARDS} AS INTEGER) AS shard, row_number() OVER (PARTITION BY key % {SHARDS} ORDER BY key, value) - 1 AS pos, key, value, weight FROM rec)")(
+    lambda s, d: shards.record_at(shards.sorted_run(orders(s, d), SHARDS), shards.sorted_run(orders(s, d), SHARDS).select("shard", "pos")).select("shard", "pos", "key", "value", "weight")
 )
 
 # -- layout ---------------------------------------------------------------------------------------
@@ -216,9 +214,6 @@ query("alias_reconstruct", W_ + f"SELECT CAST(key % {SHARDS} AS INTEGER) AS shar
 # -- samples --------------------------------------------------------------------------------------
 query("sample_wr", W_ + lookup_sql("SELECT * FROM rec"))(lambda s, d: sampling.sample(orders(s, d), DRAWS, SEED, SHARDS))
 query("sample_arrow", W_ + lookup_sql("SELECT * FROM rec"))(lambda s, d: sampling.sample_arrow(orders(s, d), DRAWS, SEED, SHARDS))
-query("sample_static", W_ + lookup_sql("SELECT * FROM rec WHERE status = 'O'"))(
-    lambda s, d: sampling.sample(records(table(s, d, "orders").where("o_orderstatus = 'O'"), "o_orderkey", "o_custkey", coerce_weight(F.col("o_totalprice"), 100)), DRAWS, SEED, SHARDS)
-)
 query("sample_range", W_ + lookup_sql("SELECT * FROM rec WHERE key BETWEEN 1000 AND 5000"))(lambda s, d: sampling.sample(orders(s, d).where("key between 1000 and 5000"), DRAWS, SEED, SHARDS))
 query("sample_empty", W_ + lookup_sql("SELECT * FROM rec WHERE false"))(lambda s, d: sampling.sample(orders(s, d).where("false"), DRAWS, SEED, SHARDS))
 query("sample_after_delete", W_ + lookup_sql("SELECT * FROM docs ANTI JOIN tox USING (key)"))(lambda s, d: sampling.sample(resolve.drop_tagged(documents(s, d), toxic(s, d), ["key"]), DRAWS, SEED, SHARDS))
@@ -234,20 +229,49 @@ st AS (SELECT draw, shard, {bits_sql(repr(str(SEED)), "'inner'", 'draw')} % w AS
 cdf AS (SELECT *, key % {SHARDS} AS shard, CAST(sum(weight) OVER (PARTITION BY key % {SHARDS} ORDER BY key, value) AS BIGINT) AS hi FROM rec WHERE weight > 0)
 SELECT draw, key, value, weight FROM st JOIN cdf ON st.shard = cdf.shard AND x >= hi - weight AND x < hi""",
 )(lambda s, d: sampling.two_stage(orders(s, d), DRAWS, SEED, SHARDS))
+#: How many of a table's rows are flushed, so that the rest are in the buffer.
+FLUSHED = f"((SELECT count(*) FROM {{}}) - 1) // {Config().buffer_cap} * {Config().buffer_cap}"
+
+
+def buffered(df: DataFrame, order: str) -> DataFrame:
+    """The rows that are still in the write buffer after ``df`` has been appended by ``order``."""
+    cap = Config().buffer_cap
+    return shards.positions(df, order).where(F.col("pos") >= flushes(df.count(), cap) * cap).drop("pos")
+
+
 query(
     "sample_buffer_reject",
-    W_ + f""", b AS (SELECT key, value, weight, row_number() OVER (ORDER BY key, value) - 1 AS slot FROM rec WHERE key < 1000), t AS (SELECT count(*) AS n, max(weight) AS m FROM b),
-a AS (SELECT draw, tr, {bits_sql(repr(str(SEED)), 'draw', 'tr', "'slot'")} % n AS slot, {bits_sql(repr(str(SEED)), 'draw', 'tr', "'coin'")} % m AS coin FROM t, (SELECT unnest(range(500)) AS draw), (SELECT unnest(range(64)) AS tr)),
-k AS (SELECT draw, key, value, weight, row_number() OVER (PARTITION BY draw ORDER BY tr) AS i FROM a JOIN b USING (slot) WHERE coin < weight) SELECT draw, key, value, weight FROM k WHERE i = 1""",
-)(lambda s, d: sampling.sample_rejecting(orders(s, d).where("key < 1000"), 500, SEED))
-query("sample_buffer_scan", W_ + lookup_sql("SELECT seq, key, value, weight FROM live WHERE seq >= 9000", order=f"key % {SHARDS}, key, value, seq"))(
-    lambda s, d: sampling.sample(resolve.live(ops(s, d)).where("seq >= 9000"), DRAWS, SEED, SHARDS, ("seq",))
+    W_ + f""", b AS (SELECT key, value, weight, row_number() OVER (ORDER BY key, value) - 1 AS slot FROM (SELECT *, row_number() OVER (ORDER BY key) - 1 AS pos FROM rec) WHERE pos >= {FLUSHED.format("rec")}),
+t AS (SELECT count(*) AS n, max(weight) AS m, CAST(sum(weight) AS BIGINT) AS w FROM b), c AS (SELECT *, CAST(sum(weight) OVER (ORDER BY key, value) AS BIGINT) AS hi FROM b WHERE weight > 0),
+a AS (SELECT draw, tr, {bits_sql(repr(str(SEED)), 'draw', 'tr', "'slot'")} % n AS slot, {bits_sql(repr(str(SEED)), 'draw', 'tr', "'coin'")} % m AS coin FROM t, (SELECT unnest(range(500)) AS draw), (SELECT unnest(range(2)) AS tr)),
+k AS (SELECT draw, key, value, weight, row_number() OVER (PARTITION BY draw ORDER BY tr) AS i FROM a JOIN b USING (slot) WHERE coin < weight),
+r AS (SELECT draw, {bits_sql(repr(str(SEED)), 'draw', "'rest'")} % w AS x FROM t, (SELECT unnest(range(500)) AS draw) WHERE draw NOT IN (SELECT draw FROM k))
+SELECT draw, key, value, weight FROM k WHERE i = 1 UNION ALL SELECT draw, key, value, weight FROM r JOIN c ON x >= hi - weight AND x < hi""",
+)(lambda s, d: sampling.sample_rejecting(buffered(orders(s, d), "key"), 500, SEED, attempts=2))
+query("sample_buffer_scan", W_ + lookup_sql(f"SELECT seq, key, value, weight FROM live WHERE seq >= {FLUSHED.format('ops')}", order=f"key % {SHARDS}, key, value, seq"))(
+    lambda s, d: sampling.sample(resolve.live(ops(s, d)).where(F.col("seq") >= flushes(ops(s, d).count(), Config().buffer_cap) * Config().buffer_cap), DRAWS, SEED, SHARDS, ("seq",))
 )
 query(
     "sample_retry",
-    W_ + lookup_sql("SELECT * FROM rec", k=DRAWS * 8, hash_=bits_sql(repr(str(SEED)), "draw // 8", "draw % 8"), columns="*").replace("SELECT * FROM dr", "SELECT draw // 8 AS draw, CAST(arg_min(draw % 8, draw) AS INTEGER) AS pass, arg_min(key, draw) AS key, arg_min(value, draw) AS value, arg_min(weight, draw) AS weight FROM dr") + " WHERE key % 3 <> 0 GROUP BY 1",
+    W_ + lookup_sql("SELECT * FROM rec", k=DRAWS * 8, hash_=bits_sql(repr(str(SEED)), "draw // 8", "draw % 8"), columns="*").replace("SELECT * FROM dr", ", one AS (SELECT draw // 8 AS draw, CAST(arg_min(draw % 8, draw) AS INTEGER) AS pass, arg_min(key, draw) AS key, arg_min(value, draw) AS value, arg_min(weight, draw) AS weight FROM dr") + f""" WHERE key % 3 <> 0 GROUP BY 1),
+lc AS (SELECT *, CAST(sum(weight) OVER (ORDER BY key % {SHARDS}, key, value) AS BIGINT) AS lhi FROM rec WHERE weight > 0 AND key % 3 <> 0),
+rest AS (SELECT draw, {bits_sql(repr(str(SEED)), 'draw', "'rest'")} % (SELECT CAST(sum(weight) AS BIGINT) FROM lc) AS x FROM (SELECT unnest(range({DRAWS})) AS draw) WHERE draw NOT IN (SELECT draw FROM one))
+SELECT draw, pass, key, value, weight FROM one UNION ALL SELECT draw, CAST(8 AS INTEGER), key, value, weight FROM rest JOIN lc ON x >= lhi - weight AND x < lhi""",
 )(lambda s, d: sampling.sample_retrying(orders(s, d), F.col("key") % 3 == 0, DRAWS, 8, SEED, SHARDS))
-query("sample_alias")(lambda s, d: sampling.sample_alias(orders(s, d), DRAWS, SEED, SHARDS))
+query(
+    "sample_alias",
+    W_ + f""", sl AS (SELECT CAST(key % {SHARDS} AS INTEGER) AS shard, key, value, weight, row_number() OVER w - 1 AS slot, CAST(count(*) OVER (PARTITION BY key % {SHARDS}) AS BIGINT) AS n, CAST(sum(weight) OVER (PARTITION BY key % {SHARDS}) AS BIGINT) AS t FROM rec WHERE weight > 0 WINDOW w AS (PARTITION BY key % {SHARDS} ORDER BY key, value)),
+sm AS (SELECT *, CAST(sum(t - weight * n) OVER (PARTITION BY shard ORDER BY slot) AS BIGINT) AS lack FROM sl WHERE weight * n < t),
+lg AS (SELECT *, CAST(sum(weight * n - t) OVER (PARTITION BY shard ORDER BY slot) AS BIGINT) AS spare, lead(slot) OVER (PARTITION BY shard ORDER BY slot) AS nxt FROM sl WHERE weight * n >= t),
+ends AS (SELECT shard, max(slot) AS last FROM lg GROUP BY 1),
+al AS (SELECT s.shard, s.slot, s.key, s.value, s.weight, (s.weight * s.n)::DOUBLE / s.t AS prob, coalesce(min(l.slot), any_value(e.last)) AS alias FROM sm s JOIN ends e USING (shard) LEFT JOIN lg l ON l.shard = s.shard AND l.spare > s.lack - (s.t - s.weight * s.n) GROUP BY 1, 2, 3, 4, 5, 6
+       UNION ALL SELECT l.shard, l.slot, l.key, l.value, l.weight, CASE WHEN l.nxt IS NULL THEN 1.0::DOUBLE ELSE greatest(0, least(1, 1 - (coalesce(max(s.lack), 0) - l.spare)::DOUBLE / l.t)) END, coalesce(l.nxt, l.slot) FROM lg l LEFT JOIN sm s ON s.shard = l.shard AND s.lack - (s.t - s.weight * s.n) < l.spare GROUP BY 1, 2, 3, 4, 5, l.nxt, l.spare, l.t),
+sh AS (SELECT shard, count(*) AS n, CAST(sum(weight) AS BIGINT) AS w, CAST(sum(sum(weight)) OVER (ORDER BY shard) AS BIGINT) AS hi FROM sl GROUP BY shard),
+dr AS (SELECT draw, {bits_sql(repr(str(SEED)), 'draw')} % (SELECT CAST(sum(w) AS BIGINT) FROM sh) AS r FROM (SELECT unnest(range({DRAWS})) AS draw)),
+st AS (SELECT draw, shard, {bits_sql(repr(str(SEED)), "'slot'", 'draw')} % n AS slot, (CAST({bits_sql(repr(str(SEED)), "'coin'", 'draw')} AS DOUBLE) + 1) / 1152921504606846976.0::DOUBLE AS u FROM dr JOIN sh ON r >= hi - w AND r < hi),
+tk AS (SELECT draw, shard, CASE WHEN u <= prob THEN slot ELSE alias END AS slot FROM st JOIN al USING (shard, slot))
+SELECT draw, key, value, weight FROM tk JOIN sl USING (shard, slot)""",
+)(lambda s, d: sampling.sample_alias(orders(s, d), DRAWS, SEED, SHARDS))
 query(
     "sample_share_error",
     W_ + lookup_sql("SELECT * FROM rec", columns="*").replace("SELECT * FROM dr", ", got AS (SELECT grade, count(*) AS n FROM dr") + f" GROUP BY 1), want AS (SELECT grade, CAST(sum(weight) AS BIGINT) AS w FROM rec GROUP BY 1) SELECT grade, coalesce(n, 0) AS n, CAST(floor(abs(coalesce(n, 0) * 1000.0::DOUBLE / {DRAWS} - w * 1000.0::DOUBLE / (SELECT w FROM tot))) AS BIGINT) AS off FROM want LEFT JOIN got USING (grade)",
@@ -275,7 +299,7 @@ query("shards_by_level", LEVELED + "SELECT CAST(level AS INTEGER) AS level, CAST
 )
 query(
     "rejection_rate",
-    LEVELED + "SELECT CAST(level AS INTEGER) AS level, count(*) AS checks, count(*) FILTER (rejected) AS rejections, CASE WHEN count(*) FILTER (rejected) > 16 THEN CAST(floor(count(*) FILTER (rejected) * 1000000 / count(*)) AS BIGINT) ELSE 0 END AS rate_ppm FROM (SELECT level, EXISTS (SELECT 1 FROM ops t WHERE t.op = 'T' AND t.key = o.key AND t.value = o.value AND t.seq > o.seq) AS rejected FROM placed o WHERE op = 'I') GROUP BY level",
+    LEVELED + "SELECT CAST(level AS INTEGER) AS level, count(*) AS checks, count(*) FILTER (rejected) AS rejections, CASE WHEN count(*) FILTER (rejected) > 16 THEN CAST(floor(count(*) FILTER (rejected) * 1000000 / count(*)) AS BIGINT) ELSE 0 END AS rate_ppm FROM (SELECT level, NOT alive AS rejected FROM placed JOIN br USING (seq) WHERE br.op = 'I') GROUP BY level",
 )(lambda s, d: metrics.rejections(resolve.deleted_later(leveled(s, d)).select("level", F.col("deleted").alias("rejected")), 16))
 
 # -- approximate structures -----------------------------------------------------------------------
@@ -299,11 +323,6 @@ dr AS (SELECT grade, draw, {bits_sql(repr(str(SEED)), 'grade', 'draw')} % w AS r
 query("doc_mix", W_ + lookup_sql("SELECT * FROM docs"))(lambda s, d: sampling.sample(documents(s, d), DRAWS, SEED, SHARDS))
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("index_live", W_ + "SELECT seq, key, value, weight FROM live")
 def index_live(spark: SparkSession, d: str) -> DataFrame:
     """The op log through a stored index in three appends with flushes and merges; what lives is the same."""
@@ -328,3 +347,86 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return index.live().groupBy("key", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
+
+
+def in_index(spark: SparkSession, d: str, config: Config, appends: int = 3) -> Index:
+    """The op log in a stored index."""
+    log = ops(spark, d)
+    n = log.count()
+    index = Index(spark, work_path(spark, "index"), config)
+    for i in range(appends):
+        index.append(log.where((F.col("seq") >= n * i // appends) & (F.col("seq") < n * (i + 1) // appends)), i)
+    return index
+
+
+def seventh(spark: SparkSession, d: str) -> int:
+    return max(100, ops(spark, d).count() // 7)
+
+
+@query("index_leveling", W_ + "SELECT seq, key, value, weight FROM live")
+def index_leveling(spark: SparkSession, d: str) -> DataFrame:
+    """As ``index_live``, with one shard for each level."""
+    return in_index(spark, d, Config(seventh(spark, d), 2, layout="leveling")).live().select("seq", "key", "value", "weight")
+
+
+@query("index_compaction", W_ + "SELECT seq, key, value, weight FROM live")
+def index_compaction(spark: SparkSession, d: str) -> DataFrame:
+    """With few deletes and few rejections allowed: levels are merged down for both, and what lives is the same."""
+    index = in_index(spark, d, Config(seventh(spark, d), 2, max_tombstone_prop=0.05, max_rejection_rate=0.001, rejection_floor=0))
+    index.sample(DRAWS, SEED).count()
+    assert index.metrics()["tombstones_valid"]
+    return index.live().select("seq", "key", "value", "weight")
+
+
+@query("index_delete", W_ + "SELECT seq, key, value, CAST(NOT alive AS INTEGER) AS found FROM br WHERE op = 'T'")
+def index_delete(spark: SparkSession, d: str) -> DataFrame:
+    """The log's inserts in an index and its deletes as requests: each is told whether it found a record of its own."""
+    log = ops(spark, d)
+    index = Index(spark, work_path(spark, "index"), Config(seventh(spark, d), 2, deletes="tag"))
+    index.bulk_load(log.where("op = 'I'"))
+    return index.delete(log.where("op = 'T'").select("seq", "key", "value"), 1)
+
+
+@query("index_bulk_load", DIGITS + "SELECT CAST(level AS INTEGER) AS level, CAST(d AS INTEGER) AS shards, n FROM lv")
+def index_bulk_load(spark: SparkSession, d: str) -> DataFrame:
+    """All orders loaded at once: the levels and shards that appends would make."""
+    index = Index(spark, work_path(spark, "index"), Config(CAP, SCALE))
+    index.bulk_load(seq_of(orders(spark, d)).withColumn("op", F.lit("I")))
+    return spark.createDataFrame([(i, len(lv), sum(x.rows for x in lv)) for i, lv in enumerate(index.state.levels)], "level int, shards int, n long")
+
+
+@query("index_erase", W_ + ", r AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS i, seq FROM ops WHERE op = 'T'), l AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value, seq) AS i FROM ops WHERE op = 'I') SELECT r.seq + 1000000000 AS seq, r.key, l.value, CAST(l.value IS NOT NULL AS INTEGER) AS found FROM r LEFT JOIN l ON r.key = l.key AND r.i = l.i")
+def index_erase(spark: SparkSession, d: str) -> DataFrame:
+    """A delete by key alone for each of the log's deletes, after all inserts: the key's records go one by one."""
+    log = ops(spark, d)
+    index = Index(spark, work_path(spark, "index"), Config(seventh(spark, d), 2))
+    index.bulk_load(log.where("op = 'I'"))
+    return index.erase(log.where("op = 'T'").select((F.col("seq") + 1_000_000_000).alias("seq"), "key"))
+
+
+query("index_snapshot_sample", W_ + lookup_sql("SELECT * FROM live", order=f"key % {SHARDS}, key, value, seq"))(
+    lambda s, d: sampling.sample(in_index(s, d, Config(seventh(s, d), 2)).compact_all(), DRAWS, SEED, SHARDS, ("seq",))
+)
+query("sample_static", W_ + lookup_sql("SELECT * FROM rec"))(
+    lambda s, d: (lambda index: (index.bulk_load(seq_of(orders(s, d)).withColumn("op", F.lit("I"))), sampling.sample(index.compact_all(), DRAWS, SEED, SHARDS))[1])(Index(s, work_path(s, "index"), Config()))
+)
+
+
+@query("index_sample", f"SELECT CAST({DRAWS} AS BIGINT) AS n, CAST({DRAWS} AS BIGINT) AS lives")
+def index_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Draws from the stored files, dead records rejected: all come, and all of them live."""
+    index = in_index(spark, d, Config(seventh(spark, d), 2))
+    drawn = index.sample(DRAWS, SEED)
+    there = index.live().select("key", "value", "weight", F.lit(True).alias("there")).distinct()
+    return drawn.join(there, ["key", "value", "weight"], "left").agg(F.count_distinct("draw").alias("n"), F.count("there").alias("lives"))
+
+
+query(
+    "index_metrics",
+    W_ + "SELECT count(*) AS records, count(*) FILTER (op = 'T') AS tombstones, CAST(sum(weight) AS BIGINT) AS weight FROM ops",
+)(lambda s, d: (lambda index: (index.append(ops(s, d)), s.createDataFrame([tuple(index.metrics()[k] for k in ("records", "tombstones", "weight"))], "records long, tombstones long, weight long"))[1])(Index(s, work_path(s, "index"), Config(buffer_cap=1 << 40))))
+query(
+    "sampled_workload",
+    W_ + f""", o AS (SELECT *, key AS seq FROM rec), v AS (SELECT * FROM o WHERE weight > 0 ORDER BY -ln((CAST({bits_sql('1', 'key', 'value')} AS DOUBLE) + 1) / 1152921504606846976.0::DOUBLE) / weight, key, value LIMIT 1000)
+SELECT seq * 2 AS seq, key, value, weight, 'I' AS op FROM o UNION ALL SELECT (seq + {bits_sql('1', "'when'", 'key', 'value')} % ((SELECT max(seq) FROM o) - seq + 1)) * 2 + 1, key, value, 0, 'T' FROM v""",
+)(lambda s, d: workload.sampled_log(seq_of(orders(s, d)), 1000))

@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.records import OP
+from ..functions.rng import below
+from ..functions.ship import ship
 from ..operators import resolve
+from ..operators.metrics import aux_bytes
 from ..operators.sample import sample
-from .layout import Config, Levels, Shard
+from ..operators.shards import positions
+from ..sources.shared import written
+from .layout import Config, Levels, Shard, closed_form, flushes
+
+#: What is stored besides the op: the file it is in and the weight before it there.
+STORED = T.StructType([*OP.fields, T.StructField("part", T.LongType()), T.StructField("lo", T.LongType())])
 
 
 class Index:
@@ -30,6 +43,10 @@ class Index:
         self.state = Levels(self.config, [[Shard(**s) for s in lv] for lv in held["levels"]] if held else [])
         self.buffers: list[dict] = held["buffers"] if held else []
         self.batches: list[int] = held["batches"] if held else []
+        #: Folders that no version from ``version`` on reads, as [name, version].
+        self.old: list[list] = held.get("old", []) if held else []
+        self.retired: list[Shard] = []
+        self.seconds = {"flush": 0.0, "merge": 0.0, "sample": 0.0, "load": 0.0}
         if not held:
             self._write_manifest()
 
@@ -51,7 +68,7 @@ class Index:
 
     def _write_manifest(self) -> None:
         """The next version under a new name: written aside, then renamed, so readers see all or nothing."""
-        text = json.dumps({"config": vars(self.config), "levels": [[vars(s) for s in lv] for lv in self.state.levels], "buffers": self.buffers, "batches": self.batches})
+        text = json.dumps({"config": vars(self.config), "levels": [[vars(s) for s in lv] for lv in self.state.levels], "buffers": self.buffers, "batches": self.batches, "old": self.old + [[s.path.rpartition("/")[2], (self._versions() or [0])[-1] + 1] for s in self.retired]})
         version = (self._versions() or [0])[-1] + 1
         aside = self._p(f".manifest-{uuid.uuid4().hex}")
         out = self.fs.create(aside, True)
@@ -71,28 +88,108 @@ class Index:
     def live(self) -> DataFrame:
         return resolve.live(self.log()).select("key", "value", "weight", "seq")
 
-    def sample(self, k: int, seed: int = 1, low: int | None = None, high: int | None = None, shards: int = 8) -> DataFrame:
-        """Weighted draws over what lives, optionally of a key range. Reading never compacts."""
-        rows = self.live()
-        if low is not None:
-            rows = rows.where(F.col("key") >= low)
-        if high is not None:
-            rows = rows.where(F.col("key") <= high)
-        return sample(rows, k, seed, shards, ("seq",))
+    @contextmanager
+    def _timed(self, what: str):
+        began = time.time()
+        yield
+        self.seconds[what] += time.time() - began
+
+    def sample(self, k: int, seed: int = 1, low: int | None = None, high: int | None = None, shards: int = 8, passes: int = 4, at_once: int = 1_000_000) -> DataFrame:
+        """Weighted draws over what lives: draw, key, value, weight.
+
+        Without a key range, draws fall on the line of all stored weight, dead records included: each file knows its weight and
+        each record the weight before it, so the files are read once and neither shuffled nor resolved. Only
+        the drawn (key, value)s are looked up among the deletes; dead draws are drawn again, in ``passes`` passes that are
+        made at once, and what is left after these is drawn from the resolved records, as are more than ``at_once`` draws and
+        those of a key range. Each draw is exact. Look-ups and rejections are counted at the level with the delete, and compact
+        where the index is set to do so (``max_rejection_rate`` below 1).
+        """
+        if low is not None or high is not None or k > at_once:
+            rows = self.live()
+            if low is not None:
+                rows = rows.where(F.col("key") >= low)
+            if high is not None:
+                rows = rows.where(F.col("key") <= high)
+            return sample(rows, k, seed, shards, ("seq",))
+        with self._timed("sample"):
+            return self._sample_stored(k, seed, shards, passes)
+
+    def _sources(self) -> list[tuple[int, str]]:
+        """(level, path) of all that is stored; the buffer is level -1."""
+        return [(-1, b["path"]) for b in self.buffers] + [(i, s.path) for i, lv in enumerate(self.state.levels) for s in lv]
+
+    def _sample_stored(self, k: int, seed: int, shards: int, passes: int) -> DataFrame:
+        spark = self.spark
+        none = spark.createDataFrame([], "draw long, key long, value long, weight long")
+        sources = self._sources()
+        known = spark.createDataFrame([(i, level, path.rpartition("/")[2]) for i, (level, path) in enumerate(sources)] or [(0, 0, "")], "source int, level int, folder string")
+        if not sources:
+            return none
+        folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+        read = lambda schema: spark.read.schema(schema).parquet(*[p for _, p in sources]).withColumn("folder", folder).join(F.broadcast(known), "folder")
+        parts = read("part long, weight long").groupBy("source", "part").agg(F.sum("weight").alias("w")).where("w > 0").orderBy("source", "part").collect()  # a row for each file
+        total, line = 0, []
+        for r in parts:
+            line.append((r.source, r.part, total))
+            total += r.w
+        if not total:
+            return none
+        width = max(1, total // (4 * k * passes))
+        tries = spark.range(k).select(F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"), F.col("id").alias("draw"))
+        tries = tries.withColumn("r", below(F.lit(total), seed, F.col("draw"), F.col("pass"))).withColumn("cell", F.floor(F.col("r") / width).cast("long"))
+        placed = read(STORED).where("weight > 0").join(spark.createDataFrame(line, "source int, part long, offset long"), ["source", "part"])
+        placed = placed.withColumn("a", F.col("offset") + F.col("lo")).select("level", "key", "value", "weight", "seq", "a", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("a") + F.col("weight") - 1) / width))).alias("cell"))
+        hits = placed.join(F.broadcast(tries), "cell").where((F.col("a") <= F.col("r")) & (F.col("r") < F.col("a") + F.col("weight")))  # at_once * passes rows at most
+        drawn = written(hits.select("draw", "pass", "level", "key", "value", "weight", "seq"), "drawn")
+        pair = ["key", "value"]
+        if any(s.tombstones for lv in self.state.levels for s in lv) or any(b["tombstones"] for b in self.buffers):
+            suspects = read(OP).where("op != 'I'").join(drawn.select(*pair).distinct(), pair, "left_semi").groupBy(*pair).agg(F.min("level").alias("at"))
+            alive = resolve.live(self.log().join(suspects, pair, "left_semi")).select(*pair, "seq", F.lit(True).alias("lives"))
+            told = drawn.join(suspects, pair, "left").join(alive, [*pair, "seq"], "left")
+            drawn = written(told.withColumn("dead", F.col("at").isNotNull() & F.col("lives").isNull()).drop("lives"), "drawn")
+        else:
+            drawn = drawn.withColumn("dead", F.lit(False)).withColumn("at", F.lit(None).cast("int"))
+        first = drawn.where("not dead").groupBy("draw").agg(F.min_by(F.struct("key", "value", "weight"), "pass").alias("x")).select("draw", "x.*")
+        if self.config.max_rejection_rate < 1:
+            # look-ups go from the newest level down to the one with the delete
+            dead = {r["at"]: r["count"] for r in drawn.where("dead").groupBy("at").count().collect()}
+            asked = drawn.count() - dead.get(-1, 0)
+            for level in range(len(self.state.levels)):
+                self._count_rejections(level, asked, dead.get(level, 0))
+                asked -= dead.get(level, 0)
+            first = written(first, "drawn")  # before any of its files is merged away
+            self._enforce_rejections()
+        if first.count() == k:
+            return first
+        rest = spark.range(k).select(F.col("id").alias("draw")).join(first.select("draw"), "draw", "left_anti")
+        return first.unionByName(sample(self.live(), k, seed, shards, ("seq",)).join(rest, "draw", "left_semi"))
 
     # -- writing ----------------------------------------------------------------------------------
     def _store(self, ops: DataFrame, kind: str) -> Shard:
         path = f"{self.path}/{kind}-{uuid.uuid4().hex}"
-        ops.select("seq", "key", "value", "weight", "op").write.parquet(path)
+
+        def number(batches):
+            before = 0
+            for b in batches:
+                weight = b.column(3).to_numpy()
+                hi = before + np.cumsum(weight)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hi - weight)], ["seq", "key", "value", "weight", "op", "part", "lo"])
+                before = int(hi[-1]) if len(hi) else before
+
+        ship(self.spark)
+        part = F.shiftright(F.monotonically_increasing_id(), 33).alias("part")
+        ops.select("seq", "key", "value", "weight", "op", part).mapInArrow(number, STORED).write.parquet(path)
         r = self._ops([path]).agg(F.count("*").alias("n"), F.count_if(F.col("op") != "I").alias("t"), F.sum("weight").alias("w")).first()
         return Shard(path, r.n, r.t, r.w or 0)
 
+    def _sorted(self, marked: DataFrame) -> Shard:
+        return self._store(marked.where("alive").sortWithinPartitions("key", "value", "seq"), "shard")
+
     def _merge(self, shards: list[Shard], bottom: bool) -> Shard:
         """One sorted shard; met pairs vanish, and at the bottom so do deletes, as nothing older can meet them."""
-        marked = resolve.brackets(self._ops([s.path for s in shards])).where("alive")
-        if bottom:
-            marked = marked.where("op = 'I'")
-        merged = self._store(marked.sortWithinPartitions("key", "value", "seq"), "shard")
+        with self._timed("merge"):
+            marked = resolve.brackets(self._ops([s.path for s in shards]))
+            merged = self._sorted(marked.where("op = 'I'") if bottom else marked)
         self.retired += shards
         return merged
 
@@ -100,55 +197,119 @@ class Index:
         """Add ops (seq, key, value, weight, op). A batch number that has been added is skipped, so replays do nothing.
 
         The buffer is flushed in slices of ``buffer_cap`` ops in the order of seq, each by the
-        append that comes after it is full.
+        append that comes after it is full. However many slices a batch has, its ops are put in order once and each slice reads its own.
         """
         if batch is not None and batch in self.batches:
             return
         new = self._store(ops, "buffer")
-        self.retired: list[Shard] = []
         if new.rows:
             self.buffers.append(vars(new))
         if batch is not None:
             self.batches.append(batch)
-        held = sum(b["rows"] for b in self.buffers)
-        while held > self.config.buffer_cap:
-            ops = self._ops([b["path"] for b in self.buffers])
-            cut = ops.orderBy("seq").select("seq").limit(self.config.buffer_cap).agg(F.max("seq")).first()[0]
-            flushed = self._store(resolve.brackets(ops.where(F.col("seq") <= cut)).where("alive").sortWithinPartitions("key", "value", "seq"), "shard")
-            self.retired += [Shard(**b) for b in self.buffers]
-            rest = self._store(ops.where(F.col("seq") > cut), "buffer")
-            self.buffers = [vars(rest)] if rest.rows else []
-            self.state.add(flushed, self._merge)
-            held = rest.rows
+        held, cap = sum(b["rows"] for b in self.buffers), self.config.buffer_cap
+        if held > cap:
+            with self._timed("flush"):
+                n = flushes(held, cap)
+                slices = self._sliced(self._ops([b["path"] for b in self.buffers]), [(i * cap, (i + 1) * cap) for i in range(n)] + [(n * cap, held)])
+                self.retired += [Shard(**b) for b in self.buffers]
+                for i in range(n):
+                    self.state.add(self._sorted(resolve.brackets(slices(i))), self._merge)
+                self.buffers = [vars(self._store(slices(n), "buffer"))]
+        self._write_manifest()
+        self._sweep()
+
+    def _sliced(self, ops: DataFrame, bounds: list[tuple[int, int]]):
+        """The ops from one place to another in the order of seq: written once by slice; each is read by itself."""
+        size = bounds[0][1]
+        placed = positions(ops, "seq", "key", "value", per_range=max(1000, min(1_000_000, size)))
+        if all(b - a == size for a, b in bounds[:-1]):
+            number = F.least(F.floor(F.col("pos") / size), F.lit(len(bounds) - 1)).cast("int")
+        else:  # as many as there are shards
+            number = F.lit(0)
+            for i, (a, _) in enumerate(bounds):
+                number = F.when(F.col("pos") >= a, i).otherwise(number)
+        path = f"{self.path}/slices-{uuid.uuid4().hex}"
+        placed.select(*OP.names, number.alias("slice")).write.partitionBy("slice").parquet(path)
+        self.retired.append(Shard(path, 0))
+        return lambda i: self.spark.read.schema(OP).parquet(f"{path}/slice={i}")
+
+    def bulk_load(self, ops: DataFrame, batch: int | None = None) -> None:
+        """Add ops to an empty index at once: they are put in order and each goes straight into the shard it would
+        end up in, or the buffer, so that nothing is merged."""
+        if self.state.levels or self.buffers:
+            raise ValueError("the index holds something already: append")
+        if batch is not None and batch in self.batches:
+            return
+        with self._timed("load"):
+            n = ops.count()
+            bounds = []
+            for lv in reversed(closed_form(n, self.config)):
+                size = lv["rows"] // lv["shards"]
+                bounds += [(lv["level"], lv["first"] + i * size, lv["first"] + (i + 1) * size) for i in range(lv["shards"])]
+            flushed = bounds[-1][2] if bounds else 0
+            if n:
+                slices = self._sliced(ops, [(a, b) for _, a, b in bounds] + [(flushed, n)])
+                self.state.levels = [[] for _ in range(bounds[0][0] + 1)] if bounds else []
+                for i, (level, _, _) in enumerate(bounds):
+                    marked = resolve.brackets(slices(i))
+                    self.state.levels[level].append(self._sorted(marked.where("op = 'I'") if i == 0 else marked))
+                self.buffers = [vars(self._store(slices(len(bounds)), "buffer"))]
+            if batch is not None:
+                self.batches.append(batch)
         self._write_manifest()
         self._sweep()
 
-    def delete(self, requests: DataFrame) -> DataFrame:
-        """Delete (seq, key, value); returns the requests with ``found``, 1 where a live record was met."""
-        ops = requests.select("seq", "key", "value", F.lit(0).cast("long").alias("weight"), F.lit("D" if self.config.deletes == "tag" else "T").alias("op"))
-        path = f"{self.path}/found-{uuid.uuid4().hex}"
-        resolve.found(requests, self.live(), ["key", "value"]).write.parquet(path)
-        self.append(ops)
+    def delete(self, requests: DataFrame, batch: int | None = None) -> DataFrame:
+        """Delete (seq, key, value); returns the requests with ``found``: 1 where a live record of its own was met.
+
+        Of two requests for one record, the first finds it. With a batch number, a replay deletes nothing and is told the same.
+        """
+        path = f"{self.path}/found-{uuid.uuid4().hex if batch is None else batch}"
+        if batch is None or batch not in self.batches:
+            resolve.met(requests, self.live()).write.mode("overwrite").parquet(path)
+            self.append(requests.select("seq", "key", "value", F.lit(0).cast("long").alias("weight"), F.lit("D" if self.config.deletes == "tag" else "T").alias("op")), batch)
         return self.spark.read.parquet(path)
 
-    def observe_rejections(self, level: int, checks: int, rejections: int) -> None:
-        """Count look-ups against a level, and compact what rejects too often."""
-        self.retired = []
+    def erase(self, requests: DataFrame, batch: int | None = None) -> DataFrame:
+        """Delete one live record for each (seq, key), as a tree does: the smallest value and seq first. Like ``delete``."""
+        nth = F.row_number()
+        there = self.live().join(requests.select("key").distinct(), "key", "left_semi").select("key", "value", nth.over(Window.partitionBy("key").orderBy("value", "seq")).alias("nth"))
+        asked = requests.select("seq", "key", nth.over(Window.partitionBy("key").orderBy("seq")).alias("nth"))
+        return self.delete(written(asked.join(there, ["key", "nth"], "left").select("seq", "key", "value"), "erase"), batch)
+
+    def _count_rejections(self, level: int, checks: int, rejections: int) -> None:
         for s in self.state.levels[level][:1]:
             s.checks += checks
             s.rejections += rejections
+
+    def _enforce_rejections(self) -> None:
         self.state.enforce_rejections(self._merge)
         self._write_manifest()
         self._sweep()
 
+    def observe_rejections(self, level: int, checks: int, rejections: int) -> None:
+        """Count look-ups against a level, and compact what rejects too often."""
+        self._count_rejections(level, checks, rejections)
+        self._enforce_rejections()
+
     def compact_all(self) -> DataFrame:
-        """One logical shard of everything that lives, sorted over all its files."""
-        return self.live().repartitionByRange("key", "value").sortWithinPartitions("key", "value", "seq")
+        """A static snapshot: everything that lives, written as sorted ranges beside the shards, which stay."""
+        path = f"{self.path}/static-{uuid.uuid4().hex}"
+        self.live().repartitionByRange("key", "value", "seq").sortWithinPartitions("key", "value", "seq").write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def _sweep(self) -> None:
-        for s in self.retired:
-            self.fs.delete(self._p(s.path.rpartition("/")[2]), True)
+        """Delete what was retired ``retain`` manifest versions ago, and older manifests, so that open readers go on."""
+        version = self._versions()[-1]
+        self.old += [[s.path.rpartition("/")[2], version] for s in self.retired]
         self.retired = []
+        for name, since in self.old:
+            if since <= version - self.config.retain:
+                self.fs.delete(self._p(name), True)
+        self.old = [x for x in self.old if x[1] > version - self.config.retain]
+        for v in self._versions():
+            if v <= version - self.config.retain:
+                self.fs.delete(self._p(f"manifest-{v}.json"), True)
 
     def destroy(self) -> None:
         self.fs.delete(self._p(""), True)
@@ -165,6 +326,12 @@ class Index:
             "shards": [len(lv) for lv in self.state.levels],
             "weight": sum(s.weight for s in shards + held),
             "buffered": sum(s.rows for s in held),
+            "deletes_over_cap": max(0, sum(s.tombstones for s in held) - self.config.tombstone_cap),
+            "proportions": [sum(s.tombstones for s in lv) / max(1, sum(s.tombstones + s.rows for s in lv)) for lv in self.state.levels],
+            "checks": [sum(s.checks for s in lv) for lv in self.state.levels],
+            "rejections": [sum(s.rejections for s in lv) for lv in self.state.levels],
+            "aux_bytes": sum(aux_bytes(s.tombstones) for s in shards + held),
+            "seconds": dict(self.seconds),
             "tombstones_valid": all(p <= self.config.max_tombstone_prop for p in self.state.tombstone_props()),
             "bytes": sum(self.fs.getContentSummary(self._p(s.path.rpartition("/")[2])).getLength() for s in shards + held),
         }

@@ -66,3 +66,19 @@ def test_found(spark):
     have = spark.createDataFrame([(1, 1), (2, 2), (2, 2)], "key long, value long")
     asked = spark.createDataFrame([(1, 1), (2, 3), (2, 2)], "key long, value long")
     assert sorted(map(tuple, resolve.found(asked, have, ["key", "value"]).collect())) == [(1, 1, 1), (2, 2, 1), (2, 3, 0)]
+
+
+def test_brackets_in_stretches_are_the_same(spark):
+    rows = log(600, 11, 0.45)
+    df = spark.createDataFrame([*rows, (601, None, 1, 5, "I"), (602, None, 1, 0, "T"), (603, None, 2, 0, "T")], OP)
+    want = {(r.seq, r.alive) for r in resolve.brackets(df).collect()}
+    assert {r for r, a in want if a} >= model(rows)[0]
+    for span in (1, 7, 64):
+        assert {(r.seq, r.alive) for r in resolve.brackets(df, span).collect()} == want
+    assert dict(want)[601] is False and dict(want)[603] is True
+
+
+def test_two_requests_for_one_record(spark):
+    there = spark.createDataFrame([(1, 5, 5), (2, 5, 5), (9, 6, 6)], "seq long, key long, value long")
+    asked = spark.createDataFrame([(3, 5, 5), (4, 5, 5), (5, 5, 5), (6, 6, 6), (7, 8, 8)], "seq long, key long, value long")
+    assert {r.seq: r.found for r in resolve.met(asked, there).collect()} == {3: 1, 4: 1, 5: 0, 6: 0, 7: 0}

@@ -92,3 +92,20 @@ def test_weights_and_coordinates(spark):
         with pytest.raises(Exception, match="weights must be"):
             spark.createDataFrame([(bad,)], "w double").select(coerce_weight(F.col("w"))).collect()
     assert spark.range(1).select(coordinate_key(F.lit(-179.5))).first()[0] == 5_000_000
+
+
+def test_every_draw_comes_whatever_the_weights(spark):
+    rows = [(0, 0, 100_000)] + [(i, 0, 1) for i in range(1, 1000)]
+    got = s.sample_rejecting(spark.createDataFrame(rows, S), 500, attempts=4).collect()
+    assert sorted(r.draw for r in got) == list(range(500)) and sum(r.key == 0 for r in got) > 480
+    mostly_dead = spark.createDataFrame([(3, 0, 10**9), (1, 1, 1), (2, 2, 3)], S)
+    kept = s.sample_retrying(mostly_dead, F.col("key") == 3, 400, 2).collect()
+    assert sorted(r.draw for r in kept) == list(range(400)) and {r["pass"] for r in kept} == {2}
+    assert abs(sum(r.key == 2 for r in kept) / 400 - 0.75) < 0.08
+    assert s.sample_retrying(mostly_dead, F.lit(True), 10, 2).count() == 0
+
+
+def test_cells_of_the_line(spark):
+    line = [(0, 0, 1), (3, 1, 100), (4, 100, 101), (7, 101, 103)]
+    got = s.dealt(spark.range(103).selectExpr("id as draw", "id as r"), line).collect()
+    assert sorted((r.draw, r.shard, r["at"]) for r in got) == [(r, *next((n, r - a) for n, a, b in line if a <= r < b)) for r in range(103)]

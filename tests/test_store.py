@@ -108,3 +108,90 @@ def test_observation_and_filter_size(spark):
     df, seen = metrics.observed(spark.createDataFrame(log(100, 1), OP))
     assert df.count() == 100 == seen.get["ops"] == seen.get["inserts"] + seen.get["deletes"]
     assert metrics.aux_bytes(0) == 0 and metrics.aux_bytes(1000) == bloom.size_bits(1000) // 8 == 1199
+
+
+def test_filter_in_parts_and_null_keys(spark):
+    keys = spark.createDataFrame([(i * 3,) for i in range(2000)] + [(None,)], "key long")
+    table = bloom.build(keys, 2000, most=4096)
+    assert table.count() > 3
+    asked = spark.createDataFrame([(i,) for i in range(6000)] + [(None,)] + [(3,)] * 50, "key long")
+    told = [(r.key, r.may) for r in bloom.may_hold(asked, table).collect()]
+    assert len(told) == 6051 and all(may for k, may in told if k is not None and k % 3 == 0) and (None, False) in told
+    assert sum(may for k, may in told if k is not None and k % 3) < 0.03 * 4000
+    assert {r.may for r in bloom.may_hold(asked, bloom.build(keys.where("false"), 0)).collect()} == {False}
+
+
+@pytest.mark.parametrize("policy", ["tiering", "leveling"])
+def test_bulk_load_is_what_appends_make(spark, tmp_path, policy):
+    rows = [(i, i * 7 % 50, i, i % 9, "I") for i in range(730)]
+    df = spark.createDataFrame(rows, OP)
+    config = Config(100, 2, layout=policy)
+    a, b = Index(spark, f"file://{tmp_path}/a", config), Index(spark, f"file://{tmp_path}/b", config)
+    a.append(df)
+    b.bulk_load(df, 1)
+    shape = lambda x: [[s.rows for s in lv] for lv in x.state.levels]
+    assert shape(a) == shape(b) and a.metrics()["buffered"] == b.metrics()["buffered"] == 30
+    assert {r.seq for r in a.live().collect()} == {r.seq for r in b.live().collect()} == set(range(730))
+    with pytest.raises(ValueError):
+        b.bulk_load(df)
+    mixed = log(900, 3, 0.3)
+    c = Index(spark, f"file://{tmp_path}/c", config)
+    c.bulk_load(spark.createDataFrame(mixed, OP))
+    assert {r.seq for r in c.live().collect()} == model(mixed)[0]
+
+
+def test_stored_sample_is_exact_and_rejects(spark, tmp_path):
+    rows = [(i, i % 40, i, 1 + (i % 40), "I") for i in range(800)]
+    rows += [(800 + i, i, j * 40 + i, 0, "T") for i, j in zip([3, 7, 39, 39], [2, 5, 0, 19])] + [(1000 + j, 38, 38 + 40 * j, 0, "T") for j in range(20)]
+    index = Index(spark, f"file://{tmp_path}/index", Config(150, 2))
+    index.append(spark.createDataFrame(rows, OP))
+    live = {(r.key, r.value): r.weight for r in index.live().collect()}
+    assert len(live) == 800 - 24
+    drawn = [(r.draw, r.key, r.value, r.weight) for r in index.sample(6000, seed=5).collect()]
+    assert sorted(d for d, *_ in drawn) == list(range(6000)) and all(live[k, v] == w for _, k, v, w in drawn)
+    total = sum(live.values())
+    for key in (5, 20, 39):
+        want = 6000 * sum(w for (k, _), w in live.items() if k == key) / total
+        assert abs(sum(k == key for _, k, *_ in drawn) - want) < 5 * want**0.5
+    assert sorted(map(tuple, index.sample(50, seed=5, passes=1).collect())) == sorted(map(tuple, index.sample(50, seed=5, passes=1).collect()))
+    none = Index(spark, f"file://{tmp_path}/none", Config(150, 2))
+    assert none.sample(10).count() == 0
+    none.append(spark.createDataFrame([(1, 1, 1, 5, "I"), (2, 1, 1, 0, "T")], OP))
+    assert none.sample(10).count() == 0
+
+
+def test_rejections_compact_and_readers_go_on(spark, tmp_path):
+    rows = [(i, i % 50, i, 5, "I") for i in range(600)] + [(1000 + i, i % 50, i, 0, "T") for i in range(0, 600, 2)]
+    index = Index(spark, f"file://{tmp_path}/index", Config(100, 3, max_rejection_rate=0.05, rejection_floor=10, retain=3))
+    index.append(spark.createDataFrame(rows, OP))
+    before, open_ = index.metrics()["shards"], index.live()
+    index.sample(400, seed=2).count()
+    assert index.metrics()["shards"] != before and sum(index.metrics()["checks"]) >= 0
+    for i in range(2):
+        index.append(spark.createDataFrame([(2000 + i, 1, 1, 1, "I")], OP))
+    assert open_.count() == 300  # from the version it was opened at
+    for i in range(4):
+        index.append(spark.createDataFrame([(3000 + i, 1, 1, 1, "I")], OP))
+    assert not index.old or min(v for _, v in index.old) > index._versions()[-1] - 3
+    assert len(index._versions()) <= 3 and index.live().count() == 306
+
+
+def test_deletes_are_told_apart_and_replayed(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/index", Config(100, 2, deletes="tag"))
+    index.append(spark.createDataFrame([(1, 5, 5, 2, "I"), (2, 6, 1, 2, "I"), (3, 6, 9, 2, "I")], OP))
+    asked = spark.createDataFrame([(10, 5, 5), (11, 5, 5)], "seq long, key long, value long")
+    for _ in range(2):  # the second is a replay
+        assert {r.seq: r.found for r in index.delete(asked, 7).collect()} == {10: 1, 11: 0}
+        assert index.live().count() == 2
+    told = {r.seq: (r.value, r.found) for r in index.erase(spark.createDataFrame([(20, 6), (21, 6), (22, 6)], "seq long, key long")).collect()}
+    assert told == {20: (1, 1), 21: (9, 1), 22: (None, 0)} and index.live().count() == 0
+    m = index.metrics()
+    assert m["seconds"]["sample"] == 0 and m["aux_bytes"] > 0 and m["deletes_over_cap"] == 0
+
+
+def test_deletes_of_sampled_records(spark):
+    df = spark.range(500).selectExpr("id as seq", "id as key", "id as value", "id as weight")
+    rows = [tuple(r) for r in workload.sampled_log(df, 60).select("seq", "key", "value", "weight", "op").collect()]
+    gone = [r for r in rows if r[4] == "T"]
+    assert len(gone) == 60 == len({r[1] for r in gone}) and len(model(rows)[0]) == 440
+    assert sum(r[1] for r in gone) / 60 > 270  # by weight
