@@ -91,8 +91,8 @@ def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets which are connected by links at all, as pairs of positions.
+def trie_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets which are connected by links at all, as pairs of positions; sets with equal ``known`` are so already.
 
     The sets are put in one order of shingles, the most shared ones first, and stored in a
     prefix tree, which is walked depth first. Each node keeps the overlaps of its path with all
@@ -121,7 +121,7 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     common.append(0)
     allowed = np.array([most_apart(int(n), percent) for n in sizes])
     least = -(-percent * sizes // 100)  # of a linked set's size
-    group = np.arange(m)
+    group = np.arange(m) if known is None else np.unique(known, return_inverse=True)[1]
     links: list[tuple[int, int]] = []
 
     def overlaps(before: np.ndarray, path: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -186,8 +186,9 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
     1. Rows with equal sets become one class, so exact copies cost a row each and nothing more.
     2. Each class gives keys of which any two linked classes share one (see ``keys``). A star joins
        each key's classes to the smallest; the components of these candidates are families.
-    3. Each family's sets meet in a prefix tree (``trie_links``), small families many to a task. One with more than
-       ``block`` shingles is dealt into blocks, and every pair of blocks is a task of bounded size.
+    3. Each family's sets meet in a prefix tree (``trie_links``), small families many to a task. In one with more than
+       ``block`` shingles, the smallest and the largest set of each key are first compared with the key's others, a row each. Only if these links
+       don't connect the family, it is dealt into blocks, and every pair of blocks that isn't connected yet is a task of bounded size.
     4. The components of the links are the result.
 
     Null and empty texts have no shingles, are linked with nothing, and are their own component.
@@ -228,9 +229,10 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
     keyed = measured.where("sigs is not null").select("k1", F.explode("sigs").alias("sig"))
     firsts = keyed.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b")
-    stars = keyed.join(firsts, "sig").where("k1 != a").select(F.col("k1").alias("u"), F.col("a").alias("v"))
-    families = components(stars)
-    drop_stored(measured)
+    stars = keyed.join(firsts, "sig")
+    families = components(stars.where("k1 != a").select(F.col("k1").alias("u"), F.col("a").alias("v")))
+    width = sets.select("k1", "n").where("k1 is not null").groupBy("k1").agg(F.max("n").alias("n"))
+    weights = stored(families.join(width, families["node"] == width["k1"]).groupBy(F.col("label").alias("family")).agg(F.sum("n").alias("n")), "families")
 
     members = families.join(classes, families["node"] == classes["k1"]).select("k1", F.col("label").alias("family"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
     texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("k1", "family", "text")
@@ -243,31 +245,60 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
         return f
 
-    width = sets.select("k1", "n").where("k1 is not null").groupBy("k1").agg(F.max("n").alias("n"))
-    weights = families.join(width, families["node"] == width["k1"]).groupBy(F.col("label").alias("family")).agg(F.sum("n").alias("n"))
+    dealt = by_batch(texts, gather, "k1 long, family long, s binary").join(weights, "family")
+    large = weights.where(F.col("n") > block).select("family")
+    early = None
+    if large.isEmpty():
+        drop_stored(measured)  # much of the disk that this takes
+        dealt = dealt.withColumn("known", F.col("k1"))
+    else:
+        mine = families.join(large, families["label"] == large["family"], "left_semi").select(F.col("node").alias("k1"))
+        ends = stars.join(mine, "k1", "left_semi").select(F.col("k1").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u != v").distinct()
+        own = stored(dealt.join(large, "family", "left_semi").select("k1", "s").dropDuplicates(["k1"]), "large")
+
+        def compare():
+            def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+                hit = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    hit.append(100 * both >= percent * (len(x) + len(y) - both))
+                return batch.select(["u", "v"]).filter(pa.array(hit))
+
+            return f
+
+        sides = ends.join(own.select(F.col("k1").alias("u"), F.col("s").alias("x")), "u").join(own.select(F.col("k1").alias("v"), F.col("s").alias("y")), "v")
+        early = stored(by_batch(sides.select("u", "v", "x", "y"), compare, "u long, v long"), "links")
+        drop_stored(measured)
+        drop_stored(own)
+        met = components(early)
+        dealt = dealt.join(met, F.col("k1") == F.col("node"), "left").withColumn("known", F.coalesce("label", "k1")).drop("node", "label")
+        open_ = dealt.where(F.col("n") > block).select("family", "known").distinct().groupBy("family").agg(F.count("*").alias("parts")).where("parts = 1").select("family")
+        dealt = dealt.join(open_, "family", "left_anti")  # connected already
     total = weights.agg(F.sum("n").alias("n")).first().n or 0
     tasks = max(1, -(-total // block))
     blocks = F.ceil(F.col("n") / block)
-    dealt = by_batch(texts, gather, "k1 long, family long, s binary").join(weights, "family")
-    own = F.pmod(F.xxhash64("k1"), blocks)
+    own_block = F.pmod(F.xxhash64("k1"), blocks)
     places = F.when(blocks <= 1, F.array(F.struct(F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("g"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own), lambda j: F.struct(F.col("family").alias("g"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own_block), lambda j: F.struct(F.col("family").alias("g"), F.least(own_block, j).alias("i"), F.greatest(own_block, j).alias("j")))
     )
-    placed = dealt.select("k1", "family", "s", F.explode(places).alias("p")).select("k1", "family", "s", "p.*")
+    placed = dealt.select("k1", "family", "s", "known", F.explode(places).alias("p")).select("k1", "family", "s", "known", "p.*")
 
     def link(table: pa.Table) -> pa.Table:
         u, v = [], []
-        k1, family, data = (table.column(c).to_numpy(zero_copy_only=False) if c != "s" else table.column(c).to_pylist() for c in ("k1", "family", "s"))
+        k1, family, known, data = (table.column(c).to_numpy(zero_copy_only=False) if c != "s" else table.column(c).to_pylist() for c in ("k1", "family", "known", "s"))
         order = np.lexsort((k1, family))
         for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
             part = part[np.concatenate(([True], np.diff(k1[part]) != 0))]  # repeated rows
-            if len(part) > 1:
-                for a, b in trie_links([np.frombuffer(data[i], dtype=np.uint64) for i in part], percent):
+            if len(part) > 1 and (known[part] != known[part[0]]).any():
+                for a, b in trie_links([np.frombuffer(data[i], dtype=np.uint64) for i in part], percent, known[part]):
                     u.append(k1[part[a]])
                     v.append(k1[part[b]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    linked = components(placed.groupBy("g", "i", "j").applyInArrow(link, "u long, v long"))
+    links = placed.groupBy("g", "i", "j").applyInArrow(link, "u long, v long")
+    linked = components(links if early is None else links.unionByName(early))
+    drop_stored(weights)
     named = classes.join(linked, classes["k1"] == linked["node"], "left").select("k1", "first_id", F.coalesce("label", "k1").alias("c"))
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "c").select("k1", "component_id")
