@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -161,8 +162,9 @@ class Scorer:
     def hits(self, words: list[bytes]) -> list[bytes]:
         return [w for w in set(words) if self.look_up(w) is not None]
 
-    def features(self, raw: bytes | None, reach: int = 8) -> np.ndarray:
-        """Of a whole text: weights of direct and of quoted hits, the strongest, how dense, misspelled, addressed."""
+    def features(self, raw: bytes | None, reach: int = 8, straight: set[str] | None = None) -> np.ndarray:
+        """Of a whole text: weights of direct and of quoted hits, the strongest, how dense, misspelled, addressed.
+        Words of direct hits are added to ``straight``."""
         out = np.zeros(7)
         out[0] = 1.0
         words = alnum_words(raw or b"")
@@ -172,6 +174,7 @@ class Scorer:
         wanted = {w.decode(): self.seen[w] or self.look_up(w) for w in found}
         text = (raw or b"").decode().translate(LOWER)
         spans = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+        quotes = Quotes(text)
         direct = quoted = strongest = fuzzy = addressed = 0.0
         count = 0
         for i, (a, b, w) in enumerate(spans):
@@ -180,9 +183,11 @@ class Scorer:
                 continue
             count += 1
             near = {x for _, _, x in spans[max(0, i - reach) : i + reach + 1]}
-            if in_quotes(text, a, b) or near & REPORTING:
+            if quotes.around(a, b) or near & REPORTING:
                 quoted += hit[1]
             else:
+                if straight is not None:
+                    straight.add(w)
                 direct += hit[1]
                 strongest = max(strongest, hit[1])
             fuzzy += hit[0] == "fuzzy"
@@ -195,14 +200,37 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def in_quotes(text: str, a: int, b: int, most: int = 300) -> bool:
-    """Whether a quotation opens before ``a`` and closes after ``b``, each within ``most`` characters and the line."""
-    left = text[max(0, a - most) : a].rpartition("\n")[2]
-    right = text[b : b + most].partition("\n")[0]
-    for o, c in zip(OPENING, CLOSING):
-        if (left.count(o) % 2 == 1 and c in right) if o == c else (left.rfind(o) > left.rfind(c) and c in right):
-            return True
-    return False
+class Quotes:
+    """Where quotations open and close in a text."""
+
+    def __init__(self, text: str):
+        self.places = {c: [m.start() for m in re.finditer(c, text)] for c in {*OPENING, *CLOSING, "\n"}}
+
+    def last(self, c: str, before: int) -> int:
+        i = bisect_left(self.places[c], before)
+        return self.places[c][i - 1] if i else -1
+
+    def around(self, a: int, b: int) -> bool:
+        """Whether a quotation opens before ``a`` and closes after ``b``, in the same line."""
+        start = self.last("\n", a)
+        i = bisect_left(self.places["\n"], b)
+        stop = self.places["\n"][i] if i < len(self.places["\n"]) else math.inf
+        for o, c in zip(OPENING, CLOSING):
+            closing = self.places[c]
+            j = bisect_left(closing, b)
+            if j == len(closing) or closing[j] >= stop:
+                continue
+            if o == c:
+                if (bisect_left(closing, a) - bisect_left(closing, start)) % 2 == 1:
+                    return True
+            elif self.last(o, a) > max(start, self.last(c, a)):
+                return True
+        return False
+
+
+def in_quotes(text: str, a: int, b: int) -> bool:
+    """Whether a quotation opens before ``a`` and closes after ``b``, in the same line."""
+    return Quotes(text).around(a, b)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -219,7 +247,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000, by_chance: float = 2.0, odds: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, by_chance: float = 2.0, odds: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn lexicon and weights from labelled rows that aren't held out.
 
     At most ``max_rows`` labelled rows are learned from, those with the smallest hash of the id; this
@@ -227,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     count once. Terms and stems (prefixes of four letters or more that several toxic words share)
     enter the lexicon if their log odds ratio is ``odds`` or more and the binomial evidence that
     they prefer toxic texts is so strong that chance would give it to ``by_chance`` of all terms
-    in three texts or more; the ``max_terms`` most frequent at most.
+    in three texts or more; ``max_rows`` bounds how many these can be. Words a letter off are no
+    misspellings if the clean and toxic texts that hold them, as direct hits, are likelier for any word than for the lexicon's word.
     Labels with a null id or label don't count; a document labelled twice is toxic if either
     label says so. Without rows of both classes, the model has no lexicon and gives the smoothed share of toxic rows.
     """
@@ -242,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
             for label, raw in zip(batch.column("toxic").to_pylist(), raw_texts(batch.column("text"))):
                 words = set(alnum_words(raw or b""))
                 texts = [w.decode() for w in words]
-                by[label > 0].update({w + "$" for w in texts if len(w) <= 40} | {w[:k] for w in texts for k in range(4, min(len(w), 9))})
+                by[label > 0].update({w + "$" for w in texts} | {w[:k] for w in texts for k in range(4, min(len(w), 9))})
                 n[label > 0] += 1
             terms = list(by[0].keys() | by[1].keys()) + [""]
             by[0][""], by[1][""] = n
@@ -261,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     share = F.col("bad") / n
     surprise = n * (share * F.log(share / rate) + (1 - share) * F.when(share < 1, F.log((1 - share) / (1 - rate))).otherwise(0))
     evidence = max(4.0, math.log(max(1, counts.where((F.col("term") != "") & (n >= 3)).count()) / by_chance))
-    best = counts.where((F.col("term") != "") & (F.col("bad") > 0)).withColumn("w", weight).where((F.col("w") >= odds) & (surprise >= evidence)).orderBy(F.desc("bad"), "term").limit(max_terms).collect()
+    best = counts.where((F.col("term") != "") & (F.col("bad") > 0)).withColumn("w", weight).where((F.col("w") >= odds) & (surprise >= evidence)).orderBy(F.desc("bad"), "term").collect()
     words = {r.term[:-1]: r.w for r in best if r.term.endswith("$")}
     widest = Counter()
     for r in best:
@@ -272,17 +301,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     stems = {s: w for s, w in stems.items() if not any(s[:k] in stems for k in range(4, len(s)))}
     model = Model(words, stems)
 
-    # words that are a letter off a lexicon word but stand in clean rows are no misspellings
-    def innocents():
+    # words that are a letter off a lexicon word, but stand where any word does
+    def direct():
         scorer = model.scorer()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = {w for raw in raw_texts(batch.column("text")) for w in scorer.hits(alnum_words(raw or b"")) if scorer.look_up(w)[0] == "fuzzy"}
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in out], pa.string())], ["w"])
+            found: tuple[Counter, Counter] = Counter(), Counter()
+            for label, raw in zip(batch.column("toxic").to_pylist(), raw_texts(batch.column("text"))):
+                straight: set[str] = set()
+                scorer.features(raw, straight=straight)
+                found[label > 0].update(w for w in straight if scorer.look_up(w.encode())[0] == "fuzzy")
+            words = list(found[0].keys() | found[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([found[i][w] for w in words], pa.int64()) for i in (1, 0))], ["w", "bad", "good"])
 
         return f
 
-    model.innocent = frozenset(r.w for r in by_batch(train.where("toxic = 0").select("text"), innocents, "w string").distinct().collect())
+    used = by_batch(train, direct, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    look_up, told = model.scorer().look_up, []
+    for r in used.where("good > 0").collect():  # words of the labelled rows that are a letter off
+        toxic = 1 / (1 + math.exp(-prior - look_up(r.w.encode())[1]))  # how many of the lexicon word's texts are
+        if r.bad * math.log(toxic / rate) + r.good * math.log((1 - toxic) / (1 - rate)) < 0:
+            told.append(r.w)
+    model.innocent = frozenset(told)
 
     def measure():
         scorer = model.scorer()
