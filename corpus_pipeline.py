@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.bpe_codec import encode_documents
-from lotwise.llm.common import read_table, stored
+from lotwise.llm.common import drop_stored, new_name, read_table, stored
 from lotwise.llm.decontam import decontaminate
 from lotwise.llm.line_dedup import dedup_lines
 from lotwise.llm.ngram_join import keep_one
@@ -21,7 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go, and documents of which nothing else is left; n_chars follows."""
-    out = dedup_lines(docs, name="_lines").where((F.col("_lines.n_removed") == 0) | (F.col("_lines.n_removed") < F.col("_lines.n_lines"))).drop("_lines")
+    name = new_name(docs, "_lines")
+    out = dedup_lines(docs, name=name).where((F.col(f"{name}.n_removed") == 0) | (F.col(f"{name}.n_removed") < F.col(f"{name}.n_lines"))).drop(name)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
@@ -51,11 +52,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, with a written table in the shared folder between any two."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"pipeline-{name}")
+            if before is not None:
+                drop_stored(before)
+            before = docs
     return docs
 
 

@@ -81,3 +81,18 @@ def test_stages(spark, sf_dir):
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert sorted(map(tuple, corpus_pipeline.run(spark, path).select("doc_id", "n_tokens").collect())) == sorted((r.doc_id, r.n_tokens) for r in rows)
+
+
+def test_repeated_rows_clashing_columns_and_empty_tables(spark, sf_dir, tmp_path):
+    path, _, _ = sf_dir
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(30)
+    more = docs.unionByName(docs.limit(3)).selectExpr("*", "'x' as _lines", "1 as _score", "2 as _gone", "3 as _contamination", "'y' as k1")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        once, twice = stage(spark, docs, path), stage(spark, more, path)
+        assert twice.columns == more.columns
+        ids = [r.doc_id for r in once.collect()]
+        assert {r.doc_id for r in twice.collect()} == set(ids) or name == "line_dedup"  # there, repeated lines go with their texts
+        assert stage(spark, more.limit(0), path).count() == 0
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
