@@ -137,10 +137,12 @@ def edited_fingerprints(docs: DataFrame, least: float = 1e-3, most: float = 0.02
 
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next. Null texts count as empty; repeated rows are rows of their own; a single row is its own
-    successor; an empty table gives none; other columns are ignored.
+    successor; an empty table gives none; other columns are ignored; ids that are no whole numbers raise a TypeError.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} orders the documents and must be a whole number, not {kind}")
     shared = spark.sparkContext.broadcast(lexicon(docs, least, most, text_col=text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from lotwise.llm.imatch import NONE, edited_fingerprints, fingerprint, fingerprints, lexicon, likeness
 
 
@@ -50,6 +52,8 @@ def test_odd_rows(spark):
     assert edited_fingerprints(docs.limit(0)).count() == 0
     alone = edited_fingerprints(spark.createDataFrame([(1, "abc def")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
+    with pytest.raises(TypeError):
+        edited_fingerprints(spark.createDataFrame([("a", "abc def")], "doc_id string, text string"))
     assert likeness(NONE * 2, NONE * 2) == 1.0 and likeness("1" * 8 + NONE, "1" * 8 + "2" * 8) == 0.5
 
 
