@@ -40,8 +40,8 @@ def parts_of(n: int, rate: float = RATE, most: int = PART_BITS) -> tuple[int, in
     return parts, size_bits(-(-n // parts), rate)
 
 
-def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key", most: int = PART_BITS) -> DataFrame:
-    """The filter for about ``n`` keys as a written table: part, parts, bits (packed). Null keys are not in it."""
+def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key", most: int = PART_BITS, path: str | None = None) -> DataFrame:
+    """The filter for about ``n`` keys as a table written to ``path``: part, parts, bits (packed). Null keys are not in it."""
     parts, bits = parts_of(n, rate, most)
 
     def fill(table: pa.Table) -> pa.Table:
@@ -52,7 +52,7 @@ def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key"
 
     ship(tombstones.sparkSession)
     keys = tombstones.select(F.col(column).cast("long").alias("key")).where("key is not null").distinct()
-    return written(keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(fill, "part long, parts long, bits binary"), "bloom")
+    return written(keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(fill, "part long, parts long, bits binary"), "bloom", path)
 
 
 def may_hold(df: DataFrame, filter_: DataFrame, column: str = "key", salts: int = 8) -> DataFrame:

@@ -13,6 +13,10 @@ from .shards import shard_of
 from .weights import alias_tables, intervals, shard_weights
 
 
+#: A line of so many shards at most is broadcast, some 2 MB.
+SMALL_LINE = 50_000
+
+
 def offsets(df: DataFrame, n: int) -> tuple[list[tuple[int, int, int]], int]:
     """(shard, first, end) of each shard with weight on the line of all weight, and its length: at most ``n`` rows."""
     out, total = [], 0
@@ -31,6 +35,8 @@ def dealt(draws: DataFrame, line: list[tuple[int, int, int]]) -> DataFrame:
     """
     width = max(1, -(-line[-1][2] // len(line)))
     cells = draws.sparkSession.createDataFrame([(cell, s, a, b) for s, a, b in line for cell in range(a // width, (b - 1) // width + 1)], "_cell long, shard int, _a long, _b long")
+    if len(line) <= SMALL_LINE:
+        cells = F.broadcast(cells)
     hit = (F.col("_a") <= F.col("r")) & (F.col("r") < F.col("_b"))
     return draws.withColumn("_cell", F.floor(F.col("r") / width).cast("long")).join(cells, "_cell").where(hit).select("draw", "shard", (F.col("r") - F.col("_a")).alias("at"))
 

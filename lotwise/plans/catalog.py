@@ -412,15 +412,18 @@ query("sample_static", W_ + lookup_sql("SELECT * FROM rec"))(
 )
 
 
-@query("index_sample", f"SELECT CAST({DRAWS} AS BIGINT) AS n, CAST({DRAWS} AS BIGINT) AS lives")
-def index_sample(spark: SparkSession, d: str) -> DataFrame:
+def drawn_and_alive(spark: SparkSession, d: str, filters: bool) -> DataFrame:
     """Draws from the stored files, dead records rejected: all come, and all of them live."""
-    index = in_index(spark, d, Config(seventh(spark, d), 2))
+    index = in_index(spark, d, Config(seventh(spark, d), 2, filters=filters))
     drawn = index.sample(DRAWS, SEED)
     there = index.live().select("key", "value", "weight", F.lit(True).alias("there")).distinct()
     return drawn.join(there, ["key", "value", "weight"], "left").agg(F.count_distinct("draw").alias("n"), F.count("there").alias("lives"))
 
 
+ALL_LIVE = f"SELECT CAST({DRAWS} AS BIGINT) AS n, CAST({DRAWS} AS BIGINT) AS lives"
+query("index_sample", ALL_LIVE)(lambda s, d: drawn_and_alive(s, d, False))
+query("index_filters", ALL_LIVE)(lambda s, d: drawn_and_alive(s, d, True))
+
 query(
     "index_metrics",
     W_ + "SELECT count(*) AS records, count(*) FILTER (op = 'T') AS tombstones, CAST(sum(weight) AS BIGINT) AS weight FROM ops",

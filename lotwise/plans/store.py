@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from ..functions.records import OP
 from ..functions.rng import below
 from ..functions.ship import ship
-from ..operators import resolve
-from ..operators.metrics import aux_bytes
+from ..operators import bloom, resolve
+from ..operators.metrics import aux_bytes, observed
 from ..operators.sample import sample
 from ..operators.shards import positions
 from ..sources.shared import written
@@ -114,6 +114,15 @@ class Index:
         with self._timed("sample"):
             return self._sample_stored(k, seed, shards, passes)
 
+    def _may_delete(self, keys: DataFrame) -> list[int]:
+        """The numbers of the sources that may hold deletes of one of the keys: those with deletes, as far as filters don't tell."""
+        stored = [b["tombstones"] for b in self.buffers] + [s.tombstones for lv in self.state.levels for s in lv]
+        out = []
+        for i, ((_, path), tombstones) in enumerate(zip(self._sources(), stored)):
+            if tombstones and not (self.config.filters and bloom.may_hold(keys, self.spark.read.parquet(f"{path}-bloom")).where("may").isEmpty()):
+                out.append(i)
+        return out
+
     def _sources(self) -> list[tuple[int, str]]:
         """(level, path) of all that is stored; the buffer is level -1."""
         return [(-1, b["path"]) for b in self.buffers] + [(i, s.path) for i, lv in enumerate(self.state.levels) for s in lv]
@@ -143,7 +152,7 @@ class Index:
         drawn = written(hits.select("draw", "pass", "level", "key", "value", "weight", "seq"), "drawn")
         pair = ["key", "value"]
         if any(s.tombstones for lv in self.state.levels for s in lv) or any(b["tombstones"] for b in self.buffers):
-            suspects = read(OP).where("op != 'I'").join(drawn.select(*pair).distinct(), pair, "left_semi").groupBy(*pair).agg(F.min("level").alias("at"))
+            suspects = read(OP).where("op != 'I'").where(F.col("source").isin(self._may_delete(drawn.select("key").distinct()))).join(drawn.select(*pair).distinct(), pair, "left_semi").groupBy(*pair).agg(F.min("level").alias("at"))
             alive = resolve.live(self.log().join(suspects, pair, "left_semi")).select(*pair, "seq", F.lit(True).alias("lives"))
             told = drawn.join(suspects, pair, "left").join(alive, [*pair, "seq"], "left")
             drawn = written(told.withColumn("dead", F.col("at").isNotNull() & F.col("lives").isNull()).drop("lives"), "drawn")
@@ -178,9 +187,12 @@ class Index:
 
         ship(self.spark)
         part = F.shiftright(F.monotonically_increasing_id(), 33).alias("part")
-        ops.select("seq", "key", "value", "weight", "op", part).mapInArrow(number, STORED).write.parquet(path)
-        r = self._ops([path]).agg(F.count("*").alias("n"), F.count_if(F.col("op") != "I").alias("t"), F.sum("weight").alias("w")).first()
-        return Shard(path, r.n, r.t, r.w or 0)
+        seen, counted = observed(ops.select("seq", "key", "value", "weight", "op"), f"stored-{uuid.uuid4().hex}")  # counted as it is written
+        seen.select("*", part).mapInArrow(number, STORED).write.parquet(path)
+        r = counted.get
+        if self.config.filters and r["deletes"]:
+            bloom.build(self._ops([path]).where("op != 'I'"), r["deletes"], path=f"{path}-bloom")
+        return Shard(path, r["ops"], r["deletes"], r["weight"] or 0)
 
     def _sorted(self, marked: DataFrame) -> Shard:
         return self._store(marked.where("alive").sortWithinPartitions("key", "value", "seq"), "shard")
@@ -306,6 +318,7 @@ class Index:
         for name, since in self.old:
             if since <= version - self.config.retain:
                 self.fs.delete(self._p(name), True)
+                self.fs.delete(self._p(f"{name}-bloom"), True)
         self.old = [x for x in self.old if x[1] > version - self.config.retain]
         for v in self._versions():
             if v <= version - self.config.retain:
@@ -330,7 +343,7 @@ class Index:
             "proportions": [sum(s.tombstones for s in lv) / max(1, sum(s.tombstones + s.rows for s in lv)) for lv in self.state.levels],
             "checks": [sum(s.checks for s in lv) for lv in self.state.levels],
             "rejections": [sum(s.rejections for s in lv) for lv in self.state.levels],
-            "aux_bytes": sum(aux_bytes(s.tombstones) for s in shards + held),
+            "aux_bytes": sum(aux_bytes(s.tombstones) for s in shards + held) if self.config.filters else 0,
             "seconds": dict(self.seconds),
             "tombstones_valid": all(p <= self.config.max_tombstone_prop for p in self.state.tombstone_props()),
             "bytes": sum(self.fs.getContentSummary(self._p(s.path.rpartition("/")[2])).getLength() for s in shards + held),

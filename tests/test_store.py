@@ -186,7 +186,7 @@ def test_deletes_are_told_apart_and_replayed(spark, tmp_path):
     told = {r.seq: (r.value, r.found) for r in index.erase(spark.createDataFrame([(20, 6), (21, 6), (22, 6)], "seq long, key long")).collect()}
     assert told == {20: (1, 1), 21: (9, 1), 22: (None, 0)} and index.live().count() == 0
     m = index.metrics()
-    assert m["seconds"]["sample"] == 0 and m["aux_bytes"] > 0 and m["deletes_over_cap"] == 0
+    assert m["seconds"]["sample"] == 0 and m["aux_bytes"] == 0 and m["deletes_over_cap"] == 0
 
 
 def test_deletes_of_sampled_records(spark):
@@ -195,3 +195,16 @@ def test_deletes_of_sampled_records(spark):
     gone = [r for r in rows if r[4] == "T"]
     assert len(gone) == 60 == len({r[1] for r in gone}) and len(model(rows)[0]) == 440
     assert sum(r[1] for r in gone) / 60 > 270  # by weight
+
+
+def test_filters_change_no_draw(spark, tmp_path):
+    rows = [(i, i % 90, i, 1 + i % 7, "I") for i in range(600)] + [(600 + i, i % 90, i, 0, "T") for i in range(0, 90, 9)]
+    drawn = []
+    for filters in (False, True):
+        index = Index(spark, f"file://{tmp_path}/{filters}", Config(150, 2, filters=filters))
+        index.append(spark.createDataFrame(rows, OP).repartition(1))
+        drawn.append(sorted(map(tuple, index.sample(300, seed=3).collect())))
+        assert (index.metrics()["aux_bytes"] > 0) == filters
+        assert index._may_delete(spark.createDataFrame([(1001,), (1003,)], "key long")) == [] or not filters
+        assert index._may_delete(spark.createDataFrame([(9,)], "key long"))
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 300
