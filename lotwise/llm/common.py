@@ -55,14 +55,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function that ``make`` builds once in each task."""
+def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most: int = 1 << 30) -> DataFrame:
+    """mapInArrow with a function that ``make`` builds once in each task, and that gets ``most`` rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, most):
+                if (out := f(batch.slice(at, most))) is not None:
+                    yield out
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
