@@ -18,7 +18,10 @@ from .ngram_join import mix
 
 #: How much of the lexicon each subset keeps, as powers of two. The first keeps all.
 KEEP = [0] + [2] * 3 + [4] * 6 + [6] * 10 + [8] * 12
+SEEDS = np.array([r * 0x9E3779B1 + 1 for r in range(len(KEEP))], dtype=np.uint64)
+SHIFTS = np.array([64 - bits for bits in KEEP], dtype=np.uint64)
 NONE = "0" * 8
+MANY = 10_000
 BLOCK = 500_000
 
 
@@ -89,21 +92,48 @@ def lexicon(docs: DataFrame, least: float = 1e-3, most: float = 0.02, block: int
     return {bytes(r.term): xxhash.xxh3_64_intdigest(bytes(r.term)) for r in found}
 
 
+class Subsets(dict):
+    """By the hash of a term: its eight bytes, and the lexicon subsets that keep it; for the terms seen last."""
+
+    def learn(self, hashes: list[int]) -> None:
+        new = [h for h in hashes if h not in self]
+        if not new:
+            return
+        if len(self) + len(new) > 500_000:
+            self.clear()
+            new = hashes
+        h = np.array(new, dtype=np.uint64)
+        raw, kept = h.astype("<u8").tobytes(), [[0] for _ in new]
+        for i, r in zip(*(x.tolist() for x in np.nonzero(mix(h[:, None] + SEEDS[1:]) >> SHIFTS[1:] == 0))):
+            kept[i].append(r + 1)
+        self.update((x, (raw[8 * i : 8 * i + 8], tuple(kept[i]))) for i, x in enumerate(new))
+
+
+SUBSETS = Subsets()
+
+
+def parts_of(hashes: list[int]) -> list[bytes]:
+    """For each lexicon subset the sorted hashes it keeps, as bytes."""
+    if len(hashes) > MANY:  # many terms by whole arrays, few by what is known of each
+        h = np.sort(np.array(hashes, dtype=np.uint64))
+        return [h.astype("<u8").tobytes()] + [h[mix(h + seed) >> shift == 0].astype("<u8").tobytes() for seed, shift in zip(SEEDS[1:], SHIFTS[1:])]
+    SUBSETS.learn(hashes)
+    parts: list[list[bytes]] = [[] for _ in KEEP]
+    for h in sorted(hashes):
+        raw, kept = SUBSETS[h]
+        for r in kept:
+            parts[r].append(raw)
+    return [b"".join(p) for p in parts]
+
+
 def fingerprint(raw: bytes, terms: dict[bytes, int]) -> str:
     """Eight hex digits for each lexicon subset; zeros where it holds none of the text's terms.
 
     A text with no term in the band is described by all its distinct words instead.
     """
     words = set(alnum_words(raw))
-    inside = [terms[w] for w in words & terms.keys()] or [xxhash.xxh3_64_intdigest(w) for w in words]
-    if not inside:
-        return NONE * len(KEEP)
-    h = np.sort(np.array(inside, dtype=np.uint64))
-    out = []
-    for r, bits in enumerate(KEEP):
-        part = h[mix(h + np.uint64(r * 0x9E3779B1 + 1)) >> np.uint64(64 - bits) == 0] if bits else h
-        out.append(f"{xxhash.xxh32_intdigest(part.tobytes(), r) or 1:08x}" if len(part) else NONE)
-    return "".join(out)
+    inside = [h for h in map(terms.get, words) if h is not None] or [xxhash.xxh3_64_intdigest(w) for w in words]
+    return "".join([f"{xxhash.xxh32_intdigest(part, r) or 1:08x}" if part else NONE for r, part in enumerate(parts_of(inside))])
 
 
 def likeness(a: str, b: str) -> float:
