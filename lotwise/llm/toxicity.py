@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, attach, by_batch, held_out, id_text, new_name, raw_texts, stored
+from .common import alnum_words, attach, by_batch, drop_stored, held_out, id_text, new_name, raw_texts, stored
 
 #: Marks that open and close a quotation, words that report one, and words of address.
 OPENING, CLOSING = '"“„«', '"”“»'
@@ -39,8 +39,9 @@ class Lexicon:
     """The product of the trie and Levenshtein automata, built state by state as words come.
 
     A state is the set of (trie node, edits so far) that the letters read so far can reach. Reading a
-    letter follows the edge of that letter, or spends an edit on a substitution, an extra letter
-    or a missing one. As the states are kept, a word costs one look-up for each letter, and most
+    letter follows the edge of that letter, or spends an edit on a substitution, an extra letter,
+    a missing one or two swapped neighbours; the first of these waits in the node after both, with
+    2 + the code of the second for its edits. As the states are kept, a word costs one look-up for each letter, and most
     words fall out of the trie within a few.
     """
 
@@ -102,11 +103,19 @@ class Lexicon:
         pairs = set()
         for i, e in self.states[state]:
             n = self.nodes[i]
+            if e > 1:
+                if c == chr(e - 2):
+                    pairs.add((i, 1))
+                continue
             if c in n.children and (e == 0 or self.nodes[n.children[c]].edits):
                 pairs.add((n.children[c], e))
             if e < n.edits:
                 pairs.add((i, e + 1))
                 pairs.update((x, e + 1) for x in n.children.values() if self.nodes[x].edits)
+                for d, x in n.children.items():
+                    swapped = self.nodes[x].children.get(c)
+                    if d != c and swapped is not None and self.nodes[swapped].edits:
+                        pairs.add((swapped, 2 + ord(d)))
         out = self.next[state][c] = self._state(pairs)
         return out
 
@@ -284,6 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, by_chance: f
     bad, good = (totals.bad, totals.good) if totals else (0, 0)
     prior = math.log((bad + 0.5) / (good + 0.5))
     if not bad or not good:
+        drop_stored(train)
+        drop_stored(counts)
         return Model(coefficients=(prior, *[0.0] * 6))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     n, rate = F.col("bad") + F.col("good"), bad / (bad + good)
@@ -334,6 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, by_chance: f
         return f
 
     seen = by_batch(train, measure, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()  # bounded by max_rows
+    drop_stored(train)
+    drop_stored(counts)
     x = np.repeat(np.array([r.x for r in seen]), [r["count"] for r in seen], axis=0)
     y = np.repeat(np.array([float(r.toxic > 0) for r in seen]), [r["count"] for r in seen])
     order = np.lexsort((*x.T, y))  # the same sums in the same order in each run
@@ -344,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, by_chance: f
 def score_toxicity(docs: DataFrame, model: Model, name: str = "toxicity", text_col: str = "text") -> DataFrame:
     """``docs`` with a double ``name``: the probability that a whole text is toxic.
 
-    Lexicon hits are found exactly, by stem, or one edit off; each counts as direct or, within quotation
+    Lexicon hits are found exactly, by stem, or one edit off (two swapped neighbours are one edit); each counts as direct or, within quotation
     marks or near a reporting word, as quoted. Only the text decides: ids, labels and other
     columns don't. Null and empty texts have no hits and get the score of such texts. The model
     (bounded by ``fit``'s parameters) goes to the tasks with the function; there is no shuffle.
