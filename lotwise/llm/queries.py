@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_documents
 from .common import held_out, read_table
 from .decontam import find_contamination
+from .filter_audit import FILTER_AUDIT_SQL, filter_interactions
 from .imatch import edited_fingerprints
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .ngram_join import jaccard_classes
@@ -93,6 +94,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -104,8 +109,10 @@ QUERIES = {
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_ngram_join": op9_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
     "op4_line_dedup": LINE_DEDUP_SQL,
+    "op12_filter_audit": FILTER_AUDIT_SQL,
 }
