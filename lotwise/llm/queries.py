@@ -15,6 +15,7 @@ from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .ngram_join import jaccard_classes
 from .passages import repeated_passages
 from .pii import KINDS, as_text, find_private, of_rank
+from .prefix_trie import BRANCHED_TRIE_SQL, branched_trie
 from .suffix_tree_lm import score_texts
 from .token_counts import count_tokens
 from .toxicity import fit, score_toxicity
@@ -94,6 +95,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branched_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -109,10 +114,12 @@ QUERIES = {
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_ngram_join": op9_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_filter_audit": op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
     "op4_line_dedup": LINE_DEDUP_SQL,
+    "op11_conversation_trie": BRANCHED_TRIE_SQL,
     "op12_filter_audit": FILTER_AUDIT_SQL,
 }
