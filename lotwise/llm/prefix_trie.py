@@ -167,9 +167,9 @@ def trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     children = nodes.where("depth > 0").groupBy(F.col("parent").alias("digest")).agg(F.count("*").alias("n_children"))
     ends = steps.where("last").select("digest", "conv_id").unionByName(convs.where("n_turns = 0").select(root_digest().alias("digest"), "conv_id"))
     about = below.join(children, "digest", "full").join(end_digests(ends), "digest", "full")
-    # nodes of one turn, of which there may be as many as conversations, know their parent without a look-up
+    # nodes of one turn, of which there may be as many as conversations, take theirs from that one row
     above = run.where("depth > 1").join(nodes.select(F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id")), "parent")
-    top = run.where("depth <= 1").join(F.broadcast(root.select(F.col("conv_id").alias("least"))), F.lit(True)).withColumn("parent_conv_id", F.when(F.col("depth") > 0, F.col("least"))).drop("least")  # a row
+    top = run.where("depth <= 1").join(F.broadcast(root.select(F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id"))), "parent", "left")  # a row
     out = above.unionByName(top).join(about, "digest", "left")
     return out.select(
         "conv_id",

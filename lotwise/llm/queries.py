@@ -17,6 +17,7 @@ from .passages import repeated_passages
 from .pii import KINDS, as_text, find_private, of_rank
 from .prefix_trie import BRANCHED_TRIE_SQL, branched_trie
 from .suffix_tree_lm import score_texts
+from .super_minhash import minhash_classes
 from .token_counts import count_tokens
 from .toxicity import fit, score_toxicity
 
@@ -103,6 +104,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -116,6 +121,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
