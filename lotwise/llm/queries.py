@@ -17,7 +17,7 @@ from .passages import repeated_passages
 from .pii import KINDS, as_text, find_private, of_rank
 from .prefix_trie import BRANCHED_TRIE_SQL, branched_trie
 from .suffix_tree_lm import score_texts
-from .super_minhash import minhash_classes
+from .super_minhash import MINHASH_SQL, minhash_classes
 from .token_counts import count_tokens
 from .toxicity import fit, score_toxicity
 
@@ -128,4 +128,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": LINE_DEDUP_SQL,
     "op11_conversation_trie": BRANCHED_TRIE_SQL,
     "op12_filter_audit": FILTER_AUDIT_SQL,
+    "op13_minhash_dedup": MINHASH_SQL,
 }

@@ -199,3 +199,20 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = minhash_classes(docs, size, percent, id_col=id_col, text_col=text_col, **more)
     gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(d)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(d), "left_anti")
+
+
+#: The same by counting the shingles that any two different sets have in common, and following links.
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY x)) AS k FROM s GROUP BY doc_id),
+f AS (SELECT k, min(doc_id) AS doc_id FROM k GROUP BY k),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM (s SEMI JOIN f USING (doc_id)) a JOIN (s SEMI JOIN f USING (doc_id)) b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM e JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM f UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+m AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN f USING (k) LEFT JOIN m ON m.a = f.doc_id
+"""
