@@ -2,46 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.ship import ship
+from ..sources.shared import written
 
+#: What a part of the sorted log says of each op's group: in it alone, before other parts are heard.
+LOCAL = [T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.BooleanType()), T.StructField("_head", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("_n", "_run", "_ahead", "_behind", "_total", "_low")]
 
-#: Ops of one (key, value) are taken together in stretches of so many seqs.
-SPAN = 1 << 26
 
+def scan(rows: pa.Table, by: list[int], op: int) -> list[np.ndarray]:
+    """Edge, head, n, run, ahead, behind, total and low of ops sorted by group and seq.
 
-def brackets(log: DataFrame, span: int = SPAN, by: tuple[str, ...] = ("key", "value")) -> DataFrame:
+    Inserts open and deletes close brackets. ``run`` is the balance of an op's group up to it, ``ahead`` the lowest
+    from it on, ``behind`` the lowest before it (n + 1, which is above any, where nothing is), ``total`` and ``low`` the group's last and lowest;
+    ``edge`` tells the first and the last group, which other parts may share, and ``head`` a group's first op.
+    """
+    n = rows.num_rows
+    head = np.zeros(n, dtype=bool)
+    head[0] = True
+    for i in by:
+        column = rows.column(i).combine_chunks()
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        if null.any():
+            column = column.drop_null().take(pa.array(np.maximum(np.cumsum(~null) - 1, 0))) if not null.all() else pa.array(np.zeros(n, dtype=np.int64))
+        value = column.to_numpy(zero_copy_only=False)
+        head[1:] |= (null[1:] != null[:-1]) | (value[1:] != value[:-1]) & ~null[1:]
+    group = np.cumsum(head) - 1
+    first = np.flatnonzero(head)
+    sizes = np.diff(np.append(first, n))
+    step = np.where(rows.column(op).to_numpy(zero_copy_only=False) == "I", 1, -1)
+    run = np.cumsum(step)
+    run -= (run[first] - step[first])[group]
+    apart = group * (2 * n + 2)  # each group's balances lie below those of the group before, so one minimum along all serves each
+    ahead = (np.minimum.accumulate((run + apart)[::-1])[::-1]) - apart
+    lows = np.minimum.accumulate(run - apart) + apart
+    behind = np.where(head, n + 1, np.append(0, lows[:-1]))
+    last = first + sizes - 1
+    edge = (group == 0) | (group == group[-1])
+    return [edge, head, sizes[group], run, ahead, behind, run[last][group], lows[last][group]]
+
+
+def brackets(log: DataFrame, parts: int | None = None, by: tuple[str, ...] = ("key", "value"), ordered: bool = False) -> DataFrame:
     """The op log with ``alive``: inserts that no later delete meets, and deletes that meet no insert.
 
     Within a (key, value), or what ``by`` names, inserts open and deletes close brackets in the order of seq. An insert
     lives if the balance never falls below its own afterwards; a delete is unmatched if it takes the balance to
-    a new low below zero. The ops are read in stretches of ``span`` seqs, so that a (key, value) with much of
-    the log takes many tasks; each stretch's balance and lows, a row, tell the others what they need.
+    a new low below zero.
+
+    The ops are exchanged once, into ``parts`` ranges (Spark's shuffle partitions if not given) of the order by ``by`` and seq, so that a (key, value) with
+    much of the log takes many tasks. Each range is scanned by itself; only its first and last group can go on in other ranges, and
+    for these the pair (balance, lowest balance) is summed up along the ranges: two rows for each range, broadcast. The scanned ranges are written
+    to the shared folder, as both the sums and the ops are read from them. ``ordered``: nothing is written, both uses share the exchange, and rows come out
+    in order, range by range; that is for logs that are plainly read from files, and an op whose range were not the one that was summed up stops the job.
     """
-    names = [c for c in log.columns]
-    within = Window.partitionBy(*by, "_block").orderBy("seq")
-    run = log.withColumn("_block", F.floor(F.col("seq") / span).cast("long")).withColumn("_run", F.sum(F.when(F.col("op") == "I", 1).otherwise(-1)).over(within))
-    run = run.withColumn("_ahead", F.min("_run").over(within.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    run = run.withColumn("_behind", F.min("_run").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-    blocks = run.groupBy(*by, "_block").agg(F.min("_run").alias("_low"), F.max_by("_run", "seq").alias("_total"))
-    along = Window.partitionBy(*by).orderBy("_block")
+    spark, names = log.sparkSession, log.columns
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    where, op = [names.index(c) for c in by], names.index("op")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            part = np.full(rows.num_rows, TaskContext.get().partitionId(), dtype=np.int32)
+            for f, values in zip(LOCAL, [part, *scan(rows, where, op)]):
+                rows = rows.append_column(f.name, pa.array(values))
+            yield from rows.to_batches(max_chunksize=100_000)
+
+    ship(spark)
+    ranged = log.repartitionByRange(parts, *by, "seq").sortWithinPartitions(*by, "seq")
+    local = ranged.mapInArrow(run, T.StructType([*log.schema.fields, *LOCAL]))
+    if not ordered:
+        local = written(local, "brackets")
+    along = Window.partitionBy(*by).orderBy("_part")
     earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-    blocks = blocks.withColumn("_floor", F.col("_before") + F.col("_low")).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_block").alias("_b"), "_before", F.min("_floor").over(earlier).alias("_least"), F.min("_floor").over(later).alias("_next"))
-    # the summaries are of the rows' own groups, so this join needs no further exchange of the rows
-    same = F.col("_block") == F.col("_b")
+    ends = local.where(F.col("_edge") & F.col("_head")).select(*by, "_part", "_n", "_total", "_low")
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).withColumn("_floor", F.col("_before") + F.col("_low"))
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.col("_n").alias("_m"), "_before", F.min("_floor").over(earlier).alias("_least"), F.min("_floor").over(later).alias("_next"))
+    same = F.col("_part") == F.col("_p")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    told = run.join(blocks, same)
-    balance = F.col("_before") + F.col("_run")
-    ahead = F.least(F.col("_before") + F.col("_ahead"), F.col("_next"))  # nulls don't count
-    behind = F.least(F.lit(0), F.col("_before") + F.col("_behind"), F.col("_least"))
-    return told.withColumn("alive", F.when(F.col("op") == "I", ahead >= balance).otherwise(balance < behind)).select(*names, "alive")
+    told = local.join(F.broadcast(ends), same, "left")  # two rows for each range at most
+    before = F.coalesce("_before", F.lit(0))
+    balance = before + F.col("_run")
+    ahead = F.least(before + F.col("_ahead"), F.col("_next"))  # nulls don't count
+    behind = F.least(F.lit(0), before + F.col("_behind"), F.col("_least"))
+    alive = F.when(F.col("op") == "I", ahead >= balance).otherwise(balance < behind)
+    strange = F.col("_edge") & ~F.col("_n").eqNullSafe(F.col("_m"))
+    return told.withColumn("alive", F.when(strange, F.raise_error(F.lit("the ranges of the log were read anew with other bounds")).cast("boolean")).otherwise(alive)).select(*names, "alive")
 
 
-def live(log: DataFrame) -> DataFrame:
+def live(log: DataFrame, parts: int | None = None, ordered: bool = False) -> DataFrame:
     """Inserts that live."""
-    return brackets(log).where((F.col("op") == "I") & F.col("alive")).drop("alive")
+    return brackets(log, parts, ordered=ordered).where((F.col("op") == "I") & F.col("alive")).drop("alive")
 
 
 def unmatched(log: DataFrame) -> DataFrame:

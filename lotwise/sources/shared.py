@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +19,11 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete what ``written`` wrote once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

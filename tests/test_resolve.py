@@ -68,14 +68,37 @@ def test_found(spark):
     assert sorted(map(tuple, resolve.found(asked, have, ["key", "value"]).collect())) == [(1, 1, 1), (2, 2, 1), (2, 3, 0)]
 
 
-def test_brackets_in_stretches_are_the_same(spark):
+def test_brackets_in_ranges_are_the_same(spark):
     rows = log(600, 11, 0.45)
-    df = spark.createDataFrame([*rows, (601, None, 1, 5, "I"), (602, None, 1, 0, "T"), (603, None, 2, 0, "T")], OP)
-    want = {(r.seq, r.alive) for r in resolve.brackets(df).collect()}
-    assert {r for r, a in want if a} >= model(rows)[0]
-    for span in (1, 7, 64):
-        assert {(r.seq, r.alive) for r in resolve.brackets(df, span).collect()} == want
-    assert dict(want)[601] is False and dict(want)[603] is True
+    df = spark.createDataFrame([*rows, (601, None, 1, 5, "I"), (602, None, 1, 0, "T"), (603, None, 2, 0, "T"), (604, 1, None, 2, "I"), (605, 4, None, 0, "D")], OP)
+    want = {(r.seq, r.alive) for r in resolve.brackets(df, 1).collect()}
+    alive, lost = model(rows)
+    assert {r for r, a in want if a} == alive | lost | {603, 604, 605}
+    for parts in (2, 7, 64, 300):
+        assert {(r.seq, r.alive) for r in resolve.brackets(df, parts).collect()} == want
+    one = spark.createDataFrame([(i, 1, 1, 1, "I" if i % 3 else "T") for i in range(500)], OP)  # one (key, value) has the whole log
+    rows = [tuple(r) for r in one.collect()]
+    assert {r.seq for r in resolve.live(one, 40).collect()} == model(rows)[0]
+
+
+def test_the_log_is_exchanged_once(spark, tmp_path):
+    """One exchange by range, which both its uses share; the only other one is of two rows for each range."""
+    spark.createDataFrame(log(300, 5), OP).write.parquet(f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    marked = resolve.live(stored, 8, ordered=True)
+    marked.collect()
+    plan = marked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan
+    ranged = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
+    assert len(ranged) == 2 and sum("ReusedExchange" in line for line in ranged) == 1 and plan.count("FileScan") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
+    plain = resolve.live(stored, 8)
+    assert "rangepartitioning" not in plain._jdf.queryExecution().toString()  # that was when the ranges were written
+    assert plain.exceptAll(marked).count() == 0 == marked.exceptAll(plain).count()
+    keys = [(r.key, r.value, r.seq) for r in marked.collect()]
+    assert keys == sorted(keys)
+    twice = resolve.brackets(resolve.brackets(stored, 3).where("alive").drop("alive").union(stored.where("seq < 0")), 5)
+    assert {r.seq for r in twice.where("op = 'I' and alive").collect()} == {r.seq for r in marked.collect()}
 
 
 def test_two_requests_for_one_record(spark):
