@@ -55,36 +55,43 @@ def build(tombstones: DataFrame, n: int, rate: float = RATE, column: str = "key"
     return written(keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(fill, "part long, parts long, bits binary"), "bloom", path)
 
 
-def may_hold(df: DataFrame, filter_: DataFrame, column: str = "key", salts: int = 8) -> DataFrame:
+def may_hold(df: DataFrame, filter_: DataFrame, column: str = "key", salts: int = 8, source: str | None = None) -> DataFrame:
     """``df`` with ``may``: False only if the filter (of ``build``) proves that the key was not added.
 
-    Rows go to the part of the filter that their key belongs to, each part in ``salts`` copies, so that rows of one key take
+    ``source``: a column of both tables that says which of several filters a row asks; all are asked in one job. Rows go
+    to the part of the filter that their key belongs to, each part in ``salts`` copies, so that rows of one key take
     as many tasks; a task reads the part first and then the rows, one batch after the other. A null key is in no filter.
     """
     names = df.columns
     schema = StructType([*df.schema.fields, StructField("may", BooleanType())])
-    parts = filter_.agg(F.max("parts")).first()[0] or 1
     where = names.index(column)
     row = F.struct(*names)
-    asked = df.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(parts)).alias("part"), F.pmod(F.xxhash64(*names), F.lit(salts)).alias("salt"), F.lit(None).cast("binary").alias("bits"), F.lit(1).alias("kind"), row.alias("row"))
-    told = filter_.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "bits", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
-    together = told.unionByName(asked).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind")
+    own = F.col(source) if source else F.lit(0)
+    sizes = filter_.groupBy(own.alias("source")).agg(F.max("parts").alias("parts"))  # a row for each filter
+    rows = df.select(own.alias("source"), F.xxhash64(F.col(column).cast("long")).alias("hash"), F.pmod(F.xxhash64(*names), F.lit(salts)).alias("salt"), row.alias("row")).join(F.broadcast(sizes), "source", "left")
+    asked = rows.select("source", F.pmod("hash", F.coalesce("parts", F.lit(1))).alias("part"), "salt", F.lit(None).cast("binary").alias("bits"), F.lit(1).alias("kind"), "row")
+    told = filter_.select(own.alias("source"), "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "bits", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    together = told.unionByName(asked).repartition("source", "part", "salt").sortWithinPartitions("source", "part", "salt", "kind")
 
     def test(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
         for b in batches:
-            part, bits, kind, row = (b.column(i) for i in (0, 2, 3, 4))
-            part, kind = part.to_numpy(), kind.to_numpy()
+            source, part, bits, kind, row = (b.column(i) for i in (0, 1, 3, 4, 5))
+            kind, part = kind.to_numpy(), part.to_numpy()
+            which = source.dictionary_encode()
+            code = which.indices.to_numpy(zero_copy_only=False)
             may = np.zeros(b.num_rows, dtype=bool)
             keys = row.field(where)
-            for p in dict.fromkeys(part.tolist()):
-                new = np.flatnonzero((part == p) & (kind == 0))
+            valid = keys.is_valid().to_numpy(zero_copy_only=False)
+            for c, p in dict.fromkeys(zip(code.tolist(), part.tolist())):
+                here, name = (code == c) & (part == p), (which.dictionary[int(c)].as_py(), p)
+                new = np.flatnonzero(here & (kind == 0))
                 if len(new):
-                    held = {p: np.frombuffer(bits[int(new[-1])].as_py(), dtype=np.uint8)}  # of the rows that follow
-                some = np.flatnonzero((part == p) & (kind == 1) & keys.is_valid().to_numpy(zero_copy_only=False))
-                if len(some) and p in held:
-                    at = places(keys.take(pa.array(some)).to_numpy(zero_copy_only=False), len(held[p]) * 8)
-                    may[some] = ((held[p][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+                    held = {name: np.frombuffer(bits[int(new[-1])].as_py(), dtype=np.uint8)}  # of the rows that follow
+                some = np.flatnonzero(here & (kind == 1) & valid)
+                if len(some) and name in held:
+                    at = places(keys.take(pa.array(some)).to_numpy(zero_copy_only=False), len(held[name]) * 8)
+                    may[some] = ((held[name][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             rows = np.flatnonzero(kind == 1)
             if len(rows):
                 back = row.take(pa.array(rows))

@@ -26,33 +26,38 @@ def offsets(df: DataFrame, n: int) -> tuple[list[tuple[int, int, int]], int]:
     return out, total
 
 
+def drawn(df: DataFrame, k: int, total: int, seed: int) -> DataFrame:
+    """``k`` draws (draw, r) from a line of length ``total``; none if that is 0."""
+    return df.sparkSession.range(k if total else 0).select(F.col("id").alias("draw"), below(F.lit(max(1, total)), seed, F.col("id")).alias("r"))
+
+
 def dealt(draws: DataFrame, line: list[tuple[int, int, int]]) -> DataFrame:
-    """Draws (draw, r) with the shard that r falls into and the place in it.
+    """Draws (draw, r) with the shard that r falls into, the place in it and its width.
 
     The line is cut into as many equal cells as it has shards; a shard is a row for each cell it
     reaches into, twice as many rows as shards in all at most, and draws meet it by their cell: an equi-join of data, whatever
-    the number of shards.
+    the number of shards. An empty line holds no draws.
     """
-    width = max(1, -(-line[-1][2] // len(line)))
+    width = max(1, -(-line[-1][2] // len(line))) if line else 1
     cells = draws.sparkSession.createDataFrame([(cell, s, a, b) for s, a, b in line for cell in range(a // width, (b - 1) // width + 1)], "_cell long, shard int, _a long, _b long")
     if len(line) <= SMALL_LINE:
         cells = F.broadcast(cells)
     hit = (F.col("_a") <= F.col("r")) & (F.col("r") < F.col("_b"))
-    return draws.withColumn("_cell", F.floor(F.col("r") / width).cast("long")).join(cells, "_cell").where(hit).select("draw", "shard", (F.col("r") - F.col("_a")).alias("at"))
+    return draws.withColumn("_cell", F.expr(f"r div {width}L")).join(cells, "_cell").where(hit).select("draw", "shard", (F.col("r") - F.col("_a")).alias("at"), (F.col("_b") - F.col("_a")).alias("width"))
 
 
-def look_up(df: DataFrame, draws: DataFrame, by: list[str], tail: tuple[str, ...] = ()) -> DataFrame:
+def look_up(df: DataFrame, draws: DataFrame, by: list[str], tail: tuple[str, ...] = (), fields: tuple[str, ...] = ("key", "value", "weight")) -> DataFrame:
     """The record whose interval holds each draw's place ``at``, within the groups ``by``.
 
     Records (at the start of their interval) and draws are sorted together, and each draw takes
     the last record before it: a window, never a range join.
     """
-    record = F.struct("key", "value", "weight")
+    record = F.struct(*fields)
     starts = intervals(df, *by, tail=tail).select(*by, F.col("lo").alias("at"), F.lit(0).alias("_kind"), record.alias("_record"), F.lit(None).cast("long").alias("draw"))
     asked = draws.select(*by, "at", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_record"].dataType).alias("_record"), "draw")
     w = Window.partitionBy(*by).orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = starts.unionByName(asked).withColumn("_record", F.last("_record", ignorenulls=True).over(w))
-    return both.where("_kind = 1").select(*[b for b in by if b != "shard"], "draw", "_record.key", "_record.value", "_record.weight")
+    return both.where("_kind = 1").select(*[b for b in by if b != "shard"], "draw", *[f"_record.{c}" for c in fields])
 
 
 def sample(df: DataFrame, k: int, seed: int = 1, shards: int = 8, tail: tuple[str, ...] = ()) -> DataFrame:
@@ -65,8 +70,7 @@ def sample(df: DataFrame, k: int, seed: int = 1, shards: int = 8, tail: tuple[st
     line, total = offsets(df, shards)
     if not total:
         return df.sparkSession.createDataFrame([], "draw long, key long, value long, weight long")
-    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), below(F.lit(total), seed, F.col("id")).alias("r"))
-    return look_up(df.withColumn("shard", shard_of(shards)), dealt(draws, line), ["shard"], tail)
+    return look_up(df.withColumn("shard", shard_of(shards)), dealt(drawn(df, k, total, seed), line), ["shard"], tail)
 
 
 def sample_arrow(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:
@@ -74,7 +78,7 @@ def sample_arrow(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataF
     line, total = offsets(df, shards)
     if not total:
         return df.sparkSession.createDataFrame([], "draw long, key long, value long, weight long")
-    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), below(F.lit(total), seed, F.col("id")).alias("r"))
+    draws = drawn(df, k, total, seed)
 
     def find(records: pa.Table, asked: pa.Table) -> pa.Table:
         records = records.sort_by([("key", "ascending"), ("value", "ascending")])
@@ -88,28 +92,25 @@ def sample_arrow(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataF
 
 
 def source_counts(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:
-    """How many of ``k`` draws fall to each shard."""
+    """How many of ``k`` draws fall to each shard; none without weight."""
     line, total = offsets(df, shards)
-    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), below(F.lit(total), seed, F.col("id")).alias("r"))
+    draws = drawn(df, k, total, seed)
     return dealt(draws, line).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 def two_stage(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:
-    """A shard by one hash, then a record in it by another."""
+    """A shard by one hash, then a record in it by another; no rows without weight."""
     line, total = offsets(df, shards)
-    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), below(F.lit(total), seed, F.col("id")).alias("r"))
-    sizes = F.create_map(*[F.lit(x).cast("long") for s, a, b in line for x in (s, b - a)])
-    inner = dealt(draws, line).select("draw", "shard", below(sizes[F.col("shard").cast("long")], seed, "inner", F.col("draw")).alias("at"))
+    inner = dealt(drawn(df, k, total, seed), line).select("draw", "shard", below(F.col("width"), seed, "inner", F.col("draw")).alias("at"))
     return look_up(df.withColumn("shard", shard_of(shards)), inner, ["shard"])
 
 
 def sample_alias(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:
-    """A shard by one hash, a slot by another, and the slot or its alias by a third: constant work for each draw."""
+    """A shard by one hash, a slot by another, and the slot or its alias by a third: constant work for each draw. No rows without weight."""
     line, total = offsets(df, shards)
     tables = alias_tables(df, shards)
     slots = df.where("weight > 0").groupBy(shard_of(shards).alias("shard")).agg(F.count("*").alias("slots"))
-    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), below(F.lit(total), seed, F.col("id")).alias("r"))
-    first = dealt(draws, line).join(F.broadcast(slots), "shard").select("shard", "draw", below(F.col("slots"), seed, "slot", F.col("draw")).alias("slot"), unit(seed, "coin", F.col("draw")).alias("u"))
+    first = dealt(drawn(df, k, total, seed), line).join(F.broadcast(slots), "shard").select("shard", "draw", below(F.col("slots"), seed, "slot", F.col("draw")).alias("slot"), unit(seed, "coin", F.col("draw")).alias("u"))
     taken = first.join(tables.select("shard", "slot", "prob", "alias"), ["shard", "slot"]).select("shard", "draw", F.when(F.col("u") <= F.col("prob"), F.col("slot")).otherwise(F.col("alias")).alias("slot"))
     return taken.join(tables.select("shard", "slot", "key", "value", "weight"), ["shard", "slot"]).select("draw", "key", "value", "weight")
 

@@ -109,3 +109,18 @@ def test_cells_of_the_line(spark):
     line = [(0, 0, 1), (3, 1, 100), (4, 100, 101), (7, 101, 103)]
     got = s.dealt(spark.range(103).selectExpr("id as draw", "id as r"), line).collect()
     assert sorted((r.draw, r.shard, r["at"]) for r in got) == [(r, *next((n, r - a) for n, a, b in line if a <= r < b)) for r in range(103)]
+
+
+def test_empty_tables_and_tables_without_weight(spark):
+    none = spark.createDataFrame([], "key long, value long, weight long")
+    light = spark.createDataFrame([(1, 1, 0), (2, 2, 0)], "key long, value long, weight long")
+    for df in (none, light):
+        for f in (s.sample, s.sample_arrow, s.source_counts, s.two_stage, s.sample_alias):
+            assert f(df, 20).count() == 0, f.__name__
+        assert s.sample_rejecting(df, 20).count() == 0
+        assert s.sample_retrying(df, F.lit(False), 20, 2).count() == 0
+
+
+def test_a_line_of_huge_weights_loses_no_draw(spark):
+    df = spark.createDataFrame([(i, i, 10**16 + i) for i in range(60)], "key long, value long, weight long")
+    assert s.sample(df, 500, shards=7).count() == 500 == s.sample_arrow(df, 500, shards=7).count()
