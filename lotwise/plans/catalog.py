@@ -11,7 +11,7 @@ from ..operators import bloom, metrics, resolve, shards, weights
 from ..operators import sample as sampling
 from ..sources import tsv, workload
 from ..sources.shared import work_path
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, ingest_lines, interleave
 from .layout import Config, closed_form, digits, flushes, level_capacity
 from .store import Index
 
@@ -183,10 +183,19 @@ lv AS (SELECT i AS level, d, CAST(d * power({SCALE}, i) * {CAP} AS BIGINT) AS n
 """
 
 
+def loaded(spark: SparkSession, d: str, policy: str = "tiering") -> Index:
+    """All orders loaded at once into an index."""
+    index = Index(spark, work_path(spark, "index"), Config(CAP, SCALE, layout=policy))
+    index.bulk_load(seq_of(orders(spark, d)).withColumn("op", F.lit("I")))
+    return index
+
+
 def layout(policy: str):
+    """The levels and shards that appends would make, as they stand in the manifest after a load."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = closed_form(table(spark, d, "orders").count(), Config(CAP, SCALE, layout=policy))
-        return spark.createDataFrame([(r["level"], r["shards"], r["rows"]) for r in rows], "level int, shards int, n long")
+        levels = loaded(spark, d, policy).state.levels
+        return spark.createDataFrame([(i, len(lv), sum(x.rows for x in lv)) for i, lv in enumerate(levels)], "level int, shards int, n long")
 
     return run
 
@@ -194,10 +203,12 @@ def layout(policy: str):
 query("layout_tiering", DIGITS + "SELECT CAST(level AS INTEGER) AS level, CAST(d AS INTEGER) AS shards, n FROM lv")(layout("tiering"))
 query("layout_leveling", DIGITS + "SELECT CAST(level AS INTEGER) AS level, CAST(1 AS INTEGER) AS shards, n FROM lv")(layout("leveling"))
 query("level_capacity", DIGITS + f"SELECT CAST(level AS INTEGER) AS level, CAST({CAP} * power({SCALE}, level + 1) AS BIGINT) AS capacity FROM lv")(
-    lambda s, d: s.createDataFrame([(i, level_capacity(Config(CAP, SCALE), i)) for i in range(len(digits(flushes(table(s, d, "orders").count(), CAP), SCALE)))], "level int, capacity long")
+    lambda s, d: s.createDataFrame([(i, level_capacity(Config(CAP, SCALE), i)) for i in range(len(loaded(s, d).state.levels))], "level int, capacity long")
+)
+query("height", DIGITS + "SELECT CAST(count(*) AS INTEGER) AS height FROM lv")(lambda s, d: s.createDataFrame([(loaded(s, d).metrics()["height"],)], "height int"))
+query("flush_count", f"SELECT CASE WHEN count(*) = 0 THEN 0 ELSE (count(*) - 1) // {CAP} END AS flushes FROM orders")(
+    lambda s, d: s.createDataFrame([(sum(f.rows for lv in loaded(s, d).state.levels for x in lv for f in x.files) // CAP,)], "flushes long")
 )
-query("height", DIGITS + "SELECT CAST(count(*) AS INTEGER) AS height FROM lv")(lambda s, d: s.createDataFrame([(len(digits(flushes(table(s, d, "orders").count(), CAP), SCALE)),)], "height int"))
-query("flush_count", f"SELECT CASE WHEN count(*) = 0 THEN 0 ELSE (count(*) - 1) // {CAP} END AS flushes FROM orders")(lambda s, d: table(s, d, "orders").agg(F.when(F.count("*") == 0, 0).otherwise(F.floor((F.count("*") - 1) / CAP)).cast("long").alias("flushes")))
 
 # -- weights --------------------------------------------------------------------------------------
 query("shard_weights", W_ + f"SELECT CAST(key % {SHARDS} AS INTEGER) AS shard, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM rec GROUP BY 1")(lambda s, d: weights.shard_weights(orders(s, d), SHARDS))
@@ -389,10 +400,15 @@ def index_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @query("index_bulk_load", DIGITS + "SELECT CAST(level AS INTEGER) AS level, CAST(d AS INTEGER) AS shards, n FROM lv")
 def index_bulk_load(spark: SparkSession, d: str) -> DataFrame:
-    """All orders loaded at once: the levels and shards that appends would make."""
-    index = Index(spark, work_path(spark, "index"), Config(CAP, SCALE))
-    index.bulk_load(seq_of(orders(spark, d)).withColumn("op", F.lit("I")))
-    return spark.createDataFrame([(i, len(lv), sum(x.rows for x in lv)) for i, lv in enumerate(index.state.levels)], "level int, shards int, n long")
+    """All orders loaded at once: levels, shards and rows, counted from what is stored."""
+    index = loaded(spark, d)
+    kept = None
+    for level, shard in [(i, x) for i, lv in enumerate(index.state.levels) for x in lv]:
+        part = spark.read.parquet(shard.path).select(F.lit(level).alias("level"), F.lit(shard.path).alias("shard"))
+        kept = part if kept is None else kept.unionByName(part)
+    if kept is None:
+        return spark.createDataFrame([], "level int, shards int, n long")
+    return kept.groupBy("level").agg(F.count_distinct("shard").cast("int").alias("shards"), F.count("*").alias("n"))
 
 
 @query("index_erase", W_ + ", r AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS i, seq FROM ops WHERE op = 'T'), l AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value, seq) AS i FROM ops WHERE op = 'I') SELECT r.seq + 1000000000 AS seq, r.key, l.value, CAST(l.value IS NOT NULL AS INTEGER) AS found FROM r LEFT JOIN l ON r.key = l.key AND r.i = l.i")
@@ -412,22 +428,148 @@ query("sample_static", W_ + lookup_sql("SELECT * FROM rec"))(
 )
 
 
-def drawn_and_alive(spark: SparkSession, d: str, filters: bool) -> DataFrame:
-    """Draws from the stored files, dead records rejected: all come, and all of them live."""
-    index = in_index(spark, d, Config(seventh(spark, d), 2, filters=filters))
-    drawn = index.sample(DRAWS, SEED)
-    there = index.live().select("key", "value", "weight", F.lit(True).alias("there")).distinct()
-    return drawn.join(there, ["key", "value", "weight"], "left").agg(F.count_distinct("draw").alias("n"), F.count("there").alias("lives"))
+#: The op log as a load stores it with a buffer of a seventh of it: ``st`` are the inserts that are left in their shard, ``sd`` the deletes.
+STORED = (
+    W_.replace(
+        "WITH rec",
+        f"""WITH RECURSIVE p AS (SELECT count(*) AS n, greatest(100, count(*) // 7) AS cap FROM events),
+f(i, rest, d) AS (SELECT -1, CASE WHEN n = 0 THEN 0 ELSE (n - 1) // cap END, 0 FROM p
+  UNION ALL SELECT i + 1, (rest - CASE WHEN rest % {SCALE} = 0 THEN {SCALE} ELSE rest % {SCALE} END) // {SCALE}, CASE WHEN rest % {SCALE} = 0 THEN {SCALE} ELSE rest % {SCALE} END FROM f WHERE rest > 0), rec""",
+        1,
+    )
+    + f""", lv AS (SELECT i AS level, CAST(d * power({SCALE}, i) * cap AS BIGINT) AS n, CAST(power({SCALE}, i) * cap AS BIGINT) AS part FROM f, p WHERE i >= 0),
+le AS (SELECT *, CAST(sum(n) OVER (ORDER BY level DESC) AS BIGINT) AS e FROM lv),
+mixed AS (SELECT seq, key, value, weight, CASE WHEN op = 'T' AND seq % 2 = 0 THEN 'D' ELSE op END AS op FROM ops),
+placed AS (SELECT o.*, coalesce(level, -1) AS level, coalesce((seq - (e - n)) // part, -1) AS shard FROM mixed o LEFT JOIN le ON seq >= e - n AND seq < e),
+r2 AS (SELECT *, sum(CASE op WHEN 'I' THEN 1 ELSE -1 END) OVER (PARTITION BY level, shard, key, value ORDER BY seq) AS run FROM placed),
+m2 AS (SELECT * EXCLUDE run, CASE WHEN op = 'I' THEN min(run) OVER (PARTITION BY level, shard, key, value ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) >= run
+       ELSE run < 0 AND run < coalesce(min(run) OVER (PARTITION BY level, shard, key, value ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS kept FROM r2),
+st AS (SELECT * FROM m2 WHERE op = 'I' AND (kept OR level = -1)),
+sd AS (SELECT * FROM m2 WHERE op <> 'I' AND (level = -1 OR kept AND NOT (level = (SELECT max(level) FROM lv) AND shard = 0)))
+"""
+)
+PASSES = 4
 
 
-ALL_LIVE = f"SELECT CAST({DRAWS} AS BIGINT) AS n, CAST({DRAWS} AS BIGINT) AS lives"
-query("index_sample", ALL_LIVE)(lambda s, d: drawn_and_alive(s, d, False))
-query("index_filters", ALL_LIVE)(lambda s, d: drawn_and_alive(s, d, True))
+def stored_draws(where: str = "true") -> str:
+    """Draws over the line of what is stored (deepest level first), dead ones told: ``tries``; the first that lives of each draw: ``one``."""
+    return f""", cdf AS (SELECT *, CAST(sum(weight) OVER (ORDER BY level DESC, shard, key, value, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM st WHERE weight > 0 AND {where}),
+tot AS (SELECT CAST(sum(weight) AS BIGINT) AS w FROM cdf),
+dr AS (SELECT draw, pass, {bits_sql(repr(str(SEED)), 'draw', 'pass')} % w AS r FROM (SELECT unnest(range({DRAWS})) AS draw), (SELECT unnest(range({PASSES})) AS pass), tot WHERE w > 0),
+tries AS (SELECT draw, pass, c.key, c.value, c.weight, br.alive FROM dr JOIN cdf c ON r >= hi - c.weight AND r < hi JOIN br USING (seq)),
+one AS (SELECT draw, arg_min(key, pass) AS key, arg_min(value, pass) AS value, arg_min(weight, pass) AS weight FROM tries WHERE alive GROUP BY draw),
+lc AS (SELECT *, CAST(sum(weight) OVER (ORDER BY key % {SHARDS}, key, value, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS lhi FROM live WHERE weight > 0 AND {where}),
+late AS (SELECT draw, {bits_sql(repr(str(SEED)), 'draw')} % (SELECT CAST(sum(weight) AS BIGINT) FROM lc) AS x FROM (SELECT unnest(range({DRAWS})) AS draw) WHERE draw NOT IN (SELECT draw FROM one))
+"""
 
-query(
+
+DRAWN = "SELECT draw, key, value, weight FROM one UNION ALL SELECT draw, key, value, weight FROM late JOIN lc ON x >= lhi - weight AND x < lhi"
+
+
+def stored_index(spark: SparkSession, d: str, **more) -> Index:
+    """The op log, half of its deletes as tags, loaded at once; flushed but for a buffer."""
+    index = Index(spark, work_path(spark, "index"), Config(seventh(spark, d), SCALE, **more))
+    tag = (F.col("op") == "T") & (F.col("seq") % 2 == 0)
+    index.bulk_load(ops(spark, d).withColumn("op", F.when(tag, "D").otherwise(F.col("op"))))
+    return index
+
+
+query("index_sample", STORED + stored_draws() + DRAWN)(lambda s, d: stored_index(s, d).sample(DRAWS, SEED, passes=PASSES))
+query("index_filters", STORED + stored_draws() + DRAWN)(lambda s, d: stored_index(s, d, filters=True).sample(DRAWS, SEED, passes=PASSES))
+query("index_range_sample", STORED + stored_draws("key BETWEEN 3 AND 9") + DRAWN)(lambda s, d: stored_index(s, d).sample(DRAWS, SEED, low=3, high=9, passes=PASSES))
+
+
+@query("index_rejects", STORED + stored_draws() + """SELECT cause, coalesce(n, 0) AS n FROM (SELECT unnest(['tombstone', 'tag', 'range']) AS cause) LEFT JOIN (
+  SELECT CASE kind WHEN 'T' THEN 'tombstone' ELSE 'tag' END AS cause, count(*) AS n FROM tries JOIN (SELECT key, value, max(op) AS kind FROM sd GROUP BY key, value) USING (key, value) WHERE NOT alive GROUP BY 1) USING (cause)""")
+def index_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """How many draws a sample has rejected, by cause; a range's draws never fall outside it."""
+    index = stored_index(spark, d)
+    index.sample(DRAWS, SEED, passes=PASSES)
+    return spark.createDataFrame(list(index.metrics()["rejects"].items()), "cause string, n long")
+
+
+@query("index_levels", STORED + f""", h AS (SELECT level, shard, op, weight FROM st UNION ALL SELECT level, shard, op, weight FROM sd)
+SELECT CAST(level AS INTEGER) AS level, count(DISTINCT shard) AS shards, count(*) AS records, count(*) FILTER (op <> 'I') AS tombstones, CAST(floor(count(*) FILTER (op <> 'I') * 1000000 / (count(*) FILTER (op <> 'I') + count(*))) AS BIGINT) AS proportion_ppm FROM h WHERE level >= 0 GROUP BY level""")
+def index_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Each level's shards, records, deletes and proportion of deletes, from the manifest."""
+    index = stored_index(spark, d)
+    told = index.metrics()
+    rows = [(i, len(lv), sum(x.rows for x in lv), sum(x.tombstones for x in lv), int(p * 1_000_000 + 1e-6)) for i, (lv, p) in enumerate(zip(index.state.levels, told["proportions"]))]
+    return spark.createDataFrame(rows, "level int, shards long, records long, tombstones long, proportion_ppm long")
+
+
+@query(
     "index_metrics",
-    W_ + "SELECT count(*) AS records, count(*) FILTER (op = 'T') AS tombstones, CAST(sum(weight) AS BIGINT) AS weight FROM ops",
-)(lambda s, d: (lambda index: (index.append(ops(s, d)), s.createDataFrame([tuple(index.metrics()[k] for k in ("records", "tombstones", "weight"))], "records long, tombstones long, weight long"))[1])(Index(s, work_path(s, "index"), Config(buffer_cap=1 << 40))))
+    STORED
+    + """, h AS (SELECT level, shard, op, weight FROM st UNION ALL SELECT level, shard, op, weight FROM sd), t AS (SELECT level, shard, count(*) AS t FROM sd GROUP BY level, shard)
+SELECT count(*) AS records, count(*) FILTER (op <> 'I') AS tombstones, CAST(sum(weight) AS BIGINT) AS weight, count(*) FILTER (level = -1) AS buffered, CAST(floor((SELECT cap FROM p) * 0.05::DOUBLE) AS BIGINT) AS tombstone_cap,
+  greatest(0, count(*) FILTER (level = -1 AND op <> 'I') - CAST(floor((SELECT cap FROM p) * 0.05::DOUBLE) AS BIGINT)) AS deletes_over_cap, (SELECT CAST(sum(greatest(1, ceil(-t * ln(0.01) / power(ln(2), 2) / 8))) AS BIGINT) FROM t) AS aux_bytes,
+  count(*) FILTER (level >= 0) AS in_files, true AS bytes_stored, true AS filters_stored FROM h""",
+)
+def index_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, weight, the buffer and its cap, the size of the filters, and that bytes of both are on disk, of a flushed index."""
+    index = stored_index(spark, d, filters=True, max_tombstone_prop=0.05)
+    m = index.metrics()
+    in_files = sum(f.rows for lv in index.state.levels for x in lv for f in x.files)
+    row = (m["records"], m["tombstones"], m["weight"], m["buffered"], index.config.tombstone_cap, m["deletes_over_cap"], m["aux_bytes"], in_files, m["bytes"] > 0, m["stored_aux_bytes"] >= m["aux_bytes"])
+    return spark.createDataFrame([row], "records long, tombstones long, weight long, buffered long, tombstone_cap long, deletes_over_cap long, aux_bytes long, in_files long, bytes_stored boolean, filters_stored boolean")
+
+
+@query("index_destroy", "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM orders")
+def index_destroy(spark: SparkSession, d: str) -> DataFrame:
+    """Records that an index reads from disk before and after it is destroyed."""
+    index = loaded(spark, d)
+    before = index.live().count()
+    index.destroy()
+    return spark.createDataFrame([(before, Index(spark, index.path).live().count())], "before long, after long")
+
+
+#: Malformed lines stand between the records: every 50th order's weight is no number.
+@query("tsv_stream", W_ + "SELECT key % 8 AS part, count(*) FILTER (key % 50 <> 0) AS n, CAST(coalesce(sum(weight) FILTER (key % 50 <> 0), 0) AS BIGINT) AS weight, count(*) FILTER (key % 50 = 0) AS malformed FROM rec GROUP BY 1")
+def tsv_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Files of tab-separated lines as a stream into an index; what doesn't parse is kept aside and counted."""
+    source, aside = work_path(spark, "lines"), work_path(spark, "aside")
+    weight = F.when(F.col("key") % 50 == 0, F.lit("none")).otherwise(F.col("weight").cast("string"))
+    orders(spark, d).select(F.concat_ws("\t", "value", "key", weight)).repartition(2).write.text(source)
+    index = Index(spark, work_path(spark, "index"), Config(buffer_cap=max(100, table(spark, d, "orders").count() // 3), scale_factor=2))
+    ingest_lines(tsv.record_stream(spark, source), index, work_path(spark, "offsets"), aside).awaitTermination()
+    good = index.live().groupBy((F.col("key") % 8).alias("part")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    bad = spark.read.parquet(aside).groupBy((F.split("line", "\t")[1].cast("long") % 8).alias("part")).agg(F.count("*").alias("malformed"))
+    return good.join(bad, "part", "full").select("part", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "weight", "malformed")])
+
+
+VICTIMS = 300
+
+
+@query(
+    "interleaved_workload",
+    W_
+    + f""", o AS (SELECT key, value, weight, least(2, key * 3 // ((SELECT max(key) FROM rec) + 1)) AS b FROM rec),
+c1 AS (SELECT *, CAST(sum(weight) OVER (ORDER BY key, value) AS BIGINT) AS hi FROM o WHERE b = 0 AND weight > 0),
+d1 AS (SELECT draw, min(pass) AS pass FROM (SELECT unnest(range({VICTIMS})) AS draw), (SELECT unnest(range(4)) AS pass) GROUP BY draw),
+v1 AS (SELECT DISTINCT key, value FROM d1 JOIN c1 ON {bits_sql("'2'", 'draw', 'pass')} % (SELECT CAST(sum(weight) AS BIGINT) FROM c1) >= hi - weight AND {bits_sql("'2'", 'draw', 'pass')} % (SELECT CAST(sum(weight) AS BIGINT) FROM c1) < hi),
+c2 AS (SELECT *, CAST(sum(weight) OVER (ORDER BY key, value) AS BIGINT) AS hi, EXISTS (SELECT 1 FROM v1 WHERE v1.key = o.key AND v1.value = o.value) AS dead FROM o WHERE b <= 1 AND weight > 0),
+d2 AS (SELECT draw, pass, {bits_sql("'3'", 'draw', 'pass')} % (SELECT CAST(sum(weight) AS BIGINT) FROM c2) AS r FROM (SELECT unnest(range({VICTIMS})) AS draw), (SELECT unnest(range(4)) AS pass)),
+h2 AS (SELECT draw, pass, key, value FROM d2 JOIN c2 ON r >= hi - weight AND r < hi WHERE NOT dead),
+v2 AS (SELECT DISTINCT key, value FROM (SELECT draw, arg_min(key, pass) AS key, arg_min(value, pass) AS value FROM h2 GROUP BY draw))
+SELECT CAST(1 AS BIGINT) AS batch, key, value, CAST(1 AS INTEGER) AS found FROM v1 UNION ALL SELECT CAST(2 AS BIGINT), key, value, CAST(1 AS INTEGER) FROM v2""",
+)
+def interleaved_workload(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a stream of three batches, each with deletes of records drawn from what lives before it: every delete, and
+    whether it met a record. (That any draw of the last batch is rejected in all four passes has a chance of some 1e-4.)"""
+    source, o = work_path(spark, "stream"), seq_of(orders(spark, d))
+    last = o.agg(F.max("seq")).first()[0] or 0
+    third = F.least(F.lit(2), F.expr(f"seq * 3 div {last + 1}"))
+    for i in range(3):
+        o.where(third == i).select("seq", "key", "value", "weight").coalesce(1).write.mode("append").parquet(source)
+    index = Index(spark, work_path(spark, "index"), Config(buffer_cap=1 << 40, scale_factor=2))
+    schema = "seq long, key long, value long, weight long"
+    interleave(tsv.table_stream(spark, source, schema), index, work_path(spark, "offsets"), VICTIMS, batches_per_pool=1).awaitTermination()
+    log = resolve.brackets(index.log())
+    at = F.least(F.lit(2), F.expr(f"((seq + 1) div 2) * 3 div {last + 1}"))
+    return log.where("op = 'T'").select(at.cast("long").alias("batch"), "key", "value", (~F.col("alive")).cast("int").alias("found"))
+
+
 query(
     "sampled_workload",
     W_ + f""", o AS (SELECT *, key AS seq FROM rec), v AS (SELECT * FROM o WHERE weight > 0 ORDER BY -ln((CAST({bits_sql('1', 'key', 'value')} AS DOUBLE) + 1) / 1152921504606846976.0::DOUBLE) / weight, key, value LIMIT 1000)
