@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,30 +17,45 @@ MIX = 0x9E3779B97F4A7C15
 class Index:
     """The windows of one block of items, found by their rarest shingle.
 
-    Words are numbers of this block's vocabulary, so equal numbers are equal words. ``windows``
-    are the distinct windows, ``owners`` the items of each. A window is contained where all its
-    shingles are, so one prefix token is enough: the shingle that fewest documents hold.
+    Words are numbers of this block's vocabulary, so equal numbers are equal words. All items' words stand in one array, and
+    a window is a stretch of it: ``begin`` and ``length`` of the distinct windows, the items of window w are ``owners`` from ``bounds[w]`` to
+    ``bounds[w + 1]``, as numbers of ``names``. A window is contained where all its shingles are, so one prefix token is
+    enough: the shingle that fewest documents hold.
     """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int, shingle: int):
         self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, raw in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in alnum_words(raw or b"")]
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners[tuple(ids[at : at + window])].update([] if item is None else [item])
-        self.windows = sorted(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
+        self.names = sorted({i for i, _ in items if i is not None})
+        code = {i: n for n, i in enumerate(self.names)}
         self.shingle = shingle
-        # all shingles, numbered by length and key
+        words = [[self.vocab.setdefault(w, len(self.vocab)) for w in alnum_words(raw or b"")] for _, raw in items]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.stream = np.fromiter((i for w in words for i in w), dtype=np.int32, count=int(sizes.sum()))
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
+        owner = np.array([code.get(i, -1) for i, _ in items], dtype=np.int64)
+        begin, length, bounds, owners = [], [], [], []
+        for size in sorted({min(int(n), window) for n in sizes if n}):
+            own = np.flatnonzero((sizes == size) if size < window else (sizes >= window))
+            each = sizes[own] - size + 1
+            at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
+            rows = np.ascontiguousarray(self.stream[at[:, None] + np.arange(size)]).view(f"V{4 * size}").ravel()
+            _, one, which = np.unique(rows, return_index=True, return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * (len(self.names) + 1) + np.repeat(owner[own], each) + 1)  # 0: an item without id
+            named = pairs[pairs % (len(self.names) + 1) > 0]
+            begin.append(at[one])
+            length.append(np.full(len(one), size))
+            bounds.append(np.bincount(named // (len(self.names) + 1), minlength=len(one)))
+            owners.append(named % (len(self.names) + 1) - 1)
+        whole = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
+        self.begin, self.length, self.owners = whole(begin), whole(length), whole(owners)
+        self.bounds = np.concatenate(([0], np.cumsum(whole(bounds))))
+        #: All shingles by their length, and where those of each window stand among them.
         self.keys: dict[int, np.ndarray] = {}
-        found = defaultdict(set)
-        for w in self.windows:
-            s = min(shingle, len(w))
-            found[s].update(int(k) for k in self.rolled(np.array(w), s))
-        for s, keys in found.items():
-            self.keys[s] = np.array(sorted(keys), dtype=np.uint64)
-        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        lengths = np.minimum(self.length, shingle)
+        for s in np.unique(lengths).tolist():
+            rolled = self.rolled(self.stream, s)
+            found = [rolled[self.begin[lengths == s][self.length[lengths == s] == size][:, None] + np.arange(size - s + 1)].ravel() for size in np.unique(self.length[lengths == s]).tolist()]
+            self.keys[s] = np.unique(np.concatenate(found))
 
     @staticmethod
     def rolled(ids: np.ndarray, s: int) -> np.ndarray:
@@ -77,37 +90,60 @@ class Index:
         hit = keys[i] == rolled[at]
         return at[hit], i[hit]
 
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Choose each window's prefix token by rarity; counts: documents by shingle length and number."""
-        self.postings = {s: defaultdict(list) for s in self.keys}
-        for k, w in enumerate(self.windows):
-            s = min(self.shingle, len(w))
-            numbers = np.searchsorted(self.keys[s], self.rolled(np.array(w), s)).tolist()
-            offset = min(range(len(numbers)), key=lambda o: (counts.get((s, numbers[o]), 0), numbers[o], o))
-            self.postings[s][numbers[offset]].append((offset, k))
-        self.rare = {s: np.array(sorted(p), dtype=np.int64) for s, p in self.postings.items()}
-
-    def scan(self, words: list[bytes]) -> tuple[set[int], set[str]]:
-        """Positions of words inside a window's occurrence, and the items with such windows."""
+    def order(self, counts: dict[int, np.ndarray]) -> None:
+        """Choose each window's prefix token by rarity, then number, then place; counts: documents with each shingle, by its length."""
+        number = np.zeros(len(self.begin), dtype=np.int64)
+        self.offset = np.zeros(len(self.begin), dtype=np.int64)
+        lengths = np.minimum(self.length, self.shingle)
+        for s, keys in self.keys.items():
+            rolled = self.rolled(self.stream, s)
+            for size in np.unique(self.length[lengths == s]).tolist():
+                mine = np.flatnonzero((lengths == s) & (self.length == size))
+                numbers = np.searchsorted(keys, rolled[self.begin[mine][:, None] + np.arange(size - s + 1)])
+                best = np.argmin(counts[s][numbers] * len(keys) + numbers, axis=1)
+                self.offset[mine] = best
+                number[mine] = numbers[np.arange(len(mine)), best]
+        #: By length: the prefix tokens, and the windows of the i-th from ``starts[i]`` to ``starts[i + 1]``.
+        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for s in self.keys:
+            mine = np.flatnonzero(lengths == s)
+            mine = mine[np.argsort(number[mine], kind="stable")]
+            rare, starts = np.unique(number[mine], return_index=True)
+            self.postings[s] = rare, np.append(starts, len(mine)), mine
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Positions of words inside a window's occurrence, and the items with such windows in order."""
         ids = self.numbers(words)
-        hit: set[int] = set()
-        items: set[str] = set()
-        for s, posts in self.postings.items():
+        cover = np.zeros(len(ids) + 1, dtype=np.int64)
+        met = []
+        for s, (rare, starts, windows) in self.postings.items():
             at, number = self.places(ids, s)
-            keep = np.isin(number, self.rare[s])
-            for p, i in zip(at[keep].tolist(), number[keep].tolist()):
-                for offset, k in posts[i]:
-                    w = self.windows[k]
-                    start = p - offset
-                    # positional and length bounds, then exact containment
-                    if 0 <= start <= len(ids) - len(w) and tuple(ids[start : start + len(w)].tolist()) == w:
-                        hit.update(range(start, start + len(w)))
-                        items.update(self.owners[k])
-        return hit, items
-
-
-def shingle_counts(docs: DataFrame, shared: Broadcast, text_col: str) -> dict[tuple[int, int], int]:
-    """In how many documents each shingle of the block stands: exact, over all whole texts."""
+            i = np.minimum(np.searchsorted(rare, number), len(rare) - 1)
+            keep = rare[i] == number
+            at, i = at[keep], i[keep]
+            for a in range(0, len(at), 1000):  # places at once
+                many = starts[i[a : a + 1000] + 1] - starts[i[a : a + 1000]]
+                inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                w = windows[np.repeat(starts[i[a : a + 1000]], many) + inner]
+                start = np.repeat(at[a : a + 1000], many) - self.offset[w]
+                # positional and length bounds, then exact containment
+                fits = (start >= 0) & (start + self.length[w] <= len(ids))
+                w, start = w[fits], start[fits]
+                for size in np.unique(self.length[w]).tolist():
+                    mine = self.length[w] == size
+                    along = np.arange(size)
+                    same = (ids[start[mine][:, None] + along] == self.stream[self.begin[w[mine]][:, None] + along]).all(axis=1)
+                    np.add.at(cover, start[mine][same], 1)
+                    np.add.at(cover, start[mine][same] + size, -1)
+                    met.append(w[mine][same])
+        w = np.unique(np.concatenate(met)) if met else np.empty(0, dtype=np.int64)
+        many = self.bounds[w + 1] - self.bounds[w]
+        owners = self.owners[np.repeat(self.bounds[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        return np.flatnonzero(np.cumsum(cover[:-1])), [self.names[i] for i in np.unique(owners).tolist()]
+
+
+def shingle_counts(docs: DataFrame, shared: Broadcast, text_col: str) -> dict[int, np.ndarray]:
+    """In how many documents each shingle of the block stands, by its length: exact, over all whole texts."""
 
     def make():
         index: Index = shared.value
@@ -118,16 +154,21 @@ def shingle_counts(docs: DataFrame, shared: Broadcast, text_col: str) -> dict[tu
                 ids = index.numbers(alnum_words(raw or b""))
                 for s, total in totals.items():
                     total[np.unique(index.places(ids, s)[1])] += 1
-            rows = [(s, int(i), int(t[i])) for s, t in totals.items() for i in np.flatnonzero(t)]
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["s", "i", "n"])
+            some = {s: np.flatnonzero(t) for s, t in totals.items()}
+            columns = [np.repeat(np.array([*some], dtype=np.int64), [len(i) for i in some.values()]), np.concatenate([*some.values(), np.empty(0, dtype=np.int64)]), np.concatenate([*(totals[s][i] for s, i in some.items()), np.empty(0, dtype=np.int64)])]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["s", "i", "n"])
 
         return f
 
-    counted = by_batch(docs.select(text_col), make, "s long, i long, n long").groupBy("s", "i").agg(F.sum("n").alias("n"))
-    return {(r.s, r.i): r.n for r in counted.collect()}  # at most one row for each shingle of the block
+    counted = by_batch(docs.select(text_col), make, "s long, i long, n long").groupBy("s", "i").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each shingle of the block
+    s, i, n = (counted.column(c).to_numpy() for c in ("s", "i", "n"))
+    out = {size: np.zeros(len(keys), dtype=np.int64) for size, keys in shared.value.keys.items()}
+    for size, total in out.items():
+        total[i[s == size]] = n[s == size]
+    return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_mb: float = 16, name: str = "contamination", id_col: str = "item_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_mb: float = 8, name: str = "contamination", id_col: str = "item_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``name``: n_words, hits (positions of hit words), items (ids as strings, sorted).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Every ``window``
@@ -162,8 +203,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 words = alnum_words(raw or b"")
                 hit, ids = shared.value.scan(words)
                 n.append(len(words))
-                hits.append(sorted(hit))
-                found.append(sorted(ids))
+                hits.append(hit)
+                found.append(ids)
             return {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
 
         return lambda: f
@@ -176,12 +217,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             h1, h2, hits, found = [], [], [], []
             for raw in raw_texts(batch.column(0)):
                 hit, ids = shared.value.scan(alnum_words(raw or b""))
-                if hit:
+                if len(hit):
                     a, b = (xxhash.xxh64_intdigest(raw, seed) for seed in (1, 2))
                     h1.append(a - (a >> 63 << 64))
                     h2.append(b - (b >> 63 << 64))
-                    hits.append(sorted(hit))
-                    found.append(sorted(ids))
+                    hits.append(hit)
+                    found.append(ids)
             return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["h1", "h2", "hits", "items"])
 
         return lambda: f

@@ -3,7 +3,9 @@
 import random
 import re
 
-from lotwise.llm.decontam import decontaminate, find_contamination
+import numpy as np
+
+from lotwise.llm.decontam import Index, decontaminate, find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,3 +60,22 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if not plain(r.text, items, 10)[1])
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_a_large_benchmark_is_indexed_fast():
+    """Some 280,000 windows in seconds, and found again; words that many windows share are no slower."""
+    import time
+
+    rng = random.Random(3)
+    vocab = [f"w{i}".encode() for i in range(20_000)]
+    items = [(str(k), b" ".join(rng.choices(vocab, k=rng.randrange(1, 300)))) for k in range(2000)] + [("same", b"a a a a a a a a a a a a"), ("again", b"a a a a a a a a a a")]
+    began = time.time()
+    index = Index(items, 10, 5)
+    index.order({s: np.ones(len(k), dtype=np.int64) for s, k in index.keys.items()})
+    assert time.time() - began < 20 and len(index.begin) > 250_000
+    for k in (3, 700):
+        words = items[k][1].split()
+        hit, found = index.scan([b"x", *words, b"y"])
+        assert hit.tolist() == list(range(1, len(words) + 1)) and str(k) in found
+    hit, found = index.scan([b"a"] * 20_000)
+    assert len(hit) == 20_000 and found == ["again", "same"]
