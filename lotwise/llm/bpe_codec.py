@@ -155,4 +155,4 @@ def encode_documents(docs: DataFrame, vocab_path: str, mean: int = 512, room: in
 
     rows = id_text(docs, id_col, text_col)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return by_batch(rows, make, schema)
+    return by_batch(rows, make, schema, 1000)  # so many texts' ids and decoded texts are held at once
