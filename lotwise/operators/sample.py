@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rng import below, unit
 from ..functions.ship import ship
+from ..sources.shared import written
 from .shards import shard_of
 from .weights import alias_tables, intervals, shard_weights
 
@@ -73,22 +76,87 @@ def sample(df: DataFrame, k: int, seed: int = 1, shards: int = 8, tail: tuple[st
     return look_up(df.withColumn("shard", shard_of(shards)), dealt(drawn(df, k, total, seed), line), ["shard"], tail)
 
 
-def sample_arrow(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:
-    """The same draws as ``sample``, looked up by binary search in each shard's cumulated weights."""
-    line, total = offsets(df, shards)
-    if not total:
-        return df.sparkSession.createDataFrame([], "draw long, key long, value long, weight long")
-    draws = drawn(df, k, total, seed)
+#: So many draws at most are sent to every task, some 24 MB.
+SENT = 1_000_000
+
+
+def numbered(rows: DataFrame, group: str) -> DataFrame:
+    """Rows in the order of their ranges with the range, ``part``, and the weight before each in its range and group, ``lo``."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("lo", T.LongType())])
+
+    def number(batches):
+        before, current = 0, None
+        for b in batches:
+            if b.num_rows:
+                weight, piece = b.column("weight").to_numpy(), b.column(group).to_numpy()
+                new = np.append(piece[0] != current, piece[1:] != piece[:-1])
+                lo = before + np.cumsum(weight) - weight
+                at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+                lo = lo - np.where(at >= 0, lo[at], 0)
+                before, current = int(lo[-1] + weight[-1]), piece[-1]
+                part = np.full(len(lo), TaskContext.get().partitionId(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part), pa.array(lo)], [*names, "part", "lo"])
 
-    def find(records: pa.Table, asked: pa.Table) -> pa.Table:
-        records = records.sort_by([("key", "ascending"), ("value", "ascending")])
-        ends = np.cumsum(records.column("weight").to_numpy())
-        hit = pa.array(np.searchsorted(ends, asked.column("at").to_numpy(), side="right"))
-        return pa.table([asked.column("draw"), *(records.column(c).take(hit) for c in ("key", "value", "weight"))], names=["draw", "key", "value", "weight"])
+    ship(rows.sparkSession)
+    return rows.mapInArrow(number, schema)
 
-    ship(df.sparkSession)
+
+def sent(placed: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws (draw, shard, at) as arrays in the order of shard and place."""
+    told = placed.select("shard", "at", "draw").toArrow()
+    shard, at, draw = (told.column(c).to_numpy() for c in ("shard", "at", "draw"))
+    order = np.lexsort((at, shard))
+    return shard[order], at[order], draw[order]
+
+
+def fallen(rows: DataFrame, draws: Broadcast, fields: list[str]) -> DataFrame:
+    """The records of ``rows`` (place, lo, weight and ``fields``) that draws (arrays as ``sent`` gives them) fall on: draw and the fields.
+
+    Any task may have any of a place's records: each batch is met with the draws of its places by binary search, and every draw falls
+    on the one record whose stretch [lo, lo + weight) holds it.
+    """
+    schema = T.StructType([T.StructField("draw", T.LongType()), *[rows.schema[c] for c in fields]])
+
+    def find(batches):
+        shard, at, draw = draws.value
+        for b in batches:
+            place, lo, weight = (b.column(c).to_numpy() for c in ("place", "lo", "weight"))
+            for i in np.unique(place).tolist():
+                mine = np.flatnonzero(place == i)
+                mine = mine[np.argsort(lo[mine], kind="stable")]
+                first, last = np.searchsorted(shard, [i, i + 1])
+                asked = at[first:last]
+                to = np.searchsorted(lo[mine], asked, side="right") - 1
+                ok = (to >= 0) & (asked < (lo[mine] + weight[mine])[to])
+                if ok.any():
+                    records = b.take(pa.array(mine[to[ok]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(draw[first:last][ok]), *(records.column(c) for c in fields)], ["draw", *fields])
+
+    ship(rows.sparkSession)
+    return rows.where("weight > 0").select(*dict.fromkeys(["place", "lo", "weight", *fields])).mapInArrow(find, schema)
+
+
+def sample_arrow(df: DataFrame, k: int, seed: int = 1, shards: int = 8, per_range: int = 1_000_000) -> DataFrame:
+    """The same draws as ``sample``, looked up by binary search.
+
+    The records are sorted into ranges of about ``per_range`` rows, written, whatever the size of a shard; a range's part of a shard is a
+    place on the line, so the line has as many rows as ranges and shards. Up to ``SENT`` draws go to the records' tasks; more are
+    looked up as ``sample`` does, a place at a time.
+    """
     rows = df.where("weight > 0").select(shard_of(shards).alias("shard"), "key", "value", "weight")
-    return rows.groupBy("shard").cogroup(dealt(draws, line).groupBy("shard")).applyInArrow(find, "draw long, key long, value long, weight long")
+    parts = max(1, -(-rows.count() // per_range))
+    ranged = written(numbered(rows.repartitionByRange(parts, "shard", "key", "value").sortWithinPartitions("shard", "key", "value"), "shard"), "ranges")
+    places, total = [], 0
+    for r in ranged.groupBy("shard", "part").agg(F.sum("weight").alias("w")).orderBy("shard", "part").collect():
+        places.append((r.shard, r.part, total, total + r.w))
+        total += r.w
+    placed = dealt(drawn(df, k, total, seed), [(i, a, b) for i, (_, _, a, b) in enumerate(places)])
+    known = df.sparkSession.createDataFrame([(s, p, i) for i, (s, p, _, _) in enumerate(places)], "shard int, part long, place int")
+    rows = ranged.join(F.broadcast(known) if len(places) <= SMALL_LINE else known, ["shard", "part"])
+    if k > SENT:
+        return look_up(rows.drop("shard").withColumnRenamed("place", "shard"), placed, ["shard"])
+    return fallen(rows, df.sparkSession.sparkContext.broadcast(sent(placed)), ["key", "value", "weight"])
 
 
 def source_counts(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:

@@ -10,17 +10,15 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.records import OP
 from ..functions.rng import below
-from ..functions.ship import ship
 from ..operators import bloom, resolve
 from ..operators.metrics import aux_bytes, observed
-from ..operators.sample import dealt, look_up, sample
+from ..operators.sample import dealt, fallen, look_up, numbered, sample, sent
 from ..operators.shards import positions
 from ..sources.shared import drop_written, written
 from .layout import Config, File, Levels, Shard, closed_form, flushes
@@ -29,6 +27,8 @@ from .layout import Config, File, Levels, Shard, closed_form, flushes
 STORED = T.StructType([*OP.fields, T.StructField("part", T.LongType()), T.StructField("lo", T.LongType())])
 #: So many folders of the buffer are folded into one.
 FOLD = 16
+#: Scans that the files a sample needs are read in, each of another stretch of them.
+SCANS = 16
 
 
 def folder() -> Column:
@@ -252,38 +252,26 @@ class Index:
     def _fallen(self, placed: DataFrame, line: list[tuple[int, Shard, File, int, int]]) -> DataFrame:
         """The records that draws (draw, shard: the place in ``line``, at) fall on, with their level.
 
-        Reads the files in question only. The draws, ``at_once`` * ``passes`` of 24 bytes at most, go to every task; a task meets each batch of
-        a file's records with that file's draws by binary search.
+        Reads the files in question only, and little of each: the draws, ``at_once`` * ``passes`` of 24 bytes at most, are put in order of their place
+        in the file and taken in ``SCANS`` groups; a group's scan has that stretch of ``lo`` as a filter, which skips the pages
+        of a file that are elsewhere. The draws then meet the records in the records' tasks.
         """
-        none = "draw long, level int, key long, value long, weight long, seq long"
-        told = placed.where(F.col("shard") < len(line)).select("shard", "at", "draw").toArrow()
-        if not told.num_rows:
-            return self.spark.createDataFrame([], none)
-        shard, at, draw = (told.column(c).to_numpy() for c in ("shard", "at", "draw"))
+        shard, at, draw = sent(placed.where(F.col("shard") < len(line)))
+        if not len(shard):
+            return self.spark.createDataFrame([], "draw long, level int, key long, value long, weight long, seq long")
         at = at + np.array([x[3] for x in line])[shard]
-        order = np.lexsort((at, shard))
-        sent = self.spark.sparkContext.broadcast((shard[order], at[order], draw[order]))
-        hit = [(i, line[i]) for i in np.unique(shard).tolist()]
-        known = self.spark.createDataFrame([(x[1].path.rpartition("/")[2], x[2].part, i, x[0]) for i, x in hit], "folder string, part long, place int, level int")
-        rows = self._read([f"{x[1].path}/{x[2].name}" for _, x in hit], STORED).withColumn("folder", folder()).where("weight > 0").join(F.broadcast(known), ["folder", "part"])
-
-        def find(batches):
-            shard, at, draw = sent.value
-            for b in batches:
-                place, lo, weight = (b.column(c).to_numpy() for c in ("place", "lo", "weight"))
-                for i in np.unique(place).tolist():
-                    mine = np.flatnonzero(place == i)
-                    mine = mine[np.argsort(lo[mine], kind="stable")]
-                    first, last = np.searchsorted(shard, [i, i + 1])
-                    asked = at[first:last]
-                    to = np.searchsorted(lo[mine], asked, side="right") - 1
-                    ok = (to >= 0) & (asked < (lo[mine] + weight[mine])[to])
-                    if ok.any():
-                        records = b.take(pa.array(mine[to[ok]]))
-                        yield pa.RecordBatch.from_arrays([pa.array(draw[first:last][ok]), *(records.column(c) for c in ("level", "key", "value", "weight", "seq"))], ["draw", "level", "key", "value", "weight", "seq"])
-
-        ship(self.spark)
-        return rows.select("place", "lo", "level", "key", "value", "weight", "seq").mapInArrow(find, none)
+        draws = self.spark.sparkContext.broadcast((shard, at, draw))
+        known = self.spark.createDataFrame([(x[1].path.rpartition("/")[2], x[2].part, i, x[0]) for i, x in ((i, line[i]) for i in np.unique(shard).tolist())], "folder string, part long, place int, level int")
+        rows = None
+        for group in np.array_split(np.argsort(at, kind="stable"), min(SCANS, len(at))):
+            files = [line[i] for i in np.unique(shard[group]).tolist()]
+            low = int(at[group].min()) - max(x[2].most for x in files)
+            scan = self._read([f"{x[1].path}/{x[2].name}" for x in files], STORED).where((F.col("lo") > low) & (F.col("lo") <= int(at[group].max())))
+            scan = scan.withColumn("folder", folder())
+            rows = scan if rows is None else rows.unionByName(scan)
+        # a record may come in two groups' scans: each draw falls on it once
+        found = fallen(rows.join(F.broadcast(known), ["folder", "part"]), draws, ["level", "key", "value", "weight", "seq"])
+        return found.dropDuplicates(["draw"])
 
     def _sample_stored(self, k: int, seed: int, low: int | None, high: int | None, shards: int, passes: int) -> DataFrame:
         spark, pair = self.spark, ["key", "value"]
@@ -353,24 +341,8 @@ class Index:
 
     def _store(self, sorted_ops: DataFrame, path: str, sliced: str | None = None) -> None:
         """Ops that come in order, range by range, with the range and the weight before each op in it; ``sliced``: by the column slice, in folders with that prefix."""
-
-        def number(batches):
-            before, current = 0, None
-            for b in batches:
-                if b.num_rows:
-                    weight, piece = b.column("weight").to_numpy(), b.column("slice").to_numpy()
-                    new = np.append(piece[0] != current, piece[1:] != piece[:-1])
-                    hi = before + np.cumsum(weight)
-                    lo = hi - weight
-                    at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-                    lo = lo - np.where(at >= 0, lo[at], 0)
-                    before, current = int(lo[-1] + weight[-1]), piece[-1]
-                    part = np.full(len(lo), TaskContext.get().partitionId(), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in OP.names), pa.array(part), pa.array(lo), b.column("slice")], [*STORED.names, "slice"])
-
-        ship(self.spark)
         slices = F.col("slice") if sliced else F.lit(0)
-        stored = sorted_ops.select(*OP.names, slices.cast("long").alias("slice")).mapInArrow(number, T.StructType([*STORED.fields, T.StructField("slice", T.LongType())]))
+        stored = numbered(sorted_ops.select(*OP.names, slices.cast("long").alias("slice")), "slice")
         if sliced:
             stored.withColumn("slice", F.concat(F.lit(f"{sliced}-"), "slice")).write.partitionBy("slice").parquet(path)
         else:
@@ -383,9 +355,9 @@ class Index:
         if paths:
             rows = self._read(paths, STORED).withColumn("folder", folder()).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
             whole = F.count_if(F.col("key").isNull()) == 0
-            counts = rows.groupBy("folder", "file", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.count_if(F.col("op") != "I").alias("t"), F.when(whole, F.min("key")).alias("a"), F.when(whole, F.max("key")).alias("b"))
+            counts = rows.groupBy("folder", "file", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.count_if(F.col("op") != "I").alias("t"), F.when(whole, F.min("key")).alias("a"), F.when(whole, F.max("key")).alias("b"), F.max("weight").alias("m"))
             for r in counts.orderBy("part").collect():
-                files.setdefault(r.folder, []).append(File(r.file, r.part, r.n, r.w, r.t, r.a, r.b))
+                files.setdefault(r.folder, []).append(File(r.file, r.part, r.n, r.w, r.t, r.a, r.b, r.m))
         out = []
         for p in paths:
             mine = files.get(p.rpartition("/")[2], [])

@@ -379,3 +379,45 @@ def test_interleaved_deletes_meet_what_lives(spark, tmp_path, deletes):
     assert max(gone) < 750 and min(r.seq for r in stored) >= 2 * 150 - 1
     # each batch's deletes are those of its share of the pool
     assert index.metrics()["records"] == 900 - len(gone) + 2 * len(stored) and any(n.startswith("pool-2") for n, _ in index.handed)
+
+
+def rows_read(spark, action):
+    """What ``action`` gives, and how many records its stages read from files."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    stages = lambda: {(x.stageId(), x.attemptId()): x.inputRecords() for x in (lambda s: [s.apply(i) for i in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    bus.waitUntilEmpty(10_000)
+    before = stages()
+    out = action()
+    bus.waitUntilEmpty(10_000)
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_pages_that_no_draw_needs_are_skipped(spark, tmp_path):
+    """Files of many pages: the rows read for a few draws are pages, not files, and stay so as the index grows."""
+    read, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (200_000, 800_000):
+        index = Index(spark, f"file://{tmp_path}/{n}", Config(n - 1, 2, file_rows=200_000))
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        index.bulk_load(spark.range(n).selectExpr("id as seq", "id as key", "id as value", "1 + id % 5 as weight", "'I' as op"))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(index.state.levels[0][0].files) == n // 200_000
+        line = index._line(None, None)
+        placed = spark.createDataFrame([(0, 0, 17), (1, len(line) - 1, 200_000), (2, 0, 500_000)], "draw long, shard int, at long")
+        found, rows = rows_read(spark, lambda: sorted(map(tuple, index._fallen(placed, line).collect())))
+        assert [(r[0], r[4]) for r in found] == [(0, 1 + found[0][2] % 5), (1, 1 + found[1][2] % 5), (2, 1 + found[2][2] % 5)]
+        read.append(rows)
+    assert 0 < read[0] <= 120_000 and read[1] <= 120_000
+
+
+def test_filters_are_asked_in_one_go(spark, tmp_path):
+    """As many jobs for many shards' filters as for few."""
+    jobs = []
+    for n in (2, 9):
+        index = Index(spark, f"file://{tmp_path}/{n}", Config(40, 12, filters=True))
+        index.bulk_load(spark.range(41 * n).selectExpr("id as seq", "id as key", "id as value", "1L as weight", "if(id % 4 = 3, 'T', 'I') as op"))
+        assert len([s for s in index._all() if s.tombstones]) >= n - 1
+        spark.sparkContext.setJobGroup(f"asked-{n}", "filters")
+        assert index._may_delete(np.arange(0, 41 * n, 5))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"asked-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] and abs(jobs[1] - jobs[0]) <= 1
