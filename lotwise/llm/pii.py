@@ -28,6 +28,8 @@ HIDDEN = "\uffff"
 #: Matches are placed in slices, as appending to one array costs its length each time.
 SLICE = 128
 WORD = r"\p{L}{4,}+"
+#: A word that touches nothing hidden.
+OUTSIDE = rf"(?<![\p{{L}}{HIDDEN}])" + WORD + f"(?!{HIDDEN})"
 
 
 def pieces(text: Column, regex: Column) -> Column:
@@ -112,10 +114,15 @@ def hidden(text: Column) -> Column:
 def outside_words(text: Column) -> Column:
     """The distinct words, as they are written, that touch no email."""
     bare = F.when(F.instr(text, "@") > 0, F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit(HIDDEN))).otherwise(text)
-    return F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"(?<![\p{{L}}{HIDDEN}])" + WORD + f"(?!{HIDDEN})"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(OUTSIDE), F.lit(0)))
 
 
-def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: float = 0.5, remove_at: float = 0.9, least: int = 2, informed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def doc_set(doc: list[str]) -> list[Column]:
+    """Aggregates that tell sets of documents apart: their number and two hashes."""
+    return [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(*doc, F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]]
+
+
+def find_private(docs: DataFrame, bits: float = 5.0, share: float = 0.5, remove_at: float = 0.9, least: int = 2, informed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans of every whole text and the terms with them that disclose an entity.
 
     An entity is a base value (kind and lower-cased text). A term is a lower-cased word of four
@@ -128,7 +135,8 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     so a single document proves nothing, and an entity in many documents asks for fewer bits, as
     log2(N / n_e) is all that a term can tell of it; of one in all documents nothing can be told. Every occurrence
     of the term in documents with that entity becomes a span of kind "term": to be removed where
-    n_te / n_t >= remove_at, else to be generalised. ``reach`` is kept for callers and limits nothing.
+    n_te / n_t >= remove_at, else to be generalised. Entities that stand in the same documents are tested as one, and so are terms
+    that stand in the same ones of these and are as frequent, so a list of many entities and words that two documents share is one test.
 
     Returns doc_id, text_hash, base (spans by start, then kind), terms (start, rank, end,
     value: "remove" or "generalise"). Null and empty texts have no spans. Rows with equal id and
@@ -146,7 +154,6 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
     forms = kept.select("doc_id", "text_hash", F.explode("words").alias("form")).distinct().withColumn("term", F.lower("form"))
     entities = kept.select("doc_id", "text_hash", F.explode("base").alias("s")).select("doc_id", "text_hash", F.xxhash64("s.rank", F.lower("s.value")).alias("entity")).distinct()
-    n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
     # repeated rows are one document: what they count too much is taken off
     repeats = kept.groupBy("doc_id", "text_hash").agg((F.count("*") - 1).alias("more")).where("more > 0").select(*doc, "more")
@@ -157,18 +164,24 @@ def find_private(docs: DataFrame, reach: int = 48, bits: float = 5.0, share: flo
         terms = terms.unionByName(again.select(F.explode(words).alias("term"), (-F.col("more")).alias("n")))
         total = kept.select("doc_id", "text_hash").distinct().agg(F.count("*").alias("n"))
     n_t = terms.groupBy("term").agg(F.sum("n").alias("n_t")).where(F.col("n_t") >= least)
+    pair = ["doc_id", "text_hash"]
+    e_set, t_set = F.struct("n", "x1", "x2").alias("e_set"), F.struct("n_t", "x1", "x2").alias("t_set")
+    e_sets = entities.groupBy("entity").agg(*doc_set(pair)).where(F.col("n") >= least).select("entity", e_set)
+    held = entities.join(e_sets, "entity").select(*doc, "e_set").distinct()
+    with_entity = forms.select(*pair, "term").distinct()
+    # n_te is at most the documents with the term and any entity
+    t_sets = with_entity.groupBy("term").agg(*doc_set(pair)).where(F.col("n") >= least).join(n_t, "term").where(F.col("n") >= F.col("n_t") * share).select("term", t_set)
+    named = forms.join(t_sets, "term").select(*pair, "form", "t_set")
     # n_te is at most n_e, so a term in more documents than that allows can't reach the share
-    held = entities.join(n_e, "entity").select(*doc, "entity", "n_e")
-    pairs = forms.select("doc_id", "text_hash", "term").distinct().join(n_t, "term").join(held, same & (F.col("n_t") * share <= F.col("n_e")))
-    rates = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least).crossJoin(F.broadcast(total))  # one row
-    shared = F.col("n_te") / F.col("n_t")
-    most = F.log2(F.col("n") / F.col("n_e"))
-    told = rates.where((most > 0) & (F.log2(F.col("n_te") * F.col("n") / F.col("n_t") / F.col("n_e")) >= F.least(F.lit(bits), informed * most)) & (shared >= share)).select("entity", "term", F.when(shared >= remove_at, "remove").otherwise("generalise").alias("value"))
-    marked = entities.join(told, "entity").groupBy(*doc, F.col("term").alias("_t")).agg(F.max("value").alias("value"))  # "remove" is the stronger
-    marked = forms.join(marked, same & (F.col("term") == F.col("_t"))).groupBy(*doc).agg(F.map_from_entries(F.collect_list(F.struct("form", "value"))).alias("actions"))
+    pairs = named.select(*pair, "t_set").distinct().join(held, same & (F.col("t_set.n_t") * share <= F.col("e_set.n")))
+    rates = pairs.groupBy("e_set", "t_set").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least).crossJoin(F.broadcast(total))  # one row
+    shared = F.col("n_te") / F.col("t_set.n_t")
+    most = F.log2(F.col("n") / F.col("e_set.n"))
+    told = rates.where((most > 0) & (F.log2(F.col("n_te") * F.col("n") / F.col("t_set.n_t") / F.col("e_set.n")) >= F.least(F.lit(bits), informed * most)) & (shared >= share)).select("e_set", F.col("t_set").alias("_t"), F.when(shared >= remove_at, "remove").otherwise("generalise").alias("value"))
+    marked = held.join(told, "e_set").groupBy("_d", "_h", "_t").agg(F.max("value").alias("value"))  # "remove" is the stronger
+    marked = named.join(marked, same & (F.col("t_set") == F.col("_t"))).groupBy(*doc).agg(F.map_from_entries(F.collect_list(F.struct("form", "value"))).alias("actions"))
     out = kept.drop("words").join(marked, same, "left")
-    pattern = F.concat(F.lit(rf"(?<![\p{{L}}{HIDDEN}])(?:"), F.array_join(F.array_sort(F.map_keys("actions")), "|"), F.lit(rf")(?![\p{{L}}{HIDDEN}])"))
-    hits = placed(hidden(text), pattern, KINDS.index("term"))
+    hits = F.filter(placed(hidden(text), OUTSIDE, KINDS.index("term")), lambda t: F.map_contains_key("actions", t["value"]))
     terms = F.transform(hits, lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), F.element_at("actions", t["value"]).alias("value")))
     return out.select("doc_id", "text_hash", "base", F.when(F.col("actions").isNotNull(), terms).otherwise(F.array().cast(SPAN)).alias("terms"))
 

@@ -54,7 +54,7 @@ def test_terms_that_disclose(spark):
         rows.append((i, f"{f()} zorbax contact joe@corp.example now {f()}" if i < 3 else f"{f()} contact p{i}@corp.example {f()}" if i < 30 else f"{f()} contact {f()}"))
     rows += [(80, rows[0][1]), (80, rows[0][1]), (None, None), (81, "zorbax")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = find_private(docs, bits=3.0, reach=40).collect()
+    got = find_private(docs, bits=3.0).collect()
     assert len(got) == len(rows)
     n_t, n_e, n_te, near = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
     for i, t in set(rows):
@@ -75,7 +75,7 @@ def test_terms_that_disclose(spark):
         text = dict(rows)[r.doc_id]
         want = sorted({(a, KINDS.index("term"), b, "remove" if told[v, w] >= 0.9 else "generalise") for a, b, v, w in near[r.doc_id, text] if (v, w) in told})
         assert [tuple(s) for s in r.terms] == want
-    clean = {r.doc_id: r.text for r in sanitise(docs, bits=3.0, reach=40).collect()}
+    clean = {r.doc_id: r.text for r in sanitise(docs, bits=3.0).collect()}
     assert "[EMAIL]" in clean[0] and "@" not in clean[0] and "zorbax" not in clean[0] and "[TERM]" in clean[0]
     assert clean[None] is None and clean[81] == "zorbax" and clean[79] == rows[79][1]
     assert find_private(docs.limit(0)).count() == 0
@@ -118,3 +118,23 @@ def test_many_values_in_one_text_take_linear_work(spark):
     took = time.time() - began
     assert [tuple(s) for s in got[1].base] == plain(rows[0][1]) and not got[1].terms
     assert took < 40, took
+
+
+def test_many_values_and_words_that_documents_share_take_linear_work(spark):
+    """Two documents with the same 10,000 addresses and 10,000 words: all words tell of all addresses; and a third with half of each."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    names = sorted({word() for _ in range(10_000)})
+    mails = [f"u{i}@host{i % 9}.example" for i in range(10_000)]
+    rows = [(i, " ".join(f"{w} {m}" for w, m in zip(names[: 10_000 // (i + 1)], mails))) for i in range(2)] + [(2, " ".join(f"{m} {w}" for w, m in zip(names, mails)))]
+    rows += [(10 + i, f"{names[i]} alone, {word()}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r.doc_id: r for r in find_private(docs).collect()}
+    took = time.time() - began
+    assert took < 60, took
+    assert not any(got[i].terms for i in range(10, 310))
+    # the first 300 words stand in four documents, three with an entity; the others in three or two
+    for i, n in ((0, len(names)), (1, 5000), (2, len(names))):
+        values = [s.value for s in got[i].terms]
+        assert len(values) == n and values.count("generalise") == 300
