@@ -27,6 +27,12 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that stand for each word, as a long and an int: among 10^10 words, two meet with a chance of 1e-9."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.int32).reshape(-1, 4)
+    return np.ascontiguousarray(raw[:, :2]).view(np.int64).ravel(), raw[:, 2].copy()
+
+
 def positions(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol of each token and its end: the token's number, how many symbols stand before
     it (with the start), and the packed last DEPTH + 1 symbols up to it, the latest lowest."""
@@ -343,11 +349,6 @@ def learn(tokens: DataFrame, gain: float = 8.0, least_share: float = 1e-5, most:
     return SuffixTree.grow(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), gain)
 
 
-def saved(n1: int, n2: int) -> float:
-    """The discount of seen counts, from how many were seen once and twice."""
-    return min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
-
-
 def saved(n1: float, n2: float) -> float:
     """The discount of seen counts, from how many were seen once and twice."""
     return min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
@@ -469,7 +470,7 @@ def score_texts(docs: DataFrame, parts: int = 7, at: int = 2, gain: float = 8.0,
     Token counts cover all rows to learn from and stay distributed. Tokens with ``head_share`` of all occurrences, at
     most 1 / head_share, are broadcast with the matrix of at most (4 / state_share) x (4 / symbol_share)
     transitions. A first scan counts tokens, a second one transitions, a third one scores all but the rarer tokens: these
-    are written with the partial sums, joined by 64-bit hashes (a collision stops the job) and added up.
+    are written with the partial sums, joined by 96 bits of a hash and added up.
     None of them has more than head_share of all occurrences, so no key is hot, and no text is shuffled.
 
     Null and empty texts are just the end. A null id counts as '' for crc32. Repeated rows are
@@ -548,9 +549,9 @@ def score_texts(docs: DataFrame, parts: int = 7, at: int = 2, gain: float = 8.0,
             told[both] = np.logaddexp(np.log(again[both]), told[both] * math.log(10)) / math.log(10)
             starts = np.cumsum(sizes) - sizes
             total = lambda x: np.add.reduceat(x, starts)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in tail], dtype=np.uint64).view(np.int64)
+            hashes, more = digests(tail)
             n_rare = total(rare.astype(np.int64))
-            lists = pa.StructArray.from_arrays([pa.array(hashes[ids[rare] - head]), pa.array((again[rare] * 10 ** -mixed[rare]).astype(np.float32))], ["h", "r"])
+            lists = pa.StructArray.from_arrays([pa.array(hashes[ids[rare] - head]), pa.array(more[ids[rare] - head]), pa.array((again[rare] * 10 ** -mixed[rare]).astype(np.float32))], ["h", "g", "r"])
             return sizes, total(np.where(rare, False, t.known[known]).astype(np.int64)), total(np.where(rare, unseen, t.base[known])), total(told), n_rare, lists
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -564,20 +565,19 @@ def score_texts(docs: DataFrame, parts: int = 7, at: int = 2, gain: float = 8.0,
         return f
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = stored(by_batch(numbered, score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h: long, r: float>>"), "scored")
+    scored = stored(by_batch(numbered, score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h: long, g: int, r: float>>"), "scored")
 
     def rare():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             words, model = batch.column("token").to_pylist(), tree.value
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(as_long(hashes)), batch.column("c"), pa.array(model.of(batch.column("c").to_numpy(), model.spelled(words)))], ["h", "c", "u"])
+            h, g = digests(words)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column("c"), pa.array(model.of(batch.column("c").to_numpy(), model.spelled(words)))], ["h", "g", "c", "u"])
 
         return f
 
-    told = by_batch(tokens.where(~is_head), rare, "h long, c long, u double").groupBy("h").agg(F.max("c").alias("c"), F.max("u").alias("u"), F.count("*").alias("n"))
-    told = told.select("h", F.when(F.col("n") == 1, F.col("c")).otherwise(F.raise_error(F.lit("two tokens have the same 64-bit hash"))).alias("c"), "u")
-    asked = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", F.col("x.r").cast("double").alias("r"))
-    each = asked.join(told, "h").select("row", "c", F.when(F.col("r") > 0, F.log10(F.col("r") + F.pow(F.lit(10.0), F.col("u")))).otherwise(F.col("u")).alias("s"))
+    told = by_batch(tokens.where(~is_head), rare, "h long, g int, c long, u double")
+    asked = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.g", F.col("x.r").cast("double").alias("r"))
+    each = asked.join(told, ["h", "g"]).select("row", "c", F.when(F.col("r") > 0, F.log10(F.col("r") + F.pow(F.lit(10.0), F.col("u")))).otherwise(F.col("u")).alias("s"))
     more = each.repartition("row").groupBy("row").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + 1.0)).alias("b"), F.sum("s").alias("s"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     out = scored.drop("rare").join(more, "row", "left")
