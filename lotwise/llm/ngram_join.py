@@ -174,14 +174,14 @@ def trie_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None =
     return links
 
 
-def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 2_000_000, digest_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_shingles and component_id of every row.
 
     Words are runs of anything but white space, A-Z lower-cased; a text's set is its distinct
     shingles of ``size`` words, or all its words as one if they are fewer. Two rows are linked when 100 *
     intersection >= ``percent`` * union; component_id is the smallest id that links reach, the row's
-    own included. The join is exact (up to 64-bit hashes; two sets with equal first hash and
-    different second one stop the job):
+    own included. The join is exact, up to 64-bit hashes of shingles; a set goes by a hash of ``digest_bits``, and where two sets with
+    different second hashes have the same, by one of both:
 
     1. Rows with equal sets become one class, so exact copies cost a row each and nothing more.
     2. Each class gives keys of which any two linked classes share one (see ``keys``). A star joins
@@ -210,12 +210,13 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
                     k1.append(None), k2.append(None), sigs.append(None)
                     continue
                 data = s.tobytes()
-                a = xxhash.xxh64_intdigest(data, 1)
+                a = xxhash.xxh64_intdigest(data, 1) >> 64 - digest_bits
                 k1.append(a)
                 k2.append(xxhash.xxh64_intdigest(data, 2))
-                sigs.append(None if a in seen else keys(s, percent).view(np.int64))
+                new = (a, k2[-1]) not in seen
+                sigs.append(keys(s, percent).view(np.int64) if new else None)
                 if len(seen) < SEEN:
-                    seen.add(a)
+                    seen.add((a, k2[-1]))
             as_long = lambda x: pa.array([None if v is None else v - (v >> 63 << 64) for v in x], pa.int64())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), as_long(k1), as_long(k2), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "k1", "k2", "sigs"])
 
@@ -223,9 +224,17 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
     measured = stored(by_batch(rows, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k1 long, k2 long, sigs array<long>"), "measured")
     sets = stored(measured.drop("sigs"), "sets")  # what is needed to the end
-    classes = sets.where("k1 is not null").groupBy("k1").agg(F.min("doc_id").alias("first_id"), F.min("k2").alias("k2"), F.max("k2").alias("other"), F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("row"))
-    if not classes.where("k2 != other").isEmpty():
-        raise ValueError("two different shingle sets have the same 64-bit hash")
+    shared = sets.where("k1 is not null").groupBy("k1").agg(F.min("k2").alias("k2"), F.max("k2").alias("other")).where("k2 != other").select(F.col("k1").alias("twice"))
+    if not shared.isEmpty():  # some three of 10^10 sets
+        shared = stored(shared, "twice")
+
+        def apart(df: DataFrame) -> DataFrame:
+            named = df.join(shared, F.col("k1") == F.col("twice"), "left")
+            return named.withColumn("k1", F.when(F.col("twice").isNotNull(), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("twice")
+
+        known = [apart(measured), apart(sets)]
+        measured, sets = (stored(df, "sets") for df in known)
+    classes = sets.where("k1 is not null").groupBy("k1").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("row"))
 
     keyed = measured.where("sigs is not null").select("k1", F.explode("sigs").alias("sig"))
     firsts = keyed.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b")

@@ -91,3 +91,10 @@ def test_components(spark):
         for b, _ in pairs:
             if a < 150 and b < 150:
                 assert (got[nodes[a]] == got[nodes[b]]) == (want[a] == want[b])
+
+
+def test_sets_with_equal_hashes_are_told_apart(spark):
+    """A hash of four bits, so that most sets share theirs with others."""
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    rows = lambda **more: sorted(map(tuple, jaccard_classes(docs, **more).collect()))
+    assert rows(digest_bits=4) == rows()
