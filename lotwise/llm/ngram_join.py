@@ -1,318 +1,110 @@
-"""Near-duplicate classes by an exact n-gram Jaccard join over prefix trees."""
+"""Near-duplicate classes by an exact n-gram Jaccard join over prefix trees in one global order of shingles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, drop_stored, new_name, plain_words, raw_texts, stored
-from .components import components
-
-C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-RATIO = 1.5
-SEEN = 200_000
+from .common import by_task, new_name, raw_texts
+from .key_join import Shingler, key_classes, mix, most_apart, trie_links
 
+__all__ = ["Order", "Shingler", "jaccard_classes", "keep_one", "mix", "most_apart", "prefix", "trie_links"]
 
-def mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * C2
-        h = (h ^ (h >> np.uint64(27))) * C3
-    return h ^ (h >> np.uint64(31))
+#: A table of counts is dealt to the tasks that add it up in so many parts.
+PARTS = 64
 
 
-class Shingler:
-    """Sets of 64-bit shingle hashes."""
+class Order:
+    """The corpus's order of shingles: by how often their bucket of the count table occurs, in eighths of a doubling, then by hash."""
 
-    def __init__(self, size: int):
-        self.size = size
-        self.hashes = WordHashes()
+    def __init__(self, often: np.ndarray):
+        self.often, self.shift = often, np.uint64(64 - (len(often).bit_length() - 1))
 
-    def set(self, raw: bytes | None) -> np.ndarray:
-        """The sorted distinct shingles; fewer words than a shingle has make one of all."""
-        w = self.hashes.of(plain_words(raw or b""))
-        if not len(w):
-            return w
-        s = min(self.size, len(w))
-        h = np.full(len(w) - s + 1, s, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(s):
-                h = mix(h * C1 + w[j : len(w) - s + 1 + j])
-        return np.unique(h)
+    def frequency(self, shingles: np.ndarray) -> np.ndarray:
+        return self.often[(mix(shingles) >> self.shift).astype(np.int64)]
 
 
-def most_apart(n: int, percent: int) -> int:
-    """How many shingles two linked sets can differ by, if one has ``n``: union - intersection <= n (100 - p) / p."""
-    return n * (100 - percent) // percent
+def prefix(shingles: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n - ceil(n * percent / 100) + 1 of a set's n shingles. Linked sets have all but that many less one in
+    common, so in any one order of all shingles they share one of these."""
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, frequency))[: n - -(-n * percent // 100) + 1]]
 
 
-def schemes(n: int, percent: int) -> list[tuple[int, int]]:
-    """(number, segments) of the segmentations a set of ``n`` takes part in.
+def shingle_order(docs: DataFrame, size: int, bits: int, text_col: str) -> np.ndarray:
+    """How often shingles of each of 2^``bits`` hash buckets stand in a text, over all whole texts: 8 log2(n + 1), a byte each.
 
-    Scheme c is for sets of up to 10 * RATIO^c. A set uses the one for its size and that of the
-    largest set it can be linked with, so that any two linked sets share one.
+    A task keeps one table of counts and sends it packed in ``PARTS`` pieces, which are added up by piece. Any table gives right
+    results; the better it tells rare shingles from frequent ones, the fewer candidates there are.
     """
-    def number(size: int) -> int:
-        c = 0
-        while int(10 * RATIO**c) < size:
-            c += 1
-        return c
 
-    return [(c, -(-13 * (most_apart(int(10 * RATIO**c), percent) + 1) // 10)) for c in range(number(n), number(n * 100 // percent) + 1)]
+    def make():
+        shingler, counts = Shingler(size), np.zeros(1 << bits, dtype=np.uint32)
+
+        def add(batch: pa.RecordBatch):
+            for raw in raw_texts(batch.column("text")):
+                np.add.at(counts, (mix(shingler.set(raw)) >> np.uint64(64 - bits)).astype(np.int64), 1)
+            return iter(())
 
+        def finish():
+            if counts.any():
+                pieces = np.array_split(counts, PARTS)
+                packed = [pa.compress(np.minimum(x, 65535).astype(np.uint16).tobytes() if x.max() < 65536 else b"", codec="zstd", asbytes=True) for x in pieces]
+                wide = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) if x.max() >= 65536 else None for x in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())], ["piece", "packed", "wide"])
 
-def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which any two linked sets share one.
+        return add, finish
 
-    Hash ranges cut each set into segments. Two linked sets differ in at most d shingles, which spoil at most d
-    segments; each set gives the keys of its d + 1 fullest segments and of all that are as full,
-    so one unspoiled segment is given by both. The fullest are taken as a rare segment of
-    several shingles is seldom shared by chance.
-    """
-    n = len(shingles)
-    apart = most_apart(n, percent)
-    if not apart:  # only equal sets can be linked
-        return np.empty(0, dtype=np.uint64)
-    out = []
-    with np.errstate(over="ignore"):
-        spread, content = mix(shingles ^ C3), mix(shingles * C1)
-        for c, k in schemes(n, percent):
-            part = (spread % np.uint64(k)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            full = np.bincount(part, minlength=k)
-            sums = np.zeros(k, dtype=np.uint64)
-            some = np.flatnonzero(full)
-            sums[some] = np.add.reduceat(content[order], np.concatenate(([0], np.cumsum(full[some])[:-1])))
-            least = np.sort(full)[::-1][apart]
-            take = np.flatnonzero(full >= least)
-            out.append(mix(sums[take] + mix(take.astype(np.uint64) * C2 + np.uint64(c * 1_000_003 + 1))))
-    return np.concatenate(out)
-
-
-def trie_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all sets which are connected by links at all, as pairs of positions; sets with equal ``known`` are so already.
-
-    The sets are put in one order of shingles, the most shared ones first, and stored in a
-    prefix tree, which is walked depth first. Each node keeps the overlaps of its path with all
-    sets at once, so that sets with a common prefix share that work. A subtree goes unvisited
-    when for every set that isn't connected to it yet, the path has too many foreign shingles or the
-    remaining lengths leave too small an overlap.
-    """
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    values, inverse, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), dtype=np.int64)
-    rank[np.lexsort((values, -shared))] = np.arange(len(values))
-    owner = np.repeat(np.arange(m), sizes)
-    ranks = rank[inverse]
-    by_rank = np.lexsort((owner, ranks))
-    holders = owner[by_rank]  # of each shingle in turn
-    starts = np.concatenate(([0], np.cumsum(np.bincount(ranks, minlength=len(values)))))
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    paths = [np.sort(ranks[bounds[i] : bounds[i + 1]]) for i in range(m)]
-    order = sorted(range(m), key=lambda i: paths[i].astype(">u4").tobytes())
-    common = []  # with the next path
-    for i, j in zip(order, order[1:]):
-        k = min(len(paths[i]), len(paths[j]))
-        differ = np.flatnonzero(paths[i][:k] != paths[j][:k])
-        common.append(int(differ[0]) if len(differ) else k)
-    common.append(0)
-    allowed = np.array([most_apart(int(n), percent) for n in sizes])
-    least = -(-percent * sizes // 100)  # of a linked set's size
-    group = np.arange(m) if known is None else np.unique(known, return_inverse=True)[1]
-    links: list[tuple[int, int]] = []
-
-    def overlaps(before: np.ndarray, path: np.ndarray, a: int, b: int) -> np.ndarray:
-        if a == b:
-            return before
-        spans = [holders[starts[r] : starts[r + 1]] for r in path[a:b].tolist()]
-        return before + np.bincount(np.concatenate(spans), minlength=m)
-
-    def alive(depth: int, found: np.ndarray, shortest: int, longest: int) -> np.ndarray:
-        rest = np.minimum(sizes - found, longest - depth)
-        return (depth - found <= allowed) & (longest >= least) & (100 * (found + rest) >= percent * (np.maximum(sizes, shortest)))
-
-    stack = [(0, np.zeros(m, dtype=np.int64))]
-    at = 0
-    while at < m:
-        i = order[at]
-        path = paths[i]
-        depth, found = stack[-1]
-        branch = common[at]
-        if branch > depth:  # the node that this path shares with the next ones
-            end = at
-            while end < m - 1 and common[end] >= branch:
-                end += 1
-            below = np.array(order[at : end + 1])
-            found = overlaps(found, path, depth, branch)
-            lengths = sizes[below]
-            may = alive(branch, found, int(lengths.min()), int(lengths.max()))
-            one = group[below[0]] if (group[below] == group[below[0]]).all() else -1
-            if not may.any() or one >= 0 and (group[may] == one).all():
-                back = common[end]
-                while stack[-1][0] > back:
-                    stack.pop()
-                at = end + 1
-                continue
-            stack.append((branch, found))
-            depth = branch
-        may = alive(depth, found, len(path), len(path)) & (group != group[i])
-        if may.any():
-            full = overlaps(found, path, depth, len(path))
-            hit = np.flatnonzero(may & (100 * full >= percent * (sizes + len(path) - full)))
-            for j in hit.tolist():
-                if group[i] != group[j]:
-                    links.append((i, j))
-                    group[group == group[j]] = group[i]
-            if (group == group[0]).all():
-                break
-        while stack[-1][0] > branch:
-            stack.pop()
-        at += 1
-    return links
-
-
-def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 2_000_000, digest_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    length = [len(x) for x in np.array_split(np.empty(1 << bits, dtype=np.uint8), PARTS)]
+
+    def total(group: pa.Table) -> pa.Table:
+        piece = group.column("piece")[0].as_py()
+        n = length[piece]
+        out = np.zeros(n, dtype=np.int64)
+        for packed, wide in zip(group.column("packed").to_pylist(), group.column("wide").to_pylist()):
+            out += np.frombuffer(pa.decompress(packed if wide is None else wide, decompressed_size=n * (2 if wide is None else 4), codec="zstd", asbytes=True), dtype=np.uint16 if wide is None else np.uint32)
+        often = np.minimum(8 * np.log2(out + 1.0), 255).astype(np.uint8)
+        return pa.table({"piece": pa.array([piece], pa.int32()), "often": pa.array([often.tobytes()], pa.binary())})
+
+    packed = by_task(docs.select(F.col(text_col).alias("text")), make, "piece int, packed binary, wide binary")
+    found = packed.groupBy("piece").applyInArrow(total, "piece int, often binary").toArrow().to_pylist()  # PARTS rows
+    pieces = {r["piece"]: np.frombuffer(r["often"], dtype=np.uint8) for r in found}
+    return np.concatenate([pieces.get(i, np.zeros(n, dtype=np.uint8)) for i, n in enumerate(length)])
+
+
+def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 2_000_000, bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_shingles and component_id of every row.
 
     Words are runs of anything but white space, A-Z lower-cased; a text's set is its distinct
     shingles of ``size`` words, or all its words as one if they are fewer. Two rows are linked when 100 *
     intersection >= ``percent`` * union; component_id is the smallest id that links reach, the row's
-    own included. The join is exact, up to 64-bit hashes of shingles; a set goes by a hash of ``digest_bits``, and where two sets with
-    different second hashes have the same, by one of both:
-
-    1. Rows with equal sets become one class, so exact copies cost a row each and nothing more.
-    2. Each class gives keys of which any two linked classes share one (see ``keys``). A star joins
-       each key's classes to the smallest; the components of these candidates are families.
-    3. Each family's sets meet in a prefix tree (``trie_links``), small families many to a task. In one with more than
-       ``block`` shingles, the smallest and the largest set of each key are first compared with the key's others, a row each. Only if these links
-       don't connect the family, it is dealt into blocks, and every pair of blocks that isn't connected yet is a task of bounded size.
+    own included. The join is exact, up to 64-bit hashes of shingles and 128-bit ones of sets:
+
+    1. A first pass counts the shingles of all texts in 2^``bits`` hash buckets (64 MB in every task). That gives one global order of shingles.
+    2. Each set gives its prefix in that order, rarest first, of which any two linked sets share a shingle (``prefix``).
+    3. The sets of a prefix shingle meet in prefix trees in the same order (``key_classes``, ``trie_links``), which share the overlaps of common
+       paths and leave out subtrees by the remaining lengths.
     4. The components of the links are the result.
 
     Null and empty texts have no shingles, are linked with nothing, and are their own component.
     Rows with a null id take part and get their component's id, null if it has none. Repeated ids
     are rows of their own. Other columns are ignored; an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, size, bits, text_col))  # 16 MB
 
-    def measure():
-        shingler, seen = Shingler(size), set()
+    def frequency() -> Callable[[np.ndarray], np.ndarray]:
+        return Order(shared.value).frequency
 
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, k1, k2, sigs = [], [], [], []
-            for raw in raw_texts(batch.column("text")):
-                s = shingler.set(raw)
-                n.append(len(s))
-                if not len(s):
-                    k1.append(None), k2.append(None), sigs.append(None)
-                    continue
-                data = s.tobytes()
-                a = xxhash.xxh64_intdigest(data, 1) >> 64 - digest_bits
-                k1.append(a)
-                k2.append(xxhash.xxh64_intdigest(data, 2))
-                new = (a, k2[-1]) not in seen
-                sigs.append(keys(s, percent).view(np.int64) if new else None)
-                if len(seen) < SEEN:
-                    seen.add((a, k2[-1]))
-            as_long = lambda x: pa.array([None if v is None else v - (v >> 63 << 64) for v in x], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), as_long(k1), as_long(k2), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "k1", "k2", "sigs"])
-
-        return f
-
-    measured = stored(by_batch(rows, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k1 long, k2 long, sigs array<long>"), "measured")
-    sets = stored(measured.drop("sigs"), "sets")  # what is needed to the end
-    shared = sets.where("k1 is not null").groupBy("k1").agg(F.min("k2").alias("k2"), F.max("k2").alias("other")).where("k2 != other").select(F.col("k1").alias("twice"))
-    if not shared.isEmpty():  # some three of 10^10 sets
-        shared = stored(shared, "twice")
-
-        def apart(df: DataFrame) -> DataFrame:
-            named = df.join(shared, F.col("k1") == F.col("twice"), "left")
-            return named.withColumn("k1", F.when(F.col("twice").isNotNull(), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("twice")
-
-        known = [apart(measured), apart(sets)]
-        measured, sets = (stored(df, "sets") for df in known)
-    classes = sets.where("k1 is not null").groupBy("k1").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("row"))
-
-    keyed = measured.where("sigs is not null").select("k1", F.explode("sigs").alias("sig"))
-    firsts = keyed.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b")
-    stars = keyed.join(firsts, "sig")
-    families = components(stars.where("k1 != a").select(F.col("k1").alias("u"), F.col("a").alias("v")))
-    width = sets.select("k1", "n").where("k1 is not null").groupBy("k1").agg(F.max("n").alias("n"))
-    weights = stored(families.join(width, families["node"] == width["k1"]).groupBy(F.col("label").alias("family")).agg(F.sum("n").alias("n")), "families")
-
-    members = families.join(classes, families["node"] == classes["k1"]).select("k1", F.col("label").alias("family"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("k1", "family", "text")
-
-    def gather():
-        shingler = Shingler(size)
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("family"), pa.array([shingler.set(raw).tobytes() for raw in raw_texts(batch.column("text"))], pa.binary())], ["k1", "family", "s"])
-
-        return f
-
-    dealt = by_batch(texts, gather, "k1 long, family long, s binary").join(weights, "family")
-    large = weights.where(F.col("n") > block).select("family")
-    early = None
-    if large.isEmpty():
-        drop_stored(measured)  # much of the disk that this takes
-        dealt = dealt.withColumn("known", F.col("k1"))
-    else:
-        mine = families.join(large, families["label"] == large["family"], "left_semi").select(F.col("node").alias("k1"))
-        ends = stars.join(mine, "k1", "left_semi").select(F.col("k1").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u != v").distinct()
-        own = stored(dealt.join(large, "family", "left_semi").select("k1", "s").dropDuplicates(["k1"]), "large")
-
-        def compare():
-            def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-                hit = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    hit.append(100 * both >= percent * (len(x) + len(y) - both))
-                return batch.select(["u", "v"]).filter(pa.array(hit))
-
-            return f
-
-        sides = ends.join(own.select(F.col("k1").alias("u"), F.col("s").alias("x")), "u").join(own.select(F.col("k1").alias("v"), F.col("s").alias("y")), "v")
-        early = stored(by_batch(sides.select("u", "v", "x", "y"), compare, "u long, v long"), "links")
-        drop_stored(measured)
-        drop_stored(own)
-        met = components(early)
-        dealt = dealt.join(met, F.col("k1") == F.col("node"), "left").withColumn("known", F.coalesce("label", "k1")).drop("node", "label")
-        open_ = dealt.where(F.col("n") > block).select("family", "known").distinct().groupBy("family").agg(F.count("*").alias("parts")).where("parts = 1").select("family")
-        dealt = dealt.join(open_, "family", "left_anti")  # connected already
-    total = weights.agg(F.sum("n").alias("n")).first().n or 0
-    tasks = max(1, -(-total // block))
-    blocks = F.ceil(F.col("n") / block)
-    own_block = F.pmod(F.xxhash64("k1"), blocks)
-    places = F.when(blocks <= 1, F.array(F.struct(F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("g"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own_block), lambda j: F.struct(F.col("family").alias("g"), F.least(own_block, j).alias("i"), F.greatest(own_block, j).alias("j")))
-    )
-    placed = dealt.select("k1", "family", "s", "known", F.explode(places).alias("p")).select("k1", "family", "s", "known", "p.*")
-
-    def link(table: pa.Table) -> pa.Table:
-        u, v = [], []
-        k1, family, known, data = (table.column(c).to_numpy(zero_copy_only=False) if c != "s" else table.column(c).to_pylist() for c in ("k1", "family", "known", "s"))
-        order = np.lexsort((k1, family))
-        for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-            part = part[np.concatenate(([True], np.diff(k1[part]) != 0))]  # repeated rows
-            if len(part) > 1 and (known[part] != known[part[0]]).any():
-                for a, b in trie_links([np.frombuffer(data[i], dtype=np.uint64) for i in part], percent, known[part]):
-                    u.append(k1[part[a]])
-                    v.append(k1[part[b]])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    links = placed.groupBy("g", "i", "j").applyInArrow(link, "u long, v long")
-    linked = components(links if early is None else links.unionByName(early))
-    drop_stored(weights)
-    named = classes.join(linked, classes["k1"] == linked["node"], "left").select("k1", "first_id", F.coalesce("label", "k1").alias("c"))
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(least, "c").select("k1", "component_id")
-    out = sets.select("doc_id", "n", "k1").join(of_class, "k1", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    def make_keys() -> Callable[[np.ndarray], np.ndarray]:
+        often = frequency()
+        return lambda s: prefix(s, often(s), percent)
+
+    return key_classes(docs, make_keys, size, percent, block, id_col, text_col, frequency).drop("kept")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, by_task, drop_stored, new_name, raw_texts, stored
-from .components import components
-from .ngram_join import C1, Shingler, mix, trie_links
+from .common import new_name
+from .key_join import C1, key_classes, mix
 
 #: Elements that are permuted at once.
 CHUNK = 2048
-#: Rows that are compared with one copy of their centre.
-FAN = 500
-SEEN = 100_000
 
 
 def signature(shingles: np.ndarray, m: int) -> np.ndarray:
@@ -55,44 +47,6 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted distinct sets have 100 * intersection >= ``percent`` * union."""
-    small, large = sorted((len(x), len(y)))
-    if 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are linked.
-
-    Each u is the centre of a star. A task reads the centre's text, then one after the other those that are compared with
-    it, so it holds two sets; stars of more than ``FAN`` rows are dealt to several tasks.
-    """
-    fans = pairs.groupBy("u").agg(F.ceil(F.count("*") / FAN).alias("fans"))
-    dealt = pairs.join(fans, "u").select("u", "v", F.pmod(F.xxhash64("v"), "fans").alias("fan"))
-    sides = dealt.join(texts.withColumnRenamed("k", "v"), "v").select("u", "fan", "v", "text")
-    centres = dealt.select("u", "fan").distinct().join(texts.withColumnRenamed("k", "u"), "u").select("u", "fan", F.lit(None).cast(dealt.schema["v"].dataType).alias("v"), "text")
-    rows = centres.unionByName(sides).repartition("u", "fan").sortWithinPartitions("u", "fan", F.asc_nulls_first("v"))
-
-    def make():
-        shingler, held = Shingler(size), [None]
-
-        def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            u, v, hit = batch.column("u"), batch.column("v"), []
-            for alone, raw in zip(v.is_null().to_pylist(), raw_texts(batch.column("text"))):
-                s = shingler.set(raw)
-                if alone:
-                    held[0] = s
-                hit.append(not alone and linked(held[0], s, percent))
-            yield batch.select(["u", "v"]).filter(pa.array(hit))
-
-        return add, lambda: iter(())
-
-    return by_task(rows.select("u", "v", "text"), make, "u binary, v binary")
-
-
 def minhash_classes(docs: DataFrame, size: int = 2, percent: int = 80, n_bands: int = 40, rows: int = 6, block: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_shingles, component_id and kept of every row.
 
@@ -114,82 +68,11 @@ def minhash_classes(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
     take part and get their component's id, null if it has none; they are kept only then. Repeated ids are rows of their own.
     Other columns are ignored; an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType
-    table = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-
-    def measure():
-        shingler, seen = Shingler(size), set()
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, k, sigs = [], [], []
-            for raw in raw_texts(batch.column("text")):
-                s = shingler.set(raw)
-                n.append(len(s))
-                digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                k.append(digest)
-                new = digest is not None and digest not in seen
-                sigs.append(bands(signature(s, n_bands * rows), rows).view(np.int64) if new else None)
-                if new and len(seen) < SEEN:
-                    seen.add(digest)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "k", "sigs"])
-
-        return f
-
-    measured = stored(by_batch(table, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k binary, sigs array<long>"), "measured")
-    sets = stored(measured.drop("sigs"), "sets")  # what is needed to the end
-    classes = sets.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("row"))
-
-    keyed = measured.where("sigs is not null").select("k", F.explode("sigs").alias("sig"))
-    centres = keyed.groupBy("sig").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("sig", "a")
-    stars = stored(keyed.join(centres, "sig").distinct(), "stars")
-    drop_stored(measured)
-    mine = stars.select("k").distinct().join(classes, "k").select("k", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    texts = table.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("k", "text")
-    texts = stored(texts.dropDuplicates(["k"]), "texts")
-
-    apart = stars.where("k != a")
-    first = stored(verified(apart.groupBy(F.col("k").alias("v")).agg(F.min("a").alias("u")), texts, size, percent), "links")
-    known = components(first)
-
-    def named(df: DataFrame, node: str, name: str) -> DataFrame:
-        return df.join(known.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-
-    least = apart.groupBy("k").agg(F.min("a").alias("done"))
-    others = apart.select("k", "a").distinct().join(least, "k").where("a != done").select("k", "a")
-    open_ = named(named(others, "k", "x"), "a", "y").where("x != y").select(F.col("a").alias("u"), F.col("k").alias("v"))
-    links = stored(first.unionByName(verified(open_, texts, size, percent)), "links")
-    drop_stored(first)
-    known = components(links)
-
-    members = named(apart, "k", "label")
-    width = classes.select("k", "n")
-    rest = members.groupBy("sig").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("same"), F.count("*").alias("m")).where("p != q")
-    rest = rest.groupBy("same", "m", "p", "q").agg(F.min("sig").alias("sig")).select("sig")
-    left = stored(members.join(rest, "sig").join(width, "k").select("sig", "k", "label", "n"), "left")
-    total = left.groupBy("sig").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / block)
-    own = F.pmod(F.xxhash64("k"), blocks)
-    no = F.lit(-1).cast("long")
-    places = F.when(blocks <= 1, F.array(F.struct(no.alias("i"), no.alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    )
-    placed = left.join(total, "sig").select("sig", "k", "label", F.explode(places).alias("p")).select("sig", "k", "label", "p.*").join(texts, "k")
-
-    def meet(group: pa.Table) -> pa.Table:
-        shingler = Shingler(size)
-        k, label = group.column("k").to_pylist(), np.unique(np.array(group.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        found = trie_links([shingler.set(raw) for raw in raw_texts(group.column("text").combine_chunks())], percent, label) if len(np.unique(label)) > 1 else []
-        return pa.table({"u": pa.array([k[a] for a, _ in found], pa.binary()), "v": pa.array([k[b] for _, b in found], pa.binary())})
-
-    late = placed.select("sig", "i", "j", "k", "label", "text").groupBy("sig", "i", "j").applyInArrow(meet, "u binary, v binary")
-    grouped = components(links.unionByName(late))
-    for old in (stars, texts, left, links):
-        drop_stored(old)
-    of_class = classes.join(grouped, classes["k"] == grouped["node"], "left").select("k", "first_id", F.coalesce("label", "k").alias("c"))
-    ids = of_class.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    out = sets.select("doc_id", "n", "k").join(of_class.join(ids, "c").select("k", "component_id"), "k", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+    def make_keys():
+        return lambda s: bands(signature(s, n_bands * rows), rows)
+
+    return key_classes(docs, make_keys, size, percent, block, id_col, text_col)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **more) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lotwise.llm.components import components
-from lotwise.llm.ngram_join import jaccard_classes, keep_one, keys, trie_links
+from lotwise.llm.ngram_join import Shingler, jaccard_classes, keep_one, mix, prefix, shingle_order, trie_links
 
 
 def shingles(text, size):
@@ -29,7 +29,7 @@ def closure(n, pairs):
 
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([60, 80, 90]))
-def test_trie_and_keys_lose_no_link(seed, percent):
+def test_trie_and_prefixes_lose_no_link(seed, percent):
     rng = random.Random(seed)
     base = rng.sample(range(10**6), rng.randrange(1, 120))
     sets = []
@@ -42,9 +42,10 @@ def test_trie_and_keys_lose_no_link(seed, percent):
         s = s or {1}
         sets.append(np.array(sorted(hash((x, 7)) & (2**64 - 1) for x in s), dtype=np.uint64))
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if linked(set(sets[i].tolist()), set(sets[j].tolist()), percent)]
-    assert closure(len(sets), trie_links(sets, percent)) == closure(len(sets), pairs)
+    for order in (None, lambda x: x % np.uint64(5)):
+        assert closure(len(sets), trie_links(sets, percent, None, order)) == closure(len(sets), pairs)
     for i, j in pairs:
-        assert np.array_equal(sets[i], sets[j]) or set(keys(sets[i], percent).tolist()) & set(keys(sets[j], percent).tolist())
+        assert set(prefix(sets[i], sets[i] % np.uint64(7), percent).tolist()) & set(prefix(sets[j], sets[j] % np.uint64(7), percent).tolist())
 
 
 def texts():
@@ -93,8 +94,17 @@ def test_components(spark):
                 assert (got[nodes[a]] == got[nodes[b]]) == (want[a] == want[b])
 
 
-def test_sets_with_equal_hashes_are_told_apart(spark):
-    """A hash of four bits, so that most sets share theirs with others."""
+def test_any_order_gives_the_same_classes(spark):
+    """Counts in 64 buckets, by which hardly any shingle is rarer than others, and small blocks."""
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     rows = lambda **more: sorted(map(tuple, jaccard_classes(docs, **more).collect()))
-    assert rows(digest_bits=4) == rows()
+    assert rows(bits=6, block=500) == rows()
+
+
+def test_buckets_are_counted_over_all_texts(spark):
+    every = texts() + ["one same text here"] * 70_000
+    often, shingler = shingle_order(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"), 3, 10, "text"), Shingler(3)
+    want = np.zeros(1024, dtype=np.int64)
+    for t in every:
+        np.add.at(want, (mix(shingler.set((t or "").encode())) >> np.uint64(54)).astype(np.int64), 1)
+    assert (often == np.minimum(8 * np.log2(want + 1.0), 255).astype(np.uint8)).all() and want.max() >= 70_000
