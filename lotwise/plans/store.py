@@ -29,6 +29,8 @@ STORED = T.StructType([*OP.fields, T.StructField("part", T.LongType()), T.Struct
 FOLD = 16
 #: Scans that the files a sample needs are read in, each of another stretch of them.
 SCANS = 16
+#: Rows to a page of a file, about.
+PAGE = 20_000
 
 
 def folder() -> Column:
@@ -262,8 +264,8 @@ class Index:
         at = at + np.array([x[3] for x in line])[shard]
         draws = self.spark.sparkContext.broadcast((shard, at, draw))
         known = self.spark.createDataFrame([(x[1].path.rpartition("/")[2], x[2].part, i, x[0]) for i, x in ((i, line[i]) for i in np.unique(shard).tolist())], "folder string, part long, place int, level int")
-        rows = None
-        for group in np.array_split(np.argsort(at, kind="stable"), min(SCANS, len(at))):
+        rows, pages = None, max(line[i][2].rows for i in np.unique(shard).tolist()) // PAGE + 1
+        for group in np.array_split(np.argsort(at, kind="stable"), min(SCANS, pages, len(at))):
             files = [line[i] for i in np.unique(shard[group]).tolist()]
             low = int(at[group].min()) - max(x[2].most for x in files)
             scan = self._read([f"{x[1].path}/{x[2].name}" for x in files], STORED).where((F.col("lo") > low) & (F.col("lo") <= int(at[group].max())))
