@@ -174,37 +174,24 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return by_task(rows.select("u", "v", "text"), make, "u binary, v binary")
 
 
-def meeting(size: int, percent: int, frequency: Callable[[], Callable[[np.ndarray], np.ndarray]] | None) -> Callable[[pa.Table], pa.Table]:
+def meeting(size: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     """What makes the links of a group (k, label, text) by a prefix tree of its sets; sets with equal labels are connected already."""
 
     def meet(group: pa.Table) -> pa.Table:
         shingler = Shingler(size)
         k, label = group.column("k").to_pylist(), np.unique(np.array(group.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        order = frequency() if frequency else None
-        found = trie_links([shingler.set(raw) for raw in raw_texts(group.column("text").combine_chunks())], percent, label, order) if len(np.unique(label)) > 1 else []
+        found = trie_links([shingler.set(raw) for raw in raw_texts(group.column("text").combine_chunks())], percent, label) if len(np.unique(label)) > 1 else []
         return pa.table({"u": pa.array([k[a] for a, _ in found], pa.binary()), "v": pa.array([k[b] for _, b in found], pa.binary())})
 
     return meet
 
 
-def stars_met(pairs: DataFrame, texts: DataFrame, width: DataFrame, size: int, percent: int, block: int, frequency: Callable) -> DataFrame:
-    """Links among each centre u and the v that are paired with it, by a prefix tree of them all; stars of more than ``block`` shingles are dealt to several trees with
-    the centre in each."""
-    sized = pairs.join(width.select(F.col("k").alias("v"), "n"), "v")
-    fans = sized.groupBy("u").agg(F.ceil(F.sum("n") / block).alias("fans"))
-    dealt = sized.join(fans, "u").select("u", "v", F.pmod(F.xxhash64("v"), "fans").alias("fan"))
-    members = dealt.select("u", "fan", F.col("v").alias("k")).unionByName(dealt.select("u", "fan", F.col("u").alias("k")).distinct())
-    rows = members.join(texts, "k").select("u", "fan", "k", F.col("k").alias("label"), "text")
-    return rows.groupBy("u", "fan").applyInArrow(meeting(size, percent, frequency), "u binary, v binary")
-
-
-def key_classes(docs: DataFrame, make_keys: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, percent: int, block: int, id_col: str, text_col: str, frequency: Callable | None = None) -> DataFrame:
+def key_classes(docs: DataFrame, make_keys: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
     """The id, n_shingles, component_id and kept of every row, by keys that each set (sorted shingle hashes) gives.
 
     Sets are linked when 100 * intersection >= ``percent`` * union. Rows with equal sets (128-bit digests) are one class. Classes with
     a key in common form a star around the key's smallest. Each class meets the smallest of its centres first,
-    then those centres that it isn't connected to yet: pair by pair, or, with ``frequency``, in a prefix tree of the star in the corpus's order
-    of shingles. Where other members of a key are still apart, all of them meet in a prefix tree that knows what is connected; keys
+    then those centres that it isn't connected to yet. Where other members of a key are still apart, all of them meet in a prefix tree that knows what is connected; keys
     with the same members count once, and more than ``block`` shingles are dealt into blocks, each pair of which is a task of bounded size. So no pair with a common key
     goes unconfirmed but those that are connected already.
     """
@@ -243,11 +230,7 @@ def key_classes(docs: DataFrame, make_keys: Callable[[], Callable[[np.ndarray],
 
     apart = stars.where("k != a")
     width = classes.select("k", "n")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, texts, size, percent) if frequency is None else stars_met(pairs, texts, width, size, percent, block, frequency)
-
-    first = stored(compared(apart.groupBy(F.col("k").alias("v")).agg(F.min("a").alias("u"))), "links")
+    first = stored(verified(apart.groupBy(F.col("k").alias("v")).agg(F.min("a").alias("u")), texts, size, percent), "links")
     known = components(first)
 
     def named(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -256,7 +239,7 @@ def key_classes(docs: DataFrame, make_keys: Callable[[], Callable[[np.ndarray],
     least = apart.groupBy("k").agg(F.min("a").alias("done"))
     others = apart.select("k", "a").distinct().join(least, "k").where("a != done").select("k", "a")
     open_ = named(named(others, "k", "x"), "a", "y").where("x != y").select(F.col("a").alias("u"), F.col("k").alias("v"))
-    links = stored(first.unionByName(compared(open_)), "links")
+    links = stored(first.unionByName(verified(open_, texts, size, percent)), "links")
     drop_stored(first)
     known = components(links)
 
@@ -273,7 +256,7 @@ def key_classes(docs: DataFrame, make_keys: Callable[[], Callable[[np.ndarray],
     )
     placed = left.join(total, "sig").select("sig", "k", "label", F.explode(places).alias("p")).select("sig", "k", "label", "p.*").join(texts, "k")
 
-    late = placed.select("sig", "i", "j", "k", "label", "text").groupBy("sig", "i", "j").applyInArrow(meeting(size, percent, frequency), "u binary, v binary")
+    late = placed.select("sig", "i", "j", "k", "label", "text").groupBy("sig", "i", "j").applyInArrow(meeting(size, percent), "u binary, v binary")
     grouped = components(links.unionByName(late))
     for old in (stars, texts, left, links):
         drop_stored(old)
