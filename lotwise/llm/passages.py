@@ -294,7 +294,8 @@ def repeated_passages(docs: DataFrame, k: int = 6, window: int = 16, gap: float
     other occurrence is matched with it, never with each other, so a passage in a third of all documents costs a row for each
     of them. The matches of two documents are chained (see ``chains``) and the chains aligned
     on the words of both texts; what has ``identity`` matched words for each word of the longer side
-    is a passage.
+    is a passage. It ends ``margin`` words past the chain's outer seeds at most: of a long passage with changes whose other seeds stand
+    first elsewhere, a part is told (exact words are not concerned, see below).
 
     The seeds of a passage may each stand first in other documents. So whatever ``least_words`` words in a row have
     only seeds that stand elsewhere, too, are followed up: if their seeds lead to one place, they are compared with
