@@ -180,7 +180,7 @@ class Scorer:
         found = self.hits(words)
         if not found:
             return out
-        wanted = {w.decode(): self.seen[w] or self.look_up(w) for w in found}
+        wanted = {w.decode(): self.look_up(w) for w in found}  # what is kept may have been cleared since
         text = (raw or b"").decode().translate(LOWER)
         spans = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
         quotes = Quotes(text)

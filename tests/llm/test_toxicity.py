@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pytest import approx
 
+from lotwise.llm import toxicity
 from lotwise.llm.queries import op3_toxicity
 from lotwise.llm.toxicity import ADDRESS, REPORTING, Lexicon, Model, drop_toxic, fit, in_quotes, score_toxicity
 
@@ -208,3 +209,14 @@ def test_query_against_loops(spark, tmp_path):
     assert sorted((r.doc_id, r.score) for r in got) == [(i, approx(s, abs=1e-9)) for i, s in want]
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3)
+
+
+def test_a_full_memo_changes_no_score(monkeypatch):
+    """What is kept of words is cleared when it is full, in the midst of a text as well."""
+    model = Model({"idiot": 3.0, "moron": 2.0}, {}, coefficients=(-1.0, 1.0, 0.5, 1.0, 0.1, 0.1, 0.1))
+    texts = [b"you idiot and moron " + b" ".join(b"word%d" % (i + j) for j in range(20)) for i in range(30)]
+    want = [model.scorer().score(t) for t in texts]
+    for most in (1, 2, 3, 7, 30):
+        monkeypatch.setattr(toxicity, "MEMO", most)
+        scorer = model.scorer()
+        assert [scorer.score(t) for t in texts] == want
