@@ -49,11 +49,12 @@ def merge(*runs: DataFrame) -> DataFrame:
 def lower_bound(run: DataFrame, probes: DataFrame) -> DataFrame:
     """For each (shard, x) of ``probes``: the first position of ``run`` with key >= x, null beyond the end.
 
-    Probes and records are read once in the order of keys; no range join.
+    Probes and records are read once in the falling order of keys, each probe after the records of its key and with the last
+    position so far, so that a row costs one step; no range join.
     """
     both = run.select("shard", F.col("key").alias("x"), F.lit(1).alias("_kind"), "pos").unionByName(probes.select("shard", "x", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("pos")))
-    w = Window.partitionBy("shard").orderBy("x", "_kind", "pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn("pos", F.first("pos", ignorenulls=True).over(w)).where(F.col("_kind") == 0).drop("_kind")
+    w = Window.partitionBy("shard").orderBy(F.desc("x"), F.desc("_kind"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("pos", F.last("pos", ignorenulls=True).over(w)).where(F.col("_kind") == 0).drop("_kind")
 
 
 def record_at(run: DataFrame, wanted: DataFrame) -> DataFrame:

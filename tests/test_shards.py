@@ -39,6 +39,14 @@ def test_lower_bound(spark):
         assert got[s, x] == (at if at < len(keys) else None)
 
 
+def test_lower_bound_takes_one_step_a_row(spark):
+    """A frame that ends at the last row would be gone through anew for each row."""
+    run = shards.sorted_run(spark.createDataFrame([(i, 0, 1) for i in range(9)], S), 1)
+    found = shards.lower_bound(run, spark.createDataFrame([(0, 4)], "shard int, x long"))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(0, 4, 4)]
+
+
 def test_record_at(spark):
     run = shards.sorted_run(spark.createDataFrame([(8, 1, 1), (0, 2, 1), (16, 0, 1)], S), 8)
     got = shards.record_at(run, spark.createDataFrame([(0, 1), (0, 9)], "shard int, pos long")).collect()
