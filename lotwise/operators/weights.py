@@ -23,50 +23,85 @@ def intervals(df: DataFrame, *by: str, tail: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("lo", F.col("hi") - F.col("weight"))
 
 
-def vose(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An alias table by prefix sums: what small slots lack, one after the other, against what large ones have to spare.
+#: Masses are whole numbers of up to 94 bits, in two parts: this many bits, and what is above them.
+LIMB = 31
+LOW = (1 << LIMB) - 1
+
+
+def limbs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same numbers with low parts from 0 to LOW."""
+    return high + (low >> LIMB), low & LOW
+
+
+def count_below(ordered: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray], equal: bool) -> np.ndarray:
+    """How many of the ``ordered`` numbers are below each of ``asked``, or ``equal`` to it."""
+    n = len(ordered[0])
+    mine = np.repeat([0, 1] if equal else [1, 0], [n, len(asked[0])])
+    order = np.lexsort((mine, *(np.concatenate(x) for x in zip(reversed(ordered), reversed(asked)))))
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(order < n)
+    return out[n:]
+
+
+def cuts(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An alias table in whole numbers: of each slot's mass, which is the total weight, what is its own, and the alias that has the rest.
 
-    A small slot's alias is the large one in whose stretch of the line of spare mass its lack begins. Where the
-    lack ends beyond that stretch, the large slot becomes small itself, with the next large one as its alias.
+    What small slots lack, one after the other, is laid against what large ones have to spare. A small slot's alias is the large one in
+    whose stretch of the line of spare mass its lack begins. Where the lack ends beyond that stretch, the large slot becomes small itself,
+    with the next large one as its alias. Sums reach the total times the number of slots, beyond 64 bits, and are exact.
     """
-    n, total = len(weights), int(weights.sum())
-    exact = int(weights.max()) * n < 2**62 and total * n < 2**62  # whole numbers, as far as they fit
-    mass = weights.astype(np.int64) * n if exact else weights.astype(np.float64) * n
-    prob = np.minimum(mass / total, 1.0)
-    alias = np.arange(n)
-    small, large = np.flatnonzero(mass < total), np.flatnonzero(mass >= total)
+    w, n, total = weights.astype(np.int64), len(weights), int(weights.sum())
+    off = limbs((w >> LIMB) * n - (total >> LIMB), (w & LOW) * n - (total & LOW))  # mass beyond the total, in two parts
+    cut, alias = np.full(n, total, dtype=np.int64), np.arange(n)
+    small, large = np.flatnonzero(off[0] < 0), np.flatnonzero(off[0] >= 0)
     if len(small):
-        lack, spare = np.cumsum(total - mass[small]), np.cumsum(mass[large] - total)
-        spare[-1] = max(spare[-1], lack[-1])  # they are equal but for rounding
-        before = np.concatenate((lack[:1] * 0, lack[:-1]))
-        alias[small] = large[np.minimum(np.searchsorted(spare, before, side="right"), len(large) - 1)]
-        begun = np.searchsorted(before, spare, side="left")
-        over = np.where(begun > 0, lack[np.maximum(begun, 1) - 1], 0) - spare
-        prob[large] = np.clip(1 - over / total, 0.0, 1.0)
-        prob[large[-1]] = 1.0
+        lack = limbs(np.cumsum(-off[0][small]), np.cumsum(-off[1][small]))
+        spare = limbs(np.cumsum(off[0][large]), np.cumsum(off[1][large]))
+        before = tuple(np.concatenate(([0], x[:-1])) for x in lack)
+        cut[small] = w[small] * n
+        alias[small] = large[count_below(spare, before, True)]
+        begun = count_below(before, spare, False)  # 1 at least, unless nothing is spared up to there
+        over = np.where(begun > 0, ((lack[0][begun - 1] - spare[0]) << LIMB) + lack[1][begun - 1] - spare[1], 0)
+        cut[large] -= over
         alias[large[:-1]] = large[1:]
-    return prob, alias
+    return cut, alias
+
+
+def table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An alias table: each slot's own share, the alias that has the rest, and ``cuts``."""
+    cut, alias = cuts(weights)
+    total = int(weights.sum())
+    return np.where(weights < total / len(weights), cut / total, 1 - (total - cut) / total), alias, cut
+
+
+def vose(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An alias table by prefix sums: each slot's own share, and the alias that has the rest."""
+    return table(weights)[:2]
 
 
 def alias_tables(df: DataFrame, n: int) -> DataFrame:
-    """An alias table for each shard: shard, slot, key, value, weight, prob, alias. Shards without weight have none."""
+    """An alias table for each shard: shard, slot, key, value, weight, prob, alias, cut (``cuts``). Shards without weight have none."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "value"], ignore_index=True)
-        part["prob"], part["alias"] = vose(part["weight"].to_numpy())
+        part["prob"], part["alias"], part["cut"] = table(part["weight"].to_numpy())
         part["slot"] = np.arange(len(part))
-        return part[["shard", "slot", "key", "value", "weight", "prob", "alias"]]
+        return part[["shard", "slot", "key", "value", "weight", "prob", "alias", "cut"]]
 
     ship(df.sparkSession)
     rows = df.where("weight > 0").select(shard_of(n).alias("shard"), "key", "value", "weight")
-    return rows.groupBy("shard").applyInPandas(build, "shard int, slot long, key long, value long, weight long, prob double, alias long")
+    return rows.groupBy("shard").applyInPandas(build, "shard int, slot long, key long, value long, weight long, prob double, alias long, cut long")
 
 
 def alias_mass(tables: DataFrame) -> DataFrame:
-    """What each record gets from its shard's alias table, as integer weight: the table is right if it equals the weight."""
-    own = tables.select("shard", F.col("slot").alias("target"), F.col("prob").alias("mass"))
-    given = tables.select("shard", F.col("alias").alias("target"), (1 - F.col("prob")).alias("mass"))
-    mass = own.unionByName(given).groupBy("shard", "target").agg(F.sum("mass").alias("mass"))
-    totals = tables.groupBy("shard").agg(F.sum("weight").alias("total"), F.count("*").alias("slots"))
-    rows = tables.join(mass.withColumnRenamed("target", "slot"), ["shard", "slot"]).join(totals, "shard")
-    return rows.select("shard", "key", "value", F.round(F.col("mass") * F.col("total") / F.col("slots")).cast("long").alias("weight"))
+    """What each record gets from its shard's alias table, as integer weight, summed exactly; null if it is no whole number.
+
+    The table is right if it equals the weight.
+    """
+    totals = tables.groupBy("shard").agg(F.sum("weight").alias("total"), F.count("*").alias("slots"))  # a row for each shard
+    part = lambda target, mass, *fields: F.struct(F.col(target).alias("target"), mass.cast("decimal(20,0)").alias("mass"), *fields)
+    own = part("slot", F.col("cut"), "key", "value")
+    given = part("alias", F.col("total") - F.col("cut"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("value"))
+    parts = tables.join(F.broadcast(totals), "shard").select("shard", "slots", F.explode(F.array(own, given)).alias("part")).select("shard", "slots", "part.*")
+    mass = parts.groupBy("shard", "slots", "target").agg(F.sum("mass").alias("mass"), F.max("key").alias("key"), F.max("value").alias("value"))
+    return mass.select("shard", "key", "value", F.when(F.col("mass") % F.col("slots") == 0, F.expr("mass div slots")).alias("weight"))

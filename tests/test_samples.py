@@ -124,3 +124,25 @@ def test_empty_tables_and_tables_without_weight(spark):
 def test_a_line_of_huge_weights_loses_no_draw(spark):
     df = spark.createDataFrame([(i, i, 10**16 + i) for i in range(60)], "key long, value long, weight long")
     assert s.sample(df, 500, shards=7).count() == 500 == s.sample_arrow(df, 500, shards=7).count()
+
+
+def test_alias_tables_are_exact_beyond_64_bits(spark):
+    """Masses reach the total times the number of slots, which no 64-bit number and no double holds."""
+    def check(w):
+        cut, alias = weights.cuts(np.array(w))
+        mass, total = [int(c) for c in cut], sum(w)
+        for i, c in enumerate(cut.tolist()):
+            assert 0 <= c <= total
+            mass[alias[i]] += total - c
+        assert mass == [x * len(w) for x in w]
+
+    rng = np.random.default_rng(5)
+    for most in (2, 100, 10**9, 10**15):
+        check(rng.integers(0, most, 2000).tolist())
+    check([10**18, *[1] * 999])
+    check([7] * 50)
+    check([1, 2**62])
+    rows = [(i, i, int(x)) for i, x in enumerate(rng.integers(10**12, 10**15, 4000))]
+    df = spark.createDataFrame(rows, S)
+    got = weights.alias_mass(weights.alias_tables(df, 2)).select("key", "value", "weight")
+    assert sorted(map(tuple, got.collect())) == rows
