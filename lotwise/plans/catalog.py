@@ -218,7 +218,7 @@ query("cdf_intervals", W_ + f"SELECT key, value, CAST(sum(weight) OVER w - weigh
     lambda s, d: weights.intervals(orders(s, d).withColumn("shard", shards.shard_of(SHARDS)), "shard").select("key", "value", "lo", "hi")
 )
 query("normalized_weights", W_ + "SELECT key, CAST(CAST(weight AS HUGEINT) * 1000000000000 // (SELECT CAST(sum(weight) AS BIGINT) FROM rec) AS BIGINT) AS parts FROM rec")(
-    lambda s, d: (lambda o: o.crossJoin(F.broadcast(o.agg(F.sum("weight").alias("w")))).select("key", F.floor(F.col("weight").cast("decimal(38,0)") * 1_000_000_000_000 / F.col("w")).cast("long").alias("parts")))(orders(s, d))  # one row
+    lambda s, d: (lambda o: o.crossJoin(F.broadcast(o.agg(F.sum("weight").alias("w")))).select("key", F.expr("cast(weight as decimal(38,0)) * 1000000000000 div nullif(w, 0)").alias("parts")))(orders(s, d))  # one row
 )
 query("alias_reconstruct", W_ + f"SELECT CAST(key % {SHARDS} AS INTEGER) AS shard, key, value, weight FROM rec WHERE weight > 0")(lambda s, d: weights.alias_mass(weights.alias_tables(orders(s, d), SHARDS)))
 

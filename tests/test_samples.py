@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from lotwise.operators import sample as s
 from lotwise.operators import weights
 from lotwise.functions.records import coerce_weight, coordinate_key
+from lotwise.plans.catalog import Q
 from pyspark.sql import functions as F
 
 S = "key long, value long, weight long"
@@ -146,3 +147,12 @@ def test_alias_tables_are_exact_beyond_64_bits(spark):
     df = spark.createDataFrame(rows, S)
     got = weights.alias_mass(weights.alias_tables(df, 2)).select("key", "value", "weight")
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_normalized_weights_are_cut_not_rounded(spark, tmp_path):
+    """A share just below a whole number of parts stays below it."""
+    total = 10_000_019
+    near = total - pow(10**12, -1, total)  # near * 10^12 is one less than a multiple of the total
+    spark.createDataFrame([(1, 1, near / 100, "1-URGENT"), (2, 1, (total - near) / 100, "1-URGENT")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.key: r.parts for r in Q["normalized_weights"](spark, str(tmp_path)).collect()}
+    assert got == {1: near * 10**12 // total, 2: (total - near) * 10**12 // total}
