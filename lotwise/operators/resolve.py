@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +13,10 @@ from pyspark.sql import types as T
 from ..functions.ship import ship
 from ..sources.shared import written
 
-#: What a part of the sorted log says of each op's group: in it alone, before other parts are heard.
-LOCAL = [T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.BooleanType()), T.StructField("_head", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("_n", "_run", "_ahead", "_behind", "_total", "_low")]
+#: Ops that are scanned at once, about: what a task holds of its range.
+CHUNK = 100_000
+#: What a part of the sorted log, a chunk of a range, says of each op's group: in it alone, before other parts are heard.
+LOCAL = [T.StructField("_part", T.LongType()), T.StructField("_edge", T.BooleanType()), T.StructField("_head", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("_n", "_run", "_ahead", "_behind", "_total", "_low")]
 
 
 def scan(rows: pa.Table, by: list[int], op: int) -> list[np.ndarray]:
@@ -58,38 +59,50 @@ def brackets(log: DataFrame, parts: int | None = None, by: tuple[str, ...] = ("k
     a new low below zero.
 
     The ops are exchanged once, into ``parts`` ranges (Spark's shuffle partitions if not given) of the order by ``by`` and seq, so that a (key, value) with
-    much of the log takes many tasks. Each range is scanned by itself; only its first and last group can go on in other ranges, and
-    for these the pair (balance, lowest balance) is summed up along the ranges: two rows for each range, broadcast. The scanned ranges are written
+    much of the log takes many tasks. Each range is scanned in chunks of ``CHUNK`` ops, so a task holds no more of it; only a chunk's first and last group
+    can go on in other chunks, and for these the pair (balance, lowest balance) is summed up along the chunks: two rows for each, broadcast. The scanned ranges are written
     to the shared folder, as both the sums and the ops are read from them. ``ordered``: nothing is written, both uses share the exchange, and rows come out
     in order, range by range; that is for logs that are plainly read from files, and an op whose range were not the one that was summed up stops the job.
     """
     spark, names = log.sparkSession, log.columns
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where, op = [names.index(c) for c in by], names.index("op")
+    where, op, most = [names.index(c) for c in by], names.index("op"), CHUNK
+
+    def scanned(held: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        part = (rows.column("_range").to_numpy() << 32) + chunk
+        rows = rows.select(names)
+        for f, values in zip(LOCAL, [part, *scan(rows, where, op)]):
+            rows = rows.append_column(f.name, pa.array(values))
+        yield from rows.combine_chunks().to_batches(max_chunksize=10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, n, chunk = [], 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                held.append(batch.slice(at, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    yield from scanned(held, chunk)
+                    held, n, chunk = [], 0, chunk + 1
         if held:
-            rows = pa.Table.from_batches(held)
-            part = np.full(rows.num_rows, TaskContext.get().partitionId(), dtype=np.int32)
-            for f, values in zip(LOCAL, [part, *scan(rows, where, op)]):
-                rows = rows.append_column(f.name, pa.array(values))
-            yield from rows.to_batches(max_chunksize=100_000)
+            yield from scanned(held, chunk)
 
     ship(spark)
-    ranged = log.repartitionByRange(parts, *by, "seq").sortWithinPartitions(*by, "seq")
+    # the range's number, not the task's: in a union that is another
+    ranged = log.repartitionByRange(parts, *by, "seq").sortWithinPartitions(*by, "seq").withColumn("_range", F.spark_partition_id().cast("long"))
     local = ranged.mapInArrow(run, T.StructType([*log.schema.fields, *LOCAL]))
     if not ordered:
         local = written(local, "brackets")
-    along = Window.partitionBy(*by).orderBy("_part")
-    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    group = Window.partitionBy(*by)
+    earlier, later = (group.orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("_part"), F.desc("_part")))
     ends = local.where(F.col("_edge") & F.col("_head")).select(*by, "_part", "_n", "_total", "_low")
     ends = ends.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).withColumn("_floor", F.col("_before") + F.col("_low"))
     ends = ends.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.col("_n").alias("_m"), "_before", F.min("_floor").over(earlier).alias("_least"), F.min("_floor").over(later).alias("_next"))
     same = F.col("_part") == F.col("_p")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    told = local.join(F.broadcast(ends), same, "left")  # two rows for each range at most
+    told = local.join(F.broadcast(ends), same, "left")  # two rows for each chunk at most
     before = F.coalesce("_before", F.lit(0))
     balance = before + F.col("_run")
     ahead = F.least(before + F.col("_ahead"), F.col("_next"))  # nulls don't count

@@ -105,3 +105,29 @@ def test_two_requests_for_one_record(spark):
     there = spark.createDataFrame([(1, 5, 5), (2, 5, 5), (9, 6, 6)], "seq long, key long, value long")
     asked = spark.createDataFrame([(3, 5, 5), (4, 5, 5), (5, 5, 5), (6, 6, 6), (7, 8, 8)], "seq long, key long, value long")
     assert {r.seq: r.found for r in resolve.met(asked, there).collect()} == {3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+
+
+def test_ranges_are_scanned_in_chunks(spark, monkeypatch):
+    """A task holds a chunk of its range, whatever the range's size; what lives is the same."""
+    held = []
+    rows = log(700, 3, 0.45) + [(1000 + i, 9, 9, 1, "I" if i % 3 else "T") for i in range(400)]
+    df = spark.createDataFrame(rows, OP)
+    alive, lost = model(rows)
+    for most in (1, 7, 64):
+        monkeypatch.setattr(resolve, "CHUNK", most)
+        for parts in (1, 5):
+            assert {r.seq for r in resolve.brackets(df, parts).where("alive").collect()} == alive | lost
+    written = resolve.written
+    monkeypatch.setattr(resolve, "written", lambda df, name: held.append(written(df, name)) or held[-1])
+    resolve.brackets(df, 1)
+    assert held[0].groupBy("_part").count().agg({"count": "max"}).first()[0] <= 64
+    monkeypatch.undo()
+
+
+def test_ordered_rows_in_a_union(spark, tmp_path):
+    """The tasks of a union are numbered through, ranges aren't."""
+    rows = log(300, 8)
+    spark.createDataFrame(rows, OP).write.parquet(f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    both = stored.where("op = 'I'").union(resolve.live(stored, 6, ordered=True).select(stored.columns))
+    assert sorted(r.seq for r in both.collect()) == sorted([r[0] for r in rows if r[4] == "I"] + list(model(rows)[0]))
