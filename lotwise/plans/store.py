@@ -18,7 +18,7 @@ from ..functions.records import OP
 from ..functions.rng import below
 from ..operators import bloom, resolve
 from ..operators.metrics import aux_bytes, observed
-from ..operators.sample import dealt, fallen, look_up, numbered, sample, sent
+from ..operators.sample import dealt, fallen, numbered, sample, sent
 from ..operators.shards import positions
 from ..sources.shared import drop_written, written
 from .layout import Config, File, Levels, Shard, closed_form, flushes
@@ -281,17 +281,24 @@ class Index:
         buffer = self._ranged(self._read(self._paths(self.buffers)), low, high).where("op = 'I' and weight > 0")
         ends = np.cumsum([0, *(b - a for *_, a, b in line)]).tolist()
         places = [(i, ends[i], ends[i + 1]) for i in range(len(line))]
-        if self.buffers and (held := buffer.agg(F.sum("weight")).first()[0]):
-            places.append((len(line), ends[-1], ends[-1] + held))
+        pieces, known = None, []
+        if self.buffers:  # sorted ranges, each a place, however large the buffer is
+            parts = self._parts(sum(b.rows for b in self.buffers))
+            ranged = buffer.repartitionByRange(parts, *pair, "seq").sortWithinPartitions(*pair, "seq").withColumn("slice", F.lit(0).cast("long"))
+            pieces = written(numbered(ranged, "slice"), "pieces")
+            for r in pieces.groupBy("part").agg(F.sum("weight").alias("w")).orderBy("part").collect():
+                before = places[-1][2] if places else 0
+                known.append((r.part, len(places)))
+                places.append((len(places), before, before + r.w))
         if not places:
             return spark.createDataFrame([], "draw long, key long, value long, weight long")
         tries = spark.range(k).select(F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"), F.col("id").alias("d"))
         tries = tries.select((F.col("d") * passes + F.col("pass")).alias("draw"), below(F.lit(places[-1][2]), seed, F.col("d"), F.col("pass")).alias("r"))
         placed = written(dealt(tries, places).select("draw", "shard", "at"), "tries")
         hits = self._fallen(placed, line)
-        if len(places) > len(line):  # one buffer, which its capacity bounds
-            fields = ("key", "value", "weight", "seq")
-            late = look_up(buffer.withColumn("shard", F.lit(len(line))), placed.where(F.col("shard") == len(line)), ["shard"], ("seq",), fields)
+        if known:
+            rows = pieces.join(F.broadcast(spark.createDataFrame(known, "part long, place int")), "part")
+            late = fallen(rows, spark.sparkContext.broadcast(sent(placed.where(F.col("shard") >= len(line)))), ["key", "value", "weight", "seq"])
             hits = hits.unionByName(late.withColumn("level", F.lit(-1)))
         drawn = written(hits, "drawn")
         deletes = self._deletes_of(drawn, self._keys(drawn)) if any(s.tombstones for s in self._all()) else None
@@ -317,7 +324,7 @@ class Index:
                 self._count_rejections(level, asked, at(level))
                 asked -= at(level)
             self._enforce_rejections()
-        for old in (placed, drawn, told):
+        for old in (placed, drawn, told, *([pieces] if pieces is not None else [])):
             drop_written(old)
         if first.count() == k:
             return first

@@ -9,6 +9,7 @@ from test_resolve import log, model
 
 from lotwise.functions.records import OP
 from lotwise.operators import bloom, metrics
+from lotwise.plans import store
 from lotwise.plans.layout import Config, Levels, Shard, closed_form, digits, flushes, level_capacity
 from lotwise.plans.store import Index
 from lotwise.sources import tsv, workload
@@ -421,3 +422,18 @@ def test_filters_are_asked_in_one_go(spark, tmp_path):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"asked-{n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] and abs(jobs[1] - jobs[0]) <= 1
+
+
+def test_a_large_buffer_is_looked_up_in_ranges(spark, tmp_path, monkeypatch):
+    """No task sorts the whole buffer, and the draws are the same whatever the ranges."""
+    def whole(*_):
+        raise AssertionError("the buffer is looked up as one group")
+
+    monkeypatch.setattr(store, "look_up", whole, raising=False)
+    ops = spark.createDataFrame([(i, i % 40, i % 3, 1 + i % 7, "I") for i in range(300)], OP)
+    got = []
+    for rows in (1_000_000, 20):
+        index = Index(spark, f"{tmp_path}/{rows}", Config(buffer_cap=1000, file_rows=rows))
+        index.append(ops)
+        got.append(sorted(map(tuple, index.sample(200, 3).collect())))
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(200))
