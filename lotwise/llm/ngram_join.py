@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, drop_stored, new_name, raw_texts, stored
+from ..functions.ship import ship
+from .common import by_batch, by_task, drop_stored, new_name, raw_texts, stored
 from .components import components
 from .key_join import C1, C2, C3, SEEN, Shingler, mix, most_apart, trie_links
 
 #: Each scheme is for sets up to so many times as large as the one before.
 RATIO = 1.5
+#: A task sorts its keys in runs of so many, of so many sets at most (a set's place in a run is two bytes).
+RUN, RUN_SETS = 500_000, 1 << 16
+#: Keys meet in parts of about so many.
+PART = 2_000_000
+#: Bytes of a key that go to its part.
+WIDTH = 6
+#: Bits of the filter of texts that are read again, 1 MB, and of each of its rows.
+FILTER, FILTER_ROW = 1 << 23, 1 << 15
 
 
 def schemes(n: int, percent: int) -> list[tuple[int, int]]:
@@ -59,7 +71,99 @@ def keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 2_000_000, digest_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_stars(runs: DataFrame, part: int) -> DataFrame:
+    """(g, u, a, b) for each set u that shares a key with a set of a smaller number: the smallest and the largest with that key.
+
+    Keys of the same sets have the same g, and most of them are told once.
+
+    ``runs`` are sorted keys (64 bits) and whose they are (first + a place, 16 bits). What goes to a part of the keys, of about ``part``, is a row
+    for each run, 8 bytes a key: key, its number of bytes cut to ``WIDTH``, and place. A part's number tells more of a key's bits, and where
+    two keys are still alike, their sets are candidates for nothing, which the links sort out.
+    """
+    parts = max(1, -(-(runs.agg(F.sum("m").alias("m")).first().m or 0) // part))
+
+    def deal():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: tuple[list, ...] = ([], [], [], [])
+            for first, data, owners in zip(batch.column("no").to_pylist(), batch.column("keys").to_pylist(), batch.column("owners").to_pylist()):
+                sigs, owners = np.frombuffer(data, dtype="<u8"), np.frombuffer(owners, dtype="<u2")
+                bounds = np.searchsorted((sigs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+                cut = sigs.view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+                for i in np.flatnonzero(np.diff(bounds)).tolist():
+                    x, y = bounds[i], bounds[i + 1]
+                    for column, value in zip(out, (i, first, cut[x:y].tobytes(), owners[x:y].tobytes())):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "first", "sig", "own"])
+
+        return f
+
+    def meet(table: pa.Table) -> pa.Table:
+        cut = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+        sig = np.zeros((len(cut), 8), dtype=np.uint8)
+        sig[:, :WIDTH] = cut
+        sig = sig.view("<u8").ravel()
+        no = np.concatenate([first + np.frombuffer(own, dtype="<u2").astype(np.int64) for first, own in zip(table.column("first").to_pylist(), table.column("own").to_pylist())])
+        order = np.lexsort((no, sig))
+        sig, no = sig[order], no[order]
+        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        sizes = np.diff(np.append(starts, len(sig)))
+        with np.errstate(over="ignore"):
+            same = np.add.reduceat(mix(no.astype(np.uint64) * C1), starts)
+        once = np.zeros(len(starts), dtype=bool)
+        once[np.unique(same, return_index=True)[1]] = True
+        g, a, b = (np.repeat(x, sizes) for x in (same.view(np.int64), no[starts], no[starts + sizes - 1]))
+        take = np.repeat(once, sizes) & (no != a)
+        return pa.table({c: pa.array(x[take], pa.int64()) for c, x in (("g", g), ("u", no), ("a", a), ("b", b))})
+
+    dealt = by_batch(runs.select("no", "keys", "owners"), deal, "part long, first long, sig binary, own binary", most=1)
+    ship(runs.sparkSession)
+    return dealt.groupBy("part").applyInArrow(meet, "g long, u long, a long, b long")
+
+
+def odd_bits(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the shingles' hashes, set if an odd number has it: some two bits a shingle, 64 at least.
+
+    Two sets' bits differ in at most as many places as the sets do, and so do their halves laid over each other.
+    """
+    width = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    at = (mix(shingles ^ C2) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sifted(n: np.ndarray, odd: list[np.ndarray], percent: int) -> list[tuple[int, np.ndarray]]:
+    """Links (one, others) that connect all of a key's sets which sizes and ``odd_bits`` don't tell apart, and any that are linked."""
+    width = min(map(len, odd))
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in odd])
+    allowed = n * (100 - percent) // percent
+    out, rest = [], np.arange(len(n))
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            x = reached.pop()
+            near = np.minimum(allowed[rest], allowed[x])
+            hit = np.abs(n[rest] - n[x]) <= near
+            hit[hit] = np.bitwise_count(bits[rest[hit]] ^ bits[x]).sum(axis=1) <= near[hit]
+            if hit.any():
+                out.append((x, rest[hit]))
+                reached.extend(rest[hit].tolist())
+                rest = rest[~hit]
+    return out
+
+
+def maybe_among(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``text_hash`` may be an ``h`` of ``members``: all that are, and few others.
+
+    What is broadcast is a bitmap of a fixed size, so the other texts are never shuffled, however many members there are.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER))
+    bits = members.select(place("h").alias("p")).groupBy(F.expr(f"p div {FILTER_ROW}").alias("_at")).agg(F.bitmap_construct_agg(F.expr(f"p % {FILTER_ROW}")).alias("_bits"))
+    names = rows.columns
+    asked = rows.withColumn("_p", place("text_hash")).withColumn("_at", F.expr(f"_p div {FILTER_ROW}"))
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(_p % {FILTER_ROW} div 8 as int) + 1, 1)), 16, 10) as long)")
+    return asked.join(F.broadcast(bits), "_at").where(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1).select(*names)
+
+
+def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 2_000_000, digest_bits: int = 64, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """The id, n_shingles and component_id of every row.
 
     Words are runs of anything but white space, A-Z lower-cased; a text's set is its distinct
@@ -70,9 +174,11 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
     1. Rows with equal sets become one class, so exact copies cost a row each and nothing more.
     2. Each class gives keys of which any two linked classes share one (see ``keys``). A star joins
-       each key's classes to the smallest; the components of these candidates are families.
+       each key's classes to the first (see ``key_stars``); the components of these candidates are families.
+       A family of more than ``block`` shingles, mostly chains of keys shared by chance, is sifted first: sets with a key in common
+       stay together only if their sizes and ``odd_bits`` leave it open that they, or others in between, are linked.
     3. Each family's sets meet in a prefix tree (``trie_links``), small families many to a task. In one with more than
-       ``block`` shingles, the smallest and the largest set of each key are first compared with the key's others, a row each. Only if these links
+       ``block`` shingles, the first and the last set of each key are first compared with the key's others, a row each. Only if these links
        don't connect the family, it is dealt into blocks, and every pair of blocks that isn't connected yet is a task of bounded size.
     4. The components of the links are the result.
 
@@ -85,30 +191,55 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
     def measure():
         shingler, seen = Shingler(size), set()
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, k1, k2, sigs = [], [], [], []
+        first = at = TaskContext.get().partitionId() << 40  # numbers of sets with keys
+        held: list[np.ndarray] = []
+        id_type = [pa.null()]
+        names = ["doc_id", "text_hash", "n", "k1", "k2", "no", "m", "keys", "owners"]
+        types = [pa.int64()] * 6 + [pa.binary()] * 2
+
+        def run() -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            if held:
+                sigs, owners = np.concatenate(held), np.repeat(np.arange(len(held), dtype="<u2"), [len(x) for x in held])
+                order = np.argsort(sigs)
+                values = [None, None, None, None, None, first, len(sigs), sigs[order].astype("<u8").tobytes(), owners[order].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, id_type + types)], names)
+                held.clear()
+            first = at
+
+        def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal at
+            id_type[0] = batch.schema.field("doc_id").type
+            n, k1, k2, no, total = [], [], [], [], sum(map(len, held))
             for raw in raw_texts(batch.column("text")):
                 s = shingler.set(raw)
                 n.append(len(s))
                 if not len(s):
-                    k1.append(None), k2.append(None), sigs.append(None)
+                    k1.append(None), k2.append(None), no.append(None)
                     continue
                 data = s.tobytes()
                 a = xxhash.xxh64_intdigest(data, 1) >> 64 - digest_bits
                 k1.append(a)
                 k2.append(xxhash.xxh64_intdigest(data, 2))
-                new = (a, k2[-1]) not in seen
-                sigs.append(keys(s, percent).view(np.int64) if new else None)
+                sigs = keys(s, percent) if (a, k2[-1]) not in seen else ()
                 if len(seen) < SEEN:
                     seen.add((a, k2[-1]))
+                no.append(at if len(sigs) else None)
+                if len(sigs):
+                    held.append(sigs)
+                    at += 1
+                    total += len(sigs)
+                    if total >= RUN or len(held) == RUN_SETS:
+                        yield from run()
+                        total = 0
             as_long = lambda x: pa.array([None if v is None else v - (v >> 63 << 64) for v in x], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), as_long(k1), as_long(k2), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "k1", "k2", "sigs"])
+            none = [pa.nulls(len(n), t) for t in types[-3:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), as_long(k1), as_long(k2), pa.array(no, pa.int64()), *none], names)
 
-        return f
+        return add, run
 
-    measured = stored(by_batch(rows, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k1 long, k2 long, sigs array<long>"), "measured")
-    sets = stored(measured.drop("sigs"), "sets")  # what is needed to the end
+    measured = stored(by_task(rows, measure, f"doc_id {kind.simpleString()}, text_hash long, n long, k1 long, k2 long, no long, m long, keys binary, owners binary"), "measured")
+    sets = stored(measured.where("m is null").select("doc_id", "text_hash", "n", "k1", "k2", "no"), "sets")  # what is needed to the end
     shared = sets.where("k1 is not null").groupBy("k1").agg(F.min("k2").alias("k2"), F.max("k2").alias("other")).where("k2 != other").select(F.col("k1").alias("twice"))
     if not shared.isEmpty():  # some three of 10^10 sets
         shared = stored(shared, "twice")
@@ -117,19 +248,25 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
             named = df.join(shared, F.col("k1") == F.col("twice"), "left")
             return named.withColumn("k1", F.when(F.col("twice").isNotNull(), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("twice")
 
-        known = [apart(measured), apart(sets)]
-        measured, sets = (stored(df, "sets") for df in known)
+        sets = stored(apart(sets), "sets")
     classes = sets.where("k1 is not null").groupBy("k1").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("row"))
 
-    keyed = measured.where("sigs is not null").select("k1", F.explode("sigs").alias("sig"))
-    firsts = keyed.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b")
-    stars = keyed.join(firsts, "sig")
-    families = components(stars.where("k1 != a").select(F.col("k1").alias("u"), F.col("a").alias("v")))
+    stars = stored(key_stars(measured.where("m is not null"), part), "stars")
+    drop_stored(measured)  # much of the disk that this takes
+    named = sets.where("no is not null").select("no", "k1")
+    for c in "uab":
+        stars = stars.join(named.withColumnsRenamed({"no": c, "k1": f"{c}_"}), c).drop(c).withColumnRenamed(f"{c}_", c)
+    families = components(stars.select("u", F.col("a").alias("v")))
     width = sets.select("k1", "n").where("k1 is not null").groupBy("k1").agg(F.max("n").alias("n"))
-    weights = stored(families.join(width, families["node"] == width["k1"]).groupBy(F.col("label").alias("family")).agg(F.sum("n").alias("n")), "families")
+    members = families.join(classes, families["node"] == classes["k1"]).join(width, "k1").select("k1", F.col("label").alias("family"), "n", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
+    members = stored(members, "members")
+
+    def weigh() -> tuple[DataFrame, DataFrame]:
+        weights = stored(members.groupBy("family").agg(F.sum("n").alias("n")), "families")
+        return weights, weights.where(F.col("n") > block).select("family")
 
-    members = families.join(classes, families["node"] == classes["k1"]).select("k1", F.col("label").alias("family"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("k1", "family", "text")
+    def texts_of(some: DataFrame) -> DataFrame:
+        return maybe_among(rows, some).join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("k1", "family", "text")
 
     def gather():
         shingler = Shingler(size)
@@ -139,15 +276,46 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
         return f
 
-    dealt = by_batch(texts, gather, "k1 long, family long, s binary").join(weights, "family")
-    large = weights.where(F.col("n") > block).select("family")
+    def describe():
+        shingler = Shingler(size)
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = [shingler.set(raw) for raw in raw_texts(batch.column("text"))]
+            return pa.RecordBatch.from_arrays([batch.column("k1"), pa.array([len(x) for x in known], pa.int64()), pa.array([odd_bits(x).tobytes() for x in known], pa.binary())], ["k1", "n", "odd"])
+
+        return f
+
+    def sift(table: pa.Table) -> pa.Table:
+        g, k1, n = (table.column(c).to_numpy() for c in ("g", "k1", "n"))
+        odd, order, u, v = table.column("odd").to_pylist(), np.argsort(g, kind="stable"), [], []
+        for part in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            for one, others in sifted(n[part], [np.frombuffer(odd[i], dtype="<u8") for i in part], percent):
+                u.append(np.full(len(others), k1[part[one]]))
+                v.append(k1[part[others]])
+        return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in (("u", u), ("v", v))})
+
+    weights, large = weigh()
+    if not large.isEmpty():
+        some = members.join(large, "family", "left_semi")
+        known = stored(by_batch(texts_of(some), describe, "k1 long, n long, odd binary").dropDuplicates(["k1"]), "bits")
+        inside = stars.join(some.select(F.col("k1").alias("u")), "u", "left_semi")
+        shared = stored(inside.select("g", F.col("u").alias("k1")).union(inside.select("g", "a")).distinct(), "keys")
+        groups = max(1, -(-10 * shared.count() // part))
+        ship(docs.sparkSession)
+        sieve = shared.join(known, "k1").withColumn("p", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("p").applyInArrow(sift, "u long, v long")
+        kept = components(sieve)
+        sure = members.join(large, "family", "left_anti").unionByName(members.join(kept, F.col("k1") == F.col("node")).withColumn("family", F.col("label")).select(members.columns))
+        members = stored(sure, "members")
+        for old in (known, shared, weights):
+            drop_stored(old)
+        weights, large = weigh()
+    dealt = by_batch(texts_of(members), gather, "k1 long, family long, s binary").join(weights, "family")
     early = None
     if large.isEmpty():
-        drop_stored(measured)  # much of the disk that this takes
         dealt = dealt.withColumn("known", F.col("k1"))
     else:
-        mine = families.join(large, families["label"] == large["family"], "left_semi").select(F.col("node").alias("k1"))
-        ends = stars.join(mine, "k1", "left_semi").select(F.col("k1").alias("u"), F.explode(F.array("a", "b")).alias("v")).where("u != v").distinct()
+        mine = members.join(large, "family", "left_semi").select(F.col("k1").alias("u"))
+        ends = stars.join(mine, "u", "left_semi").select("u", F.explode(F.array("a", "b")).alias("v")).where("u != v").distinct()
         own = stored(dealt.join(large, "family", "left_semi").select("k1", "s").dropDuplicates(["k1"]), "large")
 
         def compare():
@@ -163,7 +331,6 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: in
 
         sides = ends.join(own.select(F.col("k1").alias("u"), F.col("s").alias("x")), "u").join(own.select(F.col("k1").alias("v"), F.col("s").alias("y")), "v")
         early = stored(by_batch(sides.select("u", "v", "x", "y"), compare, "u long, v long"), "links")
-        drop_stored(measured)
         drop_stored(own)
         met = components(early)
         dealt = dealt.join(met, F.col("k1") == F.col("node"), "left").withColumn("known", F.coalesce("label", "k1")).drop("node", "label")
@@ -208,4 +375,5 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     d = new_name(docs, "_gone")
     found = jaccard_classes(docs, size, percent, id_col=id_col, text_col=text_col)
     gone = found.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias(d)).distinct()
+    gone = stored(gone, "gone")  # its size is known before the join, so a small one shuffles no text
     return docs.join(gone, F.col(id_col) == F.col(d), "left_anti")

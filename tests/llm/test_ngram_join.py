@@ -1,13 +1,15 @@
 """The Jaccard join against all pairs, and its parts."""
 
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lotwise.llm import ngram_join
 from lotwise.llm.components import components
-from lotwise.llm.ngram_join import jaccard_classes, keep_one, keys, trie_links
+from lotwise.llm.ngram_join import jaccard_classes, keep_one, key_stars, keys, odd_bits, sifted, trie_links
 
 
 def shingles(text, size):
@@ -99,3 +101,52 @@ def test_sets_with_equal_hashes_are_told_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     rows = lambda **more: sorted(map(tuple, jaccard_classes(docs, **more).collect()))
     assert rows(digest_bits=4) == rows()
+
+
+def test_sieve_keeps_links_and_parts_chains():
+    """Sets that are linked are never told apart; sets that only share a passage are."""
+    rng = np.random.default_rng(2)
+    for percent in (60, 80, 90):
+        for n in (1, 3, 20, 90, 400, 3000):
+            base = rng.integers(0, 2**63, n, dtype=np.uint64)
+            sets = [base]
+            for _ in range(12):
+                s = base.copy()
+                m = int(rng.integers(0, n // 4 + 1))
+                s[:m] = rng.integers(0, 2**63, m, dtype=np.uint64)
+                sets.append(np.unique(s[: n - int(rng.integers(0, n // 6 + 1))]))
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i) if linked(set(sets[i].tolist()), set(sets[j].tolist()), percent)]
+            found = [(x, int(y)) for x, others in sifted(np.array([len(s) for s in sets]), [odd_bits(s) for s in sets], percent) for y in others]
+            label = closure(len(sets), found)
+            assert all(label[i] == label[j] for i, j in pairs)
+    common = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    chain = [np.unique(np.concatenate((common, rng.integers(0, 2**63, 60, dtype=np.uint64)))) for _ in range(40)]
+    assert sum(len(o) for _, o in sifted(np.array([len(s) for s in chain]), [odd_bits(s) for s in chain], 80)) < 4
+
+
+def test_a_family_that_keys_chain_is_no_product_of_blocks(spark, monkeypatch):
+    """Texts of unlike sets that share passages are one family by keys; none of them is sent to pairs of blocks."""
+    rng = random.Random(4)
+    common = [" ".join(f"c{k}.{i}" for i in range(60)) for k in range(6)]
+    rows = [(i, f"{common[i % 6]} {common[(i + 1) % 6]} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(120)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:10]]
+    asked = []
+    real = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: asked.append(name) or real(df, name))
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, block=2000).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert "bits" in asked and "large" not in asked
+
+
+def test_keys_take_one_narrow_exchange(spark):
+    """A key goes to its part as 8 bytes, once: it used to be shuffled twice, with two columns of 8 bytes."""
+    rng = np.random.default_rng(1)
+    sigs = [np.sort(rng.integers(0, 2**63, 50_000, dtype=np.uint64)) for _ in range(4)]
+    sigs[3][:100] = sigs[0][:100]
+    sigs[3].sort()
+    rows = [(i << 40, 50_000, x.tobytes(), (np.arange(50_000) % 7).astype("<u2").tobytes()) for i, x in enumerate(sigs)]
+    stars = key_stars(spark.createDataFrame(rows, "no long, m long, keys binary, owners binary"), 30_000)
+    got = stars.collect()
+    assert got and {(r.u >> 40, r.a >> 40) for r in got} == {(3, 0)}
+    shuffled = re.findall(r"Exchange hashpartitioning\((.*?)#", stars._jdf.queryExecution().executedPlan().toString())
+    assert set(shuffled) == {"part"}
