@@ -13,7 +13,7 @@ from ..functions.rng import below, unit
 from ..functions.ship import ship
 from ..sources.shared import written
 from .shards import shard_of
-from .weights import alias_tables, intervals, shard_weights
+from .weights import alias_line, intervals, shard_weights
 
 
 #: A line of so many shards at most is broadcast, some 2 MB.
@@ -176,11 +176,13 @@ def two_stage(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFram
 def sample_alias(df: DataFrame, k: int, seed: int = 1, shards: int = 8) -> DataFrame:
     """A shard by one hash, a slot by another, and the slot or its alias by a third: constant work for each draw. No rows without weight."""
     line, total = offsets(df, shards)
-    tables = alias_tables(df, shards)
+    table, finish = alias_line(df, shards)
     slots = df.where("weight > 0").groupBy(shard_of(shards).alias("shard")).agg(F.count("*").alias("slots"))
     first = dealt(drawn(df, k, total, seed), line).join(F.broadcast(slots), "shard").select("shard", "draw", below(F.col("slots"), seed, "slot", F.col("draw")).alias("slot"), unit(seed, "coin", F.col("draw")).alias("u"))
-    taken = first.join(tables.select("shard", "slot", "prob", "alias"), ["shard", "slot"]).select("shard", "draw", F.when(F.col("u") <= F.col("prob"), F.col("slot")).otherwise(F.col("alias")).alias("slot"))
-    return taken.join(tables.select("shard", "slot", "key", "value", "weight"), ["shard", "slot"]).select("draw", "key", "value", "weight")
+    few = F.broadcast if k <= SENT else lambda x: x  # so that the table isn't shuffled
+    drawn_slots = finish(table.join(few(first.select("shard", "slot").distinct()), ["shard", "slot"], "left_semi")).select("shard", "slot", "prob", "alias")
+    taken = first.join(drawn_slots, ["shard", "slot"]).select("shard", "draw", F.when(F.col("u") <= F.col("prob"), F.col("slot")).otherwise(F.col("alias")).alias("slot"))
+    return table.select("shard", "slot", "key", "value", "weight").join(few(taken), ["shard", "slot"]).select("draw", "key", "value", "weight")
 
 
 def sample_rejecting(buffer: DataFrame, k: int, seed: int = 1, attempts: int = 64) -> DataFrame:

@@ -156,3 +156,28 @@ def test_normalized_weights_are_cut_not_rounded(spark, tmp_path):
     spark.createDataFrame([(1, 1, near / 100, "1-URGENT"), (2, 1, (total - near) / 100, "1-URGENT")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.key: r.parts for r in Q["normalized_weights"](spark, str(tmp_path)).collect()}
     assert got == {1: near * 10**12 // total, 2: (total - near) * 10**12 // total}
+
+
+@pytest.mark.parametrize("per_range", [7, 60, 10**6])
+def test_alias_tables_of_many_ranges_are_those_of_whole_shards(spark, per_range):
+    """No task holds a shard: the tables come from ranges of a few rows as from arrays of all."""
+    rng = np.random.default_rng(3)
+    rows = [(4 * i, i, int(10 ** rng.uniform(0, 17))) for i in range(150)] + [(4 * i + 1, 0, 5) for i in range(20)]
+    rows += [(4 * i + 2, 0, 1 if i < 90 else 10**6) for i in range(91)] + [(3, 0, 9), (7, 0, 0)]
+    got = {}
+    for r in weights.alias_tables(spark.createDataFrame(rows, S), 4, per_range).collect():
+        got.setdefault(r.shard, []).append(r)
+    assert sorted(got) == [0, 1, 2, 3]
+    for shard, table in got.items():
+        table.sort(key=lambda r: r.slot)
+        want = sorted(r for r in rows if r[0] % 4 == shard and r[2])
+        assert [(r.slot, r.key, r.value, r.weight) for r in table] == [(i, *w) for i, w in enumerate(want)]
+        cut, alias = weights.cuts(np.array([w[2] for w in want]))
+        assert [r.cut for r in table] == cut.tolist()
+        if shard != 1:  # equal weights give nothing to an alias
+            assert [r.alias for r in table] == alias.tolist()
+
+
+def test_sample_alias_groups_no_shard_in_python(spark, classes):
+    plan = s.sample_alias(classes, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "FlatMapGroupsInArrow" not in plan
